@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("prep",)
+MODULES = ("prep", "features")
 
 
 def _gather(attribute: str) -> dict:
