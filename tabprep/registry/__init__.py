@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("prep", "features")
+MODULES = ("prep", "features", "sources", "catalog")
 
 
 def _gather(attribute: str) -> dict:
