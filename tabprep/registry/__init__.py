@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("prep", "features", "sources", "catalog")
+MODULES = ("prep", "features", "sources", "catalog", "scores", "profile")
 
 
 def _gather(attribute: str) -> dict:
