@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("prep", "features", "sources", "catalog", "scores", "profile", "balance")
+MODULES = ("prep", "features", "sources", "catalog", "scores", "profile", "balance", "models")
 
 
 def _gather(attribute: str) -> dict:
