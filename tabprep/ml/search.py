@@ -197,10 +197,12 @@ def global_importance(
         here = hash_rank(df, [], key, seed, "__pos")
         there = hash_rank(df.select(*dict.fromkeys([*key, *features])), [], key, seed + 1, "__pos")
         mixed = here.join(there.select("__pos", *[col(f).alias(f"__p{i}") for i, f in enumerate(features)]), "__pos")
+        mixed = mixed.persist(StorageLevel.MEMORY_AND_DISK)
         found = []
         for i, f in enumerate(features):
             changed = mixed.withColumn(f, F.col(f"__p{i}")).select(*[col(c) for c in df.columns])
             found.append((f, float(base - _quality(model.transform(changed), target, classify))))
+        mixed.unpersist()
     found.sort(key=lambda p: (-p[1], p[0]))
     return df.sparkSession.createDataFrame(found[:k], "feature string, importance double")
 

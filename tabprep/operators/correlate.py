@@ -16,6 +16,7 @@ from ..session import pinned, shuffle_width
 from .rank import LOW_BITS, global_rank
 
 MAX_PHI_LEVELS = 50
+FEW_LEVELS = 10_000  # so many distinct values may be coded on the driver and broadcast
 
 
 def _pairs(df: DataFrame, rows: list[tuple[str, str, float | None]]) -> DataFrame:
@@ -74,8 +75,13 @@ def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _dense(df: DataFrame, column: str, name: str) -> tuple[DataFrame, int]:
     """Replace a column by the position of its value among the distinct values."""
-    codes = global_rank(level_counts(df, column), ["value"], ["value"], name)
-    codes = pinned(codes)
+    counts = level_counts(df, column)
+    few = [r["value"] for r in counts.select("value").limit(FEW_LEVELS + 1).collect()]
+    if len(few) <= FEW_LEVELS:
+        codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(sorted(few))], f"value double, {name} bigint")
+        joined = df.join(F.broadcast(codes), F.col(column) == codes["value"]).drop("value", column)
+        return joined, len(few)
+    codes = pinned(global_rank(counts, ["value"], ["value"], name))
     return lookup(df, F.col(column), codes, name).drop(column), codes.count()
 
 

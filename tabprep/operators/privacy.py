@@ -21,15 +21,20 @@ BLOCK = 64
 def masked(value: Column, secret: str) -> Column:
     """Letters a … p of the same length from a keyed digest: equal values stay equal everywhere.
 
-    Nothing is remembered between rows, so any number of tasks agree. Short values may collide.
+    The value is digested once; the digest and a counter give as many blocks as the length needs, so
+    the work grows with the length alone. Nothing is remembered between rows, so any number of tasks
+    agree. Short values may collide.
     """
     size = F.length(value)
     last = F.greatest(F.ceil(size / F.lit(BLOCK)) - 1, F.lit(0))
-    blocks = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")),
-        lambda b: F.sha2(F.concat(F.lit(f"{secret}:"), b.cast("string"), F.lit(":"), value), 256),
-    )
-    letters = F.translate(F.array_join(blocks, ""), "0123456789", "ghijklmnop")
+    core = F.sha2(F.concat(F.lit(f"{secret}:"), value), 256)
+
+    def blocks(digest: Column) -> Column:
+        counter = F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))
+        return F.array_join(F.transform(counter, lambda b: F.sha2(F.concat(digest, F.lit(":"), b.cast("string")), 256)), "")
+
+    # bound as a lambda variable, the digest is computed once per value and not once per block
+    letters = F.translate(F.element_at(F.transform(F.array(core), blocks), 1), "0123456789", "ghijklmnop")
     return F.when(value.isNotNull(), F.substring(letters, F.lit(1), size))
 
 
@@ -40,6 +45,12 @@ def pii_mask(df: DataFrame, columns: Sequence[str], secret: str) -> DataFrame:
     return df.select(*rest, *[masked(col(c).cast("string"), secret).alias(c) for c in columns])
 
 
+def _looks_like(value: Column, pattern: str) -> Column:
+    """Regex test, tried only where the sign every match must hold occurs at all."""
+    hit = value.rlike(PATTERNS[pattern])
+    return F.contains(value, F.lit("@")) & hit if pattern == "email" else hit
+
+
 def pii_scan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, pattern, matches, share) of every text column and pattern, in one aggregation."""
     names = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
@@ -47,7 +58,7 @@ def pii_scan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     tests = [(n, p) for n in names for p in PATTERNS]
     counted = df.agg(
         *[F.count(col(n)).alias(f"n{i}") for i, n in enumerate(names)],
-        *[F.count_if(col(n).rlike(PATTERNS[p])).alias(f"{p}{names.index(n)}") for n, p in tests],
+        *[F.count_if(_looks_like(col(n), p)).alias(f"{p}{names.index(n)}") for n, p in tests],
     )
     rows = []
     for n, p in tests:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from ..functions.columns import col, is_numeric, numeric_columns, ratio, require, require_numeric
 from ..functions.levels import value_counts
 from ..functions.quantiles import exact_quantiles
+from ..session import pinned
 from .rank import global_rank
 
 MAD_SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -178,25 +179,60 @@ def profile_extremes(df: DataFrame, column: str, k: int = 5) -> DataFrame:
     return low.unionByName(high)
 
 
+BLANKS = (" ", "\t", "\n", "\r")
+
+
+def _texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, text) of every text that is there."""
+    require(df, columns)
+    texts = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("text")) for c in columns])
+    return df.select(F.inline(texts)).where(F.col("text").isNotNull())
+
+
+def _tokens(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, token, n): pieces between blanks as written. Repeated pieces collapse before the shuffle."""
+    return (
+        _texts(df, columns)
+        .select("column", F.explode(F.split("text", f"[{''.join(BLANKS)}]")).alias("token"))
+        .where(F.col("token") != "")
+        .groupBy("column", "token")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def words(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, word, n): lower-case words between blanks."""
-    return _tokens(df, columns, lambda x: F.filter(F.split(F.lower(x), "[ \t\n\r]+"), lambda w: w != ""), "word")
+    return _words(_tokens(df, columns))
+
+
+def _words(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("column", F.lower("token").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def characters(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, character, n)."""
-    return _tokens(df, columns, lambda x: F.filter(F.split(x, ""), lambda c: c != ""), "character")
+    return _characters(df, columns, _tokens(df, columns))
 
 
-def _tokens(df: DataFrame, columns: Sequence[str], cut, name: str) -> DataFrame:
-    require(df, columns)
-    texts = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("text")) for c in columns])
-    long = df.select(F.inline(texts)).where(F.col("text").isNotNull())
-    return (
-        long.select("column", F.explode(cut(F.col("text"))).alias(name))
-        .groupBy("column", name)
-        .agg(F.count(F.lit(1)).alias("n"))
+def _characters(df: DataFrame, columns: Sequence[str], tokens: DataFrame) -> DataFrame:
+    """Characters of the distinct pieces, weighted by how often each occurs; blanks by length difference."""
+    inner = (
+        tokens.select("column", F.explode(F.split("token", "")).alias("character"), "n")
+        .where(F.col("character") != "")
+        .groupBy("column", "character")
+        .agg(F.sum("n").alias("n"))
+    )
+    size = F.length("text")
+    lost = [F.sum((size - F.length(F.replace(F.col("text"), F.lit(b)))).cast("bigint")) for b in BLANKS]
+    blanks = F.array(*[F.struct(F.lit(b).alias("character"), F.col(f"b{i}").alias("n")) for i, b in enumerate(BLANKS)])
+    outer = (
+        _texts(df, columns)
+        .groupBy("column")
+        .agg(*[x.alias(f"b{i}") for i, x in enumerate(lost)])
+        .select("column", F.inline(blanks))
+        .where(F.col("n") > 0)
     )
+    return inner.unionByName(outer)
 
 
 def profile_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -211,9 +247,10 @@ def profile_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     stacked = _stack(df.agg(*sizes), names, ["min_length", "mean_length", "max_length"])
     medians = exact_quantiles(df, {f"c{i}": (F.length(col(n)), [0.5]) for i, n in enumerate(names)})
     middle = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, medians[f"c{i}"][0.5])])
+    tokens = pinned(_tokens(df, names))
     both = [
         t.groupBy("column").agg(F.sum("n").alias(k), F.count(F.lit(1)).alias(f"distinct_{k}"))
-        for t, k in ((characters(df, names), "characters"), (words(df, names), "words"))
+        for t, k in ((_characters(df, names, tokens), "characters"), (_words(tokens), "words"))
     ]
     out = stacked.withColumn("median_length", middle[F.col("column")])
     for b in both:

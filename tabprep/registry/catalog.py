@@ -187,7 +187,7 @@ BOOK.add(
     "select doc_id, "
     + ", ".join(
         f"""substr(translate(list_aggregate(list_transform(range(0, greatest(ceil(length({c}) / 64.0), 1)::bigint),
-            lambda b: sha256('k3y:' || b::varchar || ':' || {c})), 'string_agg', ''), '0123456789', 'ghijklmnop'), 1, length({c})) as {c}"""
+            lambda b: sha256(sha256('k3y:' || {c}) || ':' || b::varchar)), 'string_agg', ''), '0123456789', 'ghijklmnop'), 1, length({c})) as {c}"""
         for c in ("text", "source")
     )
     + " from documents",

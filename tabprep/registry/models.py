@@ -16,7 +16,7 @@ from .tools import Book, rounded
 from .views import table
 
 BOOK = Book()
-QUICK_FOREST = {"n_estimators": 10, "max_depth": 4}
+QUICK = {"n_estimators": 10, "max_depth": 4, "max_iter": 10}
 
 
 def _families(spark, folder, view, target, features, key, families, classify):
@@ -27,7 +27,7 @@ def _families(spark, folder, view, target, features, key, families, classify):
     score = mt.classification_metrics if classify else mt.regression_metrics
     out = None
     for name, family in families.items():
-        model = family.fit(task, QUICK_FOREST if "n_estimators" in family.space or name == "bagging" else {})
+        model = family.fit(task, QUICK)
         one = score(model.transform(test), target, "prediction").select(F.lit(name).alias("family"), "*")
         out = one if out is None else out.unionByName(one)
     return rounded(out, 4)
