@@ -18,6 +18,8 @@ ACCURACY = 10_000  # the sketch is off by at most 1/ACCURACY of the rows
 MARGIN = 3.0 / ACCURACY
 SMALL = 50_000
 POINTS = 1_000
+BATCH = 60  # brackets counted in one pass
+COLUMNS = 40  # columns sketched in one pass
 
 
 def sketch_aggregates(tag: str, value: Column, probabilities: list[float]) -> dict[str, Column]:
@@ -162,7 +164,8 @@ def refine(
         row = df.agg(*[F.percentile(x, F.array(*[F.lit(p) for p in ps])) for x, ps in small.values()]).first()
         for (tag, (_, ps)), answers in zip(small.items(), row):
             done[tag].update(zip(ps, answers))
-    _search(df, list(large))
+    for i in range(0, len(large), BATCH):
+        _search(df, large[i : i + BATCH])
     for t in large:
         done[t.tag][t.p] = t.answer
     return done
@@ -172,8 +175,13 @@ def exact_quantiles(
     df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]
 ) -> dict[str, dict[float, float | None]]:
     """{tag: {p: value}} with linear interpolation, for any number of columns in shared passes."""
-    aggregates: dict[str, Column] = {}
-    for tag, (value, probabilities) in wanted.items():
-        aggregates.update(sketch_aggregates(tag, value, probabilities))
-    first = df.agg(*[c.alias(k) for k, c in aggregates.items()]).first().asDict()
-    return refine(df, wanted, first)
+    out: dict[str, dict[float, float | None]] = {}
+    tags = list(wanted)
+    for i in range(0, len(tags), COLUMNS):
+        part = {tag: wanted[tag] for tag in tags[i : i + COLUMNS]}
+        aggregates: dict[str, Column] = {}
+        for tag, (value, probabilities) in part.items():
+            aggregates.update(sketch_aggregates(tag, value, probabilities))
+        first = df.agg(*[c.alias(k) for k, c in aggregates.items()]).first().asDict()
+        out.update(refine(df, part, first))
+    return out

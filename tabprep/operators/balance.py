@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from ..functions.choose import mapped, step_value
 from ..functions.columns import col, data_type, require
 from ..functions.hashing import SPAN, hash32
 from .rank import hash_buckets, hash_rank
@@ -105,25 +107,13 @@ def sampling_targets(df: DataFrame, target: str, method: str, strategy: str | fl
     return df.sparkSession.createDataFrame([(c, counts[c], wanted[c]) for c in counts], f"`{target}` {kind}, n bigint, wanted bigint")
 
 
-def by_class(target: Column, values: dict[Any, Any]) -> Column:
-    """The value of a row's class."""
-    out = F.when(F.lit(False), F.lit(None))
-    for c, v in values.items():
-        out = out.when(target == F.lit(c), F.lit(v))
-    return out
-
-
 def draws(spark: SparkSession, need: dict[Any, int], target: str, dtype: T.DataType) -> DataFrame:
     """One row per draw: (target, j) with j = 1 … need of the class, made by the tasks."""
     need = {c: n for c, n in need.items() if n > 0}
     rows = spark.range(sum(need.values()))
-    label = F.when(F.lit(False), F.lit(None).cast(dtype))
-    start = F.when(F.lit(False), F.lit(None).cast("bigint"))
-    done = 0
-    for c, n in need.items():
-        label = label.when(F.col("id") < done + n, F.lit(c).cast(dtype))
-        start = start.when(F.col("id") < done + n, F.lit(done))
-        done += n
+    starts = list(accumulate(need.values(), initial=0))[:-1]
+    label = step_value(F.col("id"), starts[1:], list(need)).cast(dtype)
+    start = step_value(F.col("id"), starts[1:], starts)
     return rows.select(label.alias(target), (F.col("id") - start + 1).alias("j"))
 
 
@@ -132,7 +122,7 @@ def drawn_rows(df: DataFrame, target: str, need: dict[Any, int], counts: dict[An
     live = {c: n for c, n in need.items() if n > 0}
     ranked = hash_rank(df.where(col(target).isin(*live)), [target], key, seed, "__at")
     picks = draws(df.sparkSession, live, target, data_type(df, target))
-    picks = picks.withColumn("__at", F.pmod(hash32(seed, col(target), F.col("j")), by_class(col(target), counts)))
+    picks = picks.withColumn("__at", F.pmod(hash32(seed, col(target), F.col("j")), mapped(col(target), counts)))
     return picks.join(ranked, [target, "__at"]).drop("__at")
 
 
@@ -170,7 +160,7 @@ def random_undersample(
     sizes = (
         tagged.groupBy(col(target).alias("__c"), "__b")
         .agg(F.count(F.lit(1)).alias("__rows"))
-        .withColumn("__room", by_class(F.col("__c"), wanted) - F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+        .withColumn("__room", mapped(F.col("__c"), wanted) - F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
         .where(F.col("__room") > 0)
     )
     # classes times hash ranges, both bounded, so this table is small

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.columns import col, data_type, is_numeric, require, require_numeric
 from ..functions.levels import level_counts, lookup, value_counts
+from ..plans.pipeline import Pipeline, run_aggregates
 from ..session import pinned, shuffle_width
+from .bins import Bin
 from .rank import LOW_BITS, global_rank
 
 MAX_PHI_LEVELS = 50
@@ -24,12 +26,11 @@ def _pairs(df: DataFrame, rows: list[tuple[str, str, float | None]]) -> DataFram
 
 
 def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, corr) of every pair in one aggregation, over rows where both are present."""
+    """(a, b, corr) of every pair, over rows where both are present; a few hundred pairs share a pass."""
     require_numeric(df, columns)
     pairs = list(combinations(columns, 2))
-    wide = df.agg(*[F.corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(rows))
+    found = run_aggregates(df, {f"{i}": F.corr(col(a), col(b)) for i, (a, b) in enumerate(pairs)})
+    return _pairs(df, [(a, b, found[f"{i}"]) for i, (a, b) in enumerate(pairs)])
 
 
 def average_ranks(counts: DataFrame) -> DataFrame:
@@ -220,9 +221,6 @@ def phi_k(df: DataFrame, a: str, b: str) -> float | None:
 
 def corr_phi_k(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """phi_k of every pair; numeric columns are cut into even bins first."""
-    from ..plans.pipeline import Pipeline
-    from .bins import Bin
-
     require(df, columns)
     numeric = [c for c in columns if is_numeric(data_type(df, c))]
     narrow = df.select(*[col(c) for c in columns])

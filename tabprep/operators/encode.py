@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.choose import mapped
 from ..functions.columns import col, require
 from ..functions.levels import level_counts, lookup
 from ..plans.step import ColumnStep, default, register_step
@@ -48,10 +49,9 @@ class Encode(ColumnStep):
         self.state["levels"] = sorted(v for v, _ in found["levels"])
 
     def expression(self, x: Column) -> Column:
-        pairs = [F.lit(part) for i, v in enumerate(self.state["levels"]) for part in (v, i)]
-        if not pairs:
+        if not self.state["levels"]:
             return F.lit(None).cast("int")
-        code = F.try_element_at(F.create_map(*pairs), x)
+        code = mapped(x, {v: i for i, v in enumerate(self.state["levels"])})
         unseen = F.raise_error(F.concat(F.lit(f"unseen level in {self.column}: "), x.cast("string"))).cast("int")
         return F.when(x.isNotNull(), F.coalesce(code, unseen))
 

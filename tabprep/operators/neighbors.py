@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions.columns import col, data_type, require, require_numeric
-from ..functions.hashing import hash32
+from ..functions.choose import mapped
+from ..functions.hashing import SPAN, hash32
 from ..session import pinned
 
 MAX_PIVOTS = 2_000  # over all groups; cells² routes must fit the driver
@@ -80,7 +81,7 @@ def knn_join(
     offered = points(right).withColumn("__rn", F.row_number().over(same)).where(F.col("__rn") <= k + 1).drop("__rn")
     places = wanted.select(*SPOT).distinct()
 
-    pivots = _pivots(offered, k, seed)
+    pivots = _pivots(points(right), seed)
     offered = pinned(_assign(offered, pivots, weights, ["key", *SPOT]))
     places = pinned(_assign(places, pivots, weights, SPOT))
     best = _search(places, offered, pivots, weights, k + 1, data_type(right, key))
@@ -92,7 +93,7 @@ def knn_join(
     )
 
 
-def _pivots(offered: DataFrame, k: int, seed: int) -> pd.DataFrame:
+def _pivots(offered: DataFrame, seed: int) -> pd.DataFrame:
     """About sqrt(n)/4 points per group, drawn by key hash; a bounded number reaches the driver."""
     sizes = {r["g"]: r["n"] for r in offered.groupBy("g").agg(F.count(F.lit(1)).alias("n")).limit(MAX_PIVOTS + 1).collect()}
     if len(sizes) > MAX_PIVOTS:
@@ -100,11 +101,17 @@ def _pivots(offered: DataFrame, k: int, seed: int) -> pd.DataFrame:
     whole = sum(max(1.0, n**0.5 / 4) for n in sizes.values()) or 1.0
     shrink = min(1.0, MAX_PIVOTS / whole)
     share = {g: max(1, int(max(1.0, n**0.5 / 4) * shrink)) for g, n in sizes.items()}
-    draw = W.partitionBy("g").orderBy(hash32(seed, F.col("key")), "key")
+    # a hash threshold thins each group to about four times its share before anything is ordered
+    bars = {g: min(SPAN, int((4 * share[g] + 40) / n * SPAN)) for g, n in sizes.items()}
+    thinned = offered.withColumn("__h", hash32(seed, F.col("key"))).where(F.col("__h") < mapped(F.col("g"), bars))
+    draw = W.partitionBy("g").orderBy("__h", "key")
     most = max(share.values(), default=1)
-    drawn = offered.withColumn("__rn", F.row_number().over(draw)).where(F.col("__rn") <= most).toPandas()
-    kept = drawn[drawn["__rn"] <= drawn["g"].map(share)].drop(columns=["key"])
-    return kept.sort_values(["g", "__rn"]).drop(columns="__rn").reset_index(drop=True)
+    drawn = thinned.withColumn("__rn", F.row_number().over(draw)).where(F.col("__rn") <= most).drop("__h").toPandas()
+    missed = [offered.where(F.col("g") == g).limit(1).withColumn("__rn", F.lit(1)).toPandas() for g in set(sizes) - set(drawn["g"])]
+    drawn = pd.concat([drawn, *missed])
+    kept = drawn[drawn["__rn"] <= drawn["g"].map(share)].sort_values(["g", "__rn"])
+    same = kept["g"] + "|" + kept["x"].map(lambda v: repr(list(v))) + "|" + kept["s"].map(lambda v: repr(list(v)))
+    return kept[~same.duplicated()].drop(columns=["key", "__rn"]).reset_index(drop=True)
 
 
 def _assign(

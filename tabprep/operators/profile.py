@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions.columns import col, is_numeric, numeric_columns, ratio, require, require_numeric
+from ..functions.gram import gram_matrix
 from ..functions.levels import value_counts
 from ..functions.quantiles import exact_quantiles
 from ..session import pinned
@@ -15,6 +16,20 @@ from .rank import global_rank
 MAD_SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
+SLICE = 40  # columns whose measures share one aggregation; more would outgrow generated code
+
+
+def _sliced(names: Sequence[str], part) -> DataFrame:
+    """Rows of part(slice of names) for all names."""
+    out = None
+    for i in range(0, len(names), SLICE):
+        rows = part(names[i : i + SLICE])
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no columns to profile")
+    return out
+
+
 def _stack(wide: DataFrame, names: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """One wide aggregate row with fields f{i}_{field} to one row per column."""
     rows = F.array(
@@ -59,29 +74,19 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """Counts, moments and range of numeric columns: one pass for the measures, one shuffle for distinct values."""
     names = list(columns or numeric_columns(df))
     require_numeric(df, names)
-    measures = []
-    for i, n in enumerate(names):
-        x = col(n).cast("double")
-        measures += [
-            a.alias(f"c{i}_{k}")
-            for k, a in {
-                "count": F.count(x),
-                "missing": F.count_if(x.isNull()),
-                "mean": F.avg(x),
-                "std": F.stddev_samp(x),
-                "variance": F.var_samp(x),
-                "min": F.min(x),
-                "max": F.max(x),
-                "range": F.max(x) - F.min(x),
-                "sum": F.sum(x),
-                "cv": ratio(F.stddev_samp(x), F.avg(x)),
-                "zeros": F.count_if(x == 0),
-                "negatives": F.count_if(x < 0),
-                "infinite": F.count_if(F.abs(x) == F.lit(float("inf"))),
-            }.items()
-        ]
     fields = "count missing mean std variance min max range sum cv zeros negatives infinite".split()
-    stacked = _stack(df.agg(*measures), names, fields)
+
+    def measures(i: int, n: str) -> list:
+        x = col(n).cast("double")
+        found = [
+            F.count(x), F.count_if(x.isNull()), F.avg(x), F.stddev_samp(x), F.var_samp(x), F.min(x), F.max(x), F.max(x) - F.min(x),
+            F.sum(x), ratio(F.stddev_samp(x), F.avg(x)), F.count_if(x == 0), F.count_if(x < 0), F.count_if(F.abs(x) == F.lit(float("inf"))),
+        ]
+        return [a.alias(f"c{i}_{k}") for k, a in zip(fields, found)]
+
+    stacked = _sliced(
+        names, lambda part: _stack(df.agg(*[a for i, n in enumerate(part) for a in measures(i, n)]), part, fields)
+    )
     parts = [
         c.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.count_if(F.col("n") == 1).alias("unique"))
         for c in value_counts(df, {n: col(n) for n in names}).values()
@@ -262,25 +267,32 @@ def profile_missing(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """(column, present, missing, missing_share): the bar of gaps."""
     names = list(columns or df.columns)
     require(df, names)
-    wide = df.agg(
-        *[F.count(col(n)).alias(f"c{i}_present") for i, n in enumerate(names)],
-        *[F.count_if(col(n).isNull()).alias(f"c{i}_missing") for i, n in enumerate(names)],
-    )
-    bars = _stack(wide, names, ["present", "missing"])
+
+    def bar(part: Sequence[str]) -> DataFrame:
+        wide = df.agg(
+            *[F.count(col(n)).alias(f"c{i}_present") for i, n in enumerate(part)],
+            *[F.count_if(col(n).isNull()).alias(f"c{i}_missing") for i, n in enumerate(part)],
+        )
+        return _stack(wide, part, ["present", "missing"])
+
+    bars = _sliced(names, bar)
     return bars.withColumn("missing_share", ratio(F.col("missing"), F.col("present") + F.col("missing")))
 
 
 def missing_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(a, b, corr, distance) of the gap indicators of every pair: heatmap and dendrogram data."""
+    """(a, b, corr, distance) of the gap indicators of every pair: heatmap and dendrogram data.
+
+    Everything follows from the counts of joint gaps, one cross product of the indicators.
+    """
     names = list(columns or df.columns)
     require(df, names)
-    gap = {n: col(n).isNull().cast("double") for n in names}
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    measures = []
-    for i, (a, b) in enumerate(pairs):
-        measures += [F.corr(gap[a], gap[b]).alias(f"r{i}"), F.sqrt(F.count_if(gap[a] != gap[b]).cast("double")).alias(f"d{i}")]
-    rows = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.nanvl(F.col(f"r{i}"), F.lit(None)).alias("corr"), F.col(f"d{i}").alias("distance"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return df.agg(*measures).select(F.inline(F.array(*rows)))
+    gaps = df.select(*[col(n).isNull().cast("int").alias(f"g{i}") for i, n in enumerate(names)], F.lit(1).alias("all"))
+    joint = gram_matrix(gaps, gaps.columns)
+    n, rows = joint[-1, -1], []
+    for i, a in enumerate(names):
+        for j in range(i + 1, len(names)):
+            own, other, both = joint[i, i], joint[j, j], joint[i, j]
+            spread = own * (n - own) * other * (n - other)
+            corr = (n * both - own * other) / spread**0.5 if spread > 0 else None
+            rows.append((a, names[j], None if corr is None else float(corr), float((own + other - 2 * both) ** 0.5)))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double, distance double")

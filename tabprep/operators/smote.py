@@ -7,9 +7,10 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.choose import mapped
 from ..functions.columns import col, require_numeric
 from ..functions.hashing import hash32, uniform
-from .balance import by_class, drawn_rows, held_counts, wanted_rows
+from .balance import drawn_rows, held_counts, wanted_rows
 from .neighbors import knn_join
 
 
@@ -38,7 +39,7 @@ def _synthesize(
         rows.join(base.select(key).distinct(), key, "left_semi"), rows, numeric, k, key, target, categorical, mismatch
     )
     # a class smaller than k has fewer neighbours to choose from
-    choices = by_class(col(target), {c: min(k, counts[c] - 1) for c in need})
+    choices = mapped(col(target), {c: min(k, counts[c] - 1) for c in need})
     chosen = (
         base.withColumn("place", F.pmod(hash32(f"{seed}n", col(target), F.col("j")), choices).cast("int"))
         .withColumn("__u", uniform(f"{seed}u", col(target), F.col("j")))

@@ -11,14 +11,14 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import col, data_type, numeric_columns, require, require_numeric, total
 from ..functions.gram import EXPRESSION_COLUMNS, covariance
 from ..functions.hashing import gauss
 from ..ml.split import train_test_split
 from ..plans.pipeline import Pipeline, PipelineModel
-from .balance import by_class, draws, held_counts
+from .balance import draws, held_counts
 from .encode import Encode
 from .scale import Scale
 
@@ -124,30 +124,29 @@ def _prepared(df: DataFrame, target: str | None, skip: Sequence[str]) -> tuple[D
 
 def _generate(df: DataFrame, target: str | None, need: dict[Any, int], skip: Sequence[str], seed: int) -> DataFrame:
     table, names, encoders, scales = _prepared(df, target, skip)
-    live = [c for c, n in need.items() if n > 0]
-    models = {c: Latent.fit(*m) for c, m in _group_moments(table, names, target, live).items()}
     spark = df.sparkSession
     if target is None:
-        picks = spark.range(1, need[None] + 1).select(F.col("id").alias("j"), F.lit("").alias("__g"))
-        group, label = F.col("__g"), F.lit("")
-        models = {"": models[None]}
+        (moments,) = _group_moments(table, names, None, []).values()
+        models = {"": Latent.fit(*moments)}
+        group, kind = "__g", "string"
+        picks = spark.range(1, need[None] + 1).select(F.lit("").alias(group), F.col("id").alias("j"))
     else:
+        live = [c for c, n in need.items() if n > 0]
+        models = {c: Latent.fit(*m) for c, m in _group_moments(table, names, target, live).items()}
+        group, kind = target, data_type(df, target).simpleString()
         picks = draws(spark, need, target, data_type(df, target))
-        group = label = col(target)
     width = max(m.loadings.shape[1] for m in models.values())
-    z = [gauss(f"{seed}z{i}", label, F.col("j")) for i in range(width)]
-    latent = picks.withColumns({f"__z{i}": e for i, e in enumerate(z)})
-
-    def per_group(values: dict[Any, float]) -> Column:
-        return by_class(group, values)
-
+    # one row of numbers per class: classes are bounded, so the table is small
+    rows = [(c, m.means.tolist(), m.loadings.tolist(), m.sigma) for c, m in models.items()]
+    held = spark.createDataFrame(rows, f"`{group}` {kind}, __m array<double>, __w array<array<double>>, __s double")
+    latent = picks.withColumns({f"__z{q}": gauss(f"{seed}z{q}", col(group), F.col("j")) for q in range(width)})
+    latent = latent.join(F.broadcast(held), group)
+    noisy = any(m.sigma > 0 for m in models.values())
     out = {}
     for i, name in enumerate(names):
-        terms = [per_group({c: float(m.means[i]) for c, m in models.items()})]
-        for q in range(width):
-            terms.append(per_group({c: float(m.loadings[i, q]) if q < m.loadings.shape[1] else 0.0 for c, m in models.items()}) * F.col(f"__z{q}"))
-        if any(m.sigma > 0 for m in models.values()):
-            terms.append(per_group({c: float(m.sigma) for c, m in models.items()}) * gauss(f"{seed}e{i}", label, F.col("j")))
+        terms = [F.col("__m")[i], *[F.col("__w")[i][q] * F.col(f"__z{q}") for q in range(width)]]
+        if noisy:
+            terms.append(F.col("__s") * gauss(f"{seed}e{i}", col(group), F.col("j")))
         value = scales[name].inverse(total(terms))
         if name in encoders:
             value = encoders[name].decode(value)

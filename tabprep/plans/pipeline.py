@@ -13,6 +13,7 @@ from ..functions.levels import most_frequent, value_counts
 from ..functions.quantiles import refine, sketch_aggregates
 from .step import ColumnStep
 
+HELD_LEVELS = 10_000  # level counts that may reach the driver in one go
 WAVE_WIDTH = 400  # aggregates per job; more would outgrow generated code
 
 
@@ -209,7 +210,7 @@ def _levels(df: DataFrame, values: dict[str, Column], limits: dict[str, int]) ->
     """Per column its mode and, up to its limit, its (value, n) levels; None when there are more."""
     out: dict[str, dict[str, Any]] = {tag: {"mode": None, "levels": []} for tag in values}
     for counts in value_counts(df, values).values():
-        room = sum(max(limits.values(), default=0) + 1 for _ in values) + 1
+        room = max(HELD_LEVELS, (max(limits.values(), default=0) + 1) * len(values)) + 1
         rows = counts.limit(room).collect()
         if len(rows) < room:
             held: dict[str, list] = {}

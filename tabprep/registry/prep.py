@@ -8,6 +8,7 @@ from ..operators import levels as lv
 from ..operators.bins import equal_frequency
 from ..operators.encode import encode_ordinal
 from ..operators.rows import check_null, null_counts, remove_duplicates, remove_null
+from ..plans.step import ColumnStep, register_step
 from ..plans.preprocess import preprocess, preprocess_apply, preprocess_pipeline
 from .tools import Book, rounded
 from .views import VIEWS, over, table
@@ -312,4 +313,24 @@ BOOK.add(
         as c_mktsegment from t""",
 )
 
+
+@register_step
+class Center(ColumnStep):
+    """A step of a user's own: the distance to the mean."""
+
+    action = "center"
+    numeric_only = True
+
+    def aggregates(self, x):
+        return {"mean": F.avg(x)}
+
+    def learn(self, found):
+        self.state["mean"] = found["mean"]
+
+    def expression(self, x):
+        return x - F.lit(self.state["mean"])
+
+
+_gap("custom_step", BAL, [{"center": []}], f"round({BAL} - (select avg({BAL}) from t), 6) + 0.0::double")
+
 QUERIES, SQL = BOOK.queries, BOOK.sql

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import schema as sc
 from ..operators.rows import sanitize_names
-from ..session import scratch_path
+from ..session import scratch_path, shuffle_width
 from ..sources import tables as st
 from .tools import Book, rounded
 from .views import VIEWS, over, table
@@ -36,16 +36,19 @@ BOOK.add(
 
 
 def _skiprows(spark, folder):
-    """One file with two comment lines before its header."""
-    rows = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    text = rows.select(
+    """Files with two comment lines before their header, as an export of many files has them."""
+    files = 4 * shuffle_width(spark)
+    rows = table(spark, folder, "supplier").select(
+        F.pmod(F.col("s_suppkey"), F.lit(files)).alias("file"),
         F.col("s_suppkey").alias("o"),
         F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name", F.col("s_acctbal").cast("string")).alias("value"),
     )
-    head = spark.createDataFrame([(-3, "# exported"), (-2, "# two notes"), (-1, "s_suppkey,s_name,s_acctbal")], "o bigint, value string")
+    heads = F.array(
+        *[F.struct(F.lit(i).cast("bigint").alias("o"), F.lit(v).alias("value")) for i, v in ((-3, "# exported"), (-2, "# two notes"), (-1, "s_suppkey,s_name,s_acctbal"))]
+    )
+    tops = rows.select("file").distinct().select("file", F.inline(heads))
     path = scratch_path(spark, "notes")
-    # a single file needs a single writer; the supplier table stands for a file of that kind
-    head.union(text).repartition(1).sortWithinPartitions("o").select("value").write.text(path)
+    rows.union(tops).repartition("file").sortWithinPartitions("file", "o").select("file", "value").write.partitionBy("file").text(path)
     return st.cast_inferred(st.skiprows(spark, path, 2))
 
 

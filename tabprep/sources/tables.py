@@ -20,7 +20,7 @@ WHOLE = r"^[+-]?[0-9]{1,18}$"
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 ENDLESS = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 
-FIRST_BLOCK_ROW = (1 << 33) - 1
+SLICE = 100  # text columns whose types are tested in one pass
 
 
 def na_tokens(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
@@ -37,9 +37,19 @@ def na_tokens(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """(column, type) of text columns: bigint, double, boolean or string, in one aggregation."""
+    """(column, type) of text columns: bigint, double, boolean or string, in one aggregation per SLICE columns."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    fits = []
+    parts = [_fitting_types(df, names[i : i + SLICE]) for i in range(0, len(names), SLICE)]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, type string")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _fitting_types(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    fits, rows = [], []
     for i, n in enumerate(names):
         x = F.trim(col(n))
         fits += [
@@ -48,8 +58,6 @@ def infer_types(df: DataFrame) -> DataFrame:
             F.count_if(x.rlike(NUMBER) | F.lower(x).isin(*ENDLESS)).alias(f"d{i}"),
             F.count_if(F.lower(x).isin("true", "false")).alias(f"b{i}"),
         ]
-    rows = []
-    for i, n in enumerate(names):
         full = F.col(f"n{i}")
         kind = (
             F.when(full == 0, F.lit("string"))
@@ -71,24 +79,24 @@ def cast_inferred(df: DataFrame) -> DataFrame:
 
 
 def _after_lines(spark: SparkSession, path: str, skip: int, encoding: str) -> DataFrame:
-    """Lines of one file without its first `skip` physical lines, read in parallel.
+    """(value, head, at) without the first `skip` physical lines of every file, read in parallel.
 
-    The first block of the file is the first to be read in its partition, so the low bits of the row id
-    are line numbers there. The lines to drop must lie in that block; this is checked.
+    A block of a file is read by one task from its start, so within the first block of a file row ids
+    are consecutive, and the distance to the file's smallest id is the line number. The lines to drop
+    must lie in that block; this is checked.
     """
     lines = spark.read.text(path).select(
         "value",
+        F.col("_metadata.file_path").alias("file"),
         (F.col("_metadata.file_block_start") == 0).alias("head"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit(FIRST_BLOCK_ROW)).alias("at"),
+        F.monotonically_increasing_id().alias("id"),
     )
-    files, found = lines.where(F.col("head") & (F.col("at") < skip + 1)).agg(
-        F.count_if(F.col("at") == 0), F.count(F.lit(1))
-    ).first()
-    if files > 1:
-        raise ValueError("skipping lines works on one file, not on a folder of several")
-    if found < skip:
-        raise ValueError(f"cannot skip {skip} lines: the first block has {found}")
-    kept = lines.where(~(F.col("head") & (F.col("at") < skip)))
+    starts = lines.where("head").groupBy("file").agg(F.min("id").alias("start"), F.count(F.lit(1)).alias("n"))
+    least = starts.agg(F.min("n")).first()[0]
+    if least is None or least < skip:
+        raise ValueError(f"cannot skip {skip} lines: a file begins with a block of {least or 0}")
+    placed = lines.join(starts.drop("n"), "file").withColumn("at", F.col("id") - F.col("start"))
+    kept = placed.where(~(F.col("head") & (F.col("at") < skip))).select("value", "head", "at")
     if encoding.lower().replace("-", "") != "utf8":
         kept = kept.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
     return kept
@@ -97,16 +105,16 @@ def _after_lines(spark: SparkSession, path: str, skip: int, encoding: str) -> Da
 def skiprows(
     spark: SparkSession, path: str, skip: int, header: bool = True, sep: str = ",", encoding: str = "UTF-8"
 ) -> DataFrame:
-    """Text columns of a delimited file whose first `skip` lines are not part of the table."""
+    """Text columns of delimited files whose first `skip` lines are not part of the table."""
     lines = _after_lines(spark, path, skip, encoding)
-    first = lines.where(F.col("head") & (F.col("at") == skip)).select("value").first()
+    top = F.col("head") & (F.col("at") == skip)
+    first = lines.where(top).select("value").first()
     if first is None:
         raise ValueError("nothing left after the skipped lines")
     cells = spark.range(1).select(F.from_csv(F.lit(first[0]), F.lit(_wide(first[0].count(sep) + 1)), {"sep": sep}).alias("r"))
     values = [v for v in cells.first()["r"] if v is not None]
     names = values if header else [f"_c{i}" for i in range(len(values))]
-    body = lines.where(~(F.col("head") & (F.col("at") == skip))) if header else lines
-    body = body.where(F.length("value") > 0)
+    body = (lines.where(~top) if header else lines).where(F.length("value") > 0)
     return body.select(F.from_csv("value", F.lit(_quoted(names)), {"sep": sep}).alias("r")).select("r.*")
 
 
