@@ -136,11 +136,16 @@ def _generate(df: DataFrame, target: str | None, need: dict[Any, int], skip: Seq
         group, kind = target, data_type(df, target).simpleString()
         picks = draws(spark, need, target, data_type(df, target))
     width = max(m.loadings.shape[1] for m in models.values())
-    # one row of numbers per class: classes are bounded, so the table is small
-    rows = [(c, m.means.tolist(), m.loadings.tolist(), m.sigma) for c, m in models.items()]
-    held = spark.createDataFrame(rows, f"`{group}` {kind}, __m array<double>, __w array<array<double>>, __s double")
     latent = picks.withColumns({f"__z{q}": gauss(f"{seed}z{q}", col(group), F.col("j")) for q in range(width)})
-    latent = latent.join(F.broadcast(held), group)
+    if len(models) == 1:
+        (only,) = models.values()
+        numbers = {"__m": F.lit(only.means.tolist()), "__w": F.lit(only.loadings.tolist()), "__s": F.lit(only.sigma)}
+        latent = latent.withColumns(numbers)
+    else:
+        # one row of numbers per class: classes are bounded, so the table is small
+        rows = [(c, m.means.tolist(), m.loadings.tolist(), m.sigma) for c, m in models.items()]
+        held = spark.createDataFrame(rows, f"`{group}` {kind}, __m array<double>, __w array<array<double>>, __s double")
+        latent = latent.join(F.broadcast(held), group)
     noisy = any(m.sigma > 0 for m in models.values())
     out = {}
     for i, name in enumerate(names):
