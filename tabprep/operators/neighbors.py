@@ -25,6 +25,7 @@ from ..functions.hashing import SPAN, hash32
 from ..session import pinned
 
 MAX_PIVOTS = 2_000  # over all groups; cells² routes must fit the driver
+ONE_CELL = 2_000  # groups up to this size are searched whole
 BLOCK = 4_096  # rows of either side compared in one task step
 SLACK = 1e-9  # relative widening of bounds against rounding
 
@@ -94,13 +95,14 @@ def knn_join(
 
 
 def _pivots(offered: DataFrame, seed: int) -> pd.DataFrame:
-    """About sqrt(n)/4 points per group, drawn by key hash; a bounded number reaches the driver."""
+    """Points of each group drawn by key hash; a bounded number reaches the driver."""
     sizes = {r["g"]: r["n"] for r in offered.groupBy("g").agg(F.count(F.lit(1)).alias("n")).limit(MAX_PIVOTS + 1).collect()}
     if len(sizes) > MAX_PIVOTS:
         raise ValueError(f"more than {MAX_PIVOTS} groups: search them in parts")
-    whole = sum(max(1.0, n**0.5 / 4) for n in sizes.values()) or 1.0
-    shrink = min(1.0, MAX_PIVOTS / whole)
-    share = {g: max(1, int(max(1.0, n**0.5 / 4) * shrink)) for g, n in sizes.items()}
+    # finding a cell costs pivots, searching it costs points per cell: about 2 sqrt(n) pivots balance the two
+    ideal = {g: 1.0 if n <= ONE_CELL else 2 * n**0.5 for g, n in sizes.items()}
+    shrink = min(1.0, MAX_PIVOTS / (sum(ideal.values()) or 1.0))
+    share = {g: max(1, int(v * shrink)) for g, v in ideal.items()}
     # a hash threshold thins each group to about four times its share before anything is ordered
     bars = {g: min(SPAN, int((4 * share[g] + 40) / n * SPAN)) for g, n in sizes.items()}
     thinned = offered.withColumn("__h", hash32(seed, F.col("key"))).where(F.col("__h") < mapped(F.col("g"), bars))
