@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.columns import col, total
+from ..functions.columns import col, data_type, total
 from ..operators.neighbors import knn_join
 
 PREDICTION = "prediction"
@@ -105,8 +105,8 @@ class NeighbourModel:
         # rows alike in every column share their key and their answer
         asked = keyed.select(key, *[col(f) for f in self.features]).dropDuplicates([key])
         offered = self.train.withColumn(key, _row_key(self.train)).dropDuplicates([key])
-        near = knn_join(asked, offered, self.features, self.k, key, exclude_same=False)
-        votes = near.join(offered.select(F.col(key).alias("neighbour"), col(self.target).alias("__y")), "neighbour")
+        near = knn_join(asked, offered, self.features, self.k, key, exclude_same=False, carry=self.target)
+        votes = near.withColumn("__y", F.col("carry").cast(data_type(self.train, self.target)))
         exact = F.max(F.col("distance") == 0).over(W.partitionBy(key)) if self.by_distance else None
         weight = F.lit(1.0)
         if self.by_distance:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from ..functions.columns import col, data_type, require, require_numeric
 from ..functions.choose import mapped
 from ..functions.hashing import SPAN, hash32
+from ..functions.levels import HOT_SHARE
 from ..session import pinned
 
 MAX_PIVOTS = 2_000  # over all groups; cells² routes must fit the driver
@@ -56,12 +57,15 @@ def knn_join(
     categorical: Sequence[str] = (),
     mismatch: dict[str, float] | None = None,
     exclude_same: bool = True,
+    carry: str | None = None,
     seed: int = 5,
 ) -> DataFrame:
     """The k rows of `right` nearest to each row of `left`, in its group of `by`.
 
-    Both sides hold `key`, unique per side. Result: left key, place (0 = nearest), distance, neighbour
-    (the right key). Distance is Euclidean; every differing category adds mismatch[group]². Ties go to the smaller key.
+    Both sides hold `key`, unique per side. Result: left key, place (0 = nearest), distance, neighbour (the
+    right key), its numbers as neighbour_x and categories as neighbour_s, and `carry`, a column of the right side
+    as text. So nothing has to be looked up again by neighbour, which may be the same for very many rows.
+    Distance is Euclidean; every differing category adds mismatch[group]². Ties go to the smaller key.
     """
     for side in (left, right):
         require(side, [key, *features, *categorical, *([by] if by else [])])
@@ -70,27 +74,39 @@ def knn_join(
         raise ValueError("k must be at least 1")
     weights = {str(g): float(w) for g, w in (mismatch or {}).items()}
 
-    def points(df: DataFrame) -> DataFrame:
+    def points(df: DataFrame, extra: str | None = None) -> DataFrame:
         group = col(by).cast("string") if by else F.lit("")
         whole = df.na.drop(subset=[*features, *categorical, *([by] if by else [])])
         numbers = F.array(*[col(f).cast("double") for f in features])
         texts = F.array(*[col(c).cast("string") for c in categorical]).cast("array<string>")
-        return whole.select(col(key).alias("key"), group.alias("g"), numbers.alias("x"), texts.alias("s"))
+        more = [col(extra).cast("string").alias("extra")] if extra else []
+        return whole.select(col(key).alias("key"), group.alias("g"), numbers.alias("x"), texts.alias("s"), *more)
 
     wanted = points(left)
     same = W.partitionBy(*SPOT).orderBy("key")
-    offered = points(right).withColumn("__rn", F.row_number().over(same)).where(F.col("__rn") <= k + 1).drop("__rn")
-    places = wanted.select(*SPOT).distinct()
+    right_points = points(right, carry) if carry else points(right).withColumn("extra", F.lit(None).cast("string"))
+    offered = right_points.withColumn("__rn", F.row_number().over(same)).where(F.col("__rn") <= k + 1).drop("__rn")
+    places = wanted.groupBy(*SPOT).agg(F.count(F.lit(1)).alias("n"))
 
     pivots = _pivots(points(right), seed)
-    offered = pinned(_assign(offered, pivots, weights, ["key", *SPOT]))
-    places = pinned(_assign(places, pivots, weights, SPOT))
-    best = _search(places, offered, pivots, weights, k + 1, data_type(right, key))
-
-    listed = wanted.join(best, SPOT, "left")
+    offered = pinned(_assign(offered, pivots, weights, ["key", *SPOT, "extra"]))
+    places = pinned(_assign(places, pivots, weights, [*SPOT, "n"]))
+    best = pinned(_search(places, offered, pivots, weights, k + 1, data_type(right, key)))
+
+    # points that many rows share, at most 1/HOT_SHARE of them, are answered by broadcast
+    rows = places.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(places.where(F.col("n") > rows * HOT_SHARE).select(*SPOT))
+    often = wanted.join(hot, SPOT, "left_semi").join(F.broadcast(best.join(hot, SPOT, "left_semi")), SPOT)
+    listed = wanted.join(hot, SPOT, "left_anti").join(best, SPOT).unionByName(often)
     near = F.filter("near", lambda s: s["key"] != F.col("key")) if exclude_same else F.col("near")
     return listed.select(F.col("key").alias(key), F.posexplode(F.slice(near, 1, k)).alias("place", "s")).select(
-        col(key), "place", F.col("s.d").alias("distance"), F.col("s.key").alias("neighbour")
+        col(key),
+        "place",
+        F.col("s.d").alias("distance"),
+        F.col("s.key").alias("neighbour"),
+        F.col("s.x").alias("neighbour_x"),
+        F.col("s.s").alias("neighbour_s"),
+        F.col("s.extra").alias("carry"),
     )
 
 
@@ -202,12 +218,13 @@ def _search(
         )
 
     asks = block(places, "cell", "a", "b", F.xxhash64(*SPOT)).select("target", "a_at", "b_at", *SPOT)
-    gives = block(sent, "target", "b", "a", F.xxhash64("key")).select("target", "a_at", "b_at", "key", *SPOT)
+    gives = block(sent, "target", "b", "a", F.xxhash64("key")).select("target", "a_at", "b_at", "key", *SPOT, "extra")
 
     def nearest(_: tuple, here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         picked: list[pd.DataFrame] = []
         there = there.sort_values("key", kind="stable").reset_index(drop=True)
         keys = there["key"].to_numpy()
+        held = {"nx": there["x"].to_numpy(), "ns": there["s"].to_numpy(), "extra": there["extra"].to_numpy()}
         weight = weights.get(here["g"].iloc[0], 0.0) if len(here) else 0.0
         for start in range(0, len(here) if len(there) else 0, 512):
             part = here.iloc[start : start + 512]
@@ -221,17 +238,22 @@ def _search(
                 chosen.append(near)
                 dist.append(np.sqrt(d2[i][near]))
             out = part.iloc[np.concatenate(rows)][SPOT].reset_index(drop=True)
-            picked.append(out.assign(key=keys[np.concatenate(chosen)], d=np.concatenate(dist)))
+            at = np.concatenate(chosen)
+            picked.append(out.assign(key=keys[at], d=np.concatenate(dist), **{n: held[n][at] for n in ("nx", "ns", "extra")}))
         if not picked:
-            return pd.DataFrame({n: pd.Series(dtype=object) for n in [*SPOT, "key", "d"]})
+            return pd.DataFrame({n: pd.Series(dtype=object) for n in [*SPOT, "key", "d", "nx", "ns", "extra"]})
         return pd.concat(picked)
 
     schema = T.StructType(
-        [places.schema[s] for s in SPOT] + [T.StructField("key", key_type), T.StructField("d", T.DoubleType())]
+        [places.schema[s] for s in SPOT]
+        + [T.StructField("key", key_type), T.StructField("d", T.DoubleType())]
+        + [T.StructField("nx", offered.schema["x"].dataType), T.StructField("ns", offered.schema["s"].dataType)]
+        + [T.StructField("extra", T.StringType())]
     )
     blocks = ["target", "a_at", "b_at"]
     found = asks.groupBy(*blocks).cogroup(gives.groupBy(*blocks)).applyInPandas(nearest, schema)
     if (loads["b"] > 1).any():
         order = W.partitionBy(*SPOT).orderBy("d", "key")
         found = found.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= k).drop("__rn")
-    return found.groupBy(*SPOT).agg(F.sort_array(F.collect_list(F.struct("d", "key"))).alias("near"))
+    near = F.struct("d", "key", F.col("nx").alias("x"), F.col("ns").alias("s"), "extra")
+    return found.groupBy(*SPOT).agg(F.sort_array(F.collect_list(near)).alias("near"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.choose import mapped
 from ..functions.columns import col, require_numeric
 from ..functions.hashing import hash32, uniform
+from ..session import pinned
 from .balance import drawn_rows, held_counts, wanted_rows
 from .neighbors import knn_join
 
@@ -33,7 +34,7 @@ def _synthesize(
     if any(counts[c] < 2 for c in need):
         raise ValueError("a class of one row has no neighbours")
     rows = df.where(col(target).isin(*need))
-    base = drawn_rows(rows, target, need, counts, [key], seed)
+    base = pinned(drawn_rows(rows, target, need, counts, [key], seed))
     mismatch = _class_spread(rows, target, numeric) if categorical else None
     near = knn_join(
         rows.join(base.select(key).distinct(), key, "left_semi"), rows, numeric, k, key, target, categorical, mismatch
@@ -43,18 +44,18 @@ def _synthesize(
     chosen = (
         base.withColumn("place", F.pmod(hash32(f"{seed}n", col(target), F.col("j")), choices).cast("int"))
         .withColumn("__u", uniform(f"{seed}u", col(target), F.col("j")))
-        .join(near.select(key, "place", "neighbour"), [key, "place"])
+        .join(near.select(key, "place", "neighbour_x"), [key, "place"])
     )
-    other = rows.select(col(key).alias("neighbour"), *[col(c).alias(f"__n{i}") for i, c in enumerate(numeric)])
-    made = chosen.join(other, "neighbour")
+    made = chosen
     new = {
-        c: (col(c).cast("double") + F.col("__u") * (F.col(f"__n{i}").cast("double") - col(c).cast("double")))
+        c: (col(c).cast("double") + F.col("__u") * (F.col("neighbour_x")[i] - col(c).cast("double")))
         for i, c in enumerate(numeric)
     }
     if categorical:
-        votes = near.join(rows.select(col(key).alias("neighbour"), *[col(c) for c in categorical]), "neighbour")
         # k rows per base row: the most frequent category, the smallest on a tie
-        modes = votes.groupBy(key).agg(*[F.mode(col(c), True).alias(f"__m{i}") for i, c in enumerate(categorical)])
+        modes = near.groupBy(key).agg(
+            *[F.mode(F.col("neighbour_s")[i], True).alias(f"__m{i}") for i in range(len(categorical))]
+        )
         made = made.join(modes, key)
         new |= {c: F.col(f"__m{i}") for i, c in enumerate(categorical)}
     synthetic = made.select(

@@ -178,9 +178,11 @@ BOOK.add(
 BOOK.add(
     "sanitize_names",
     lambda spark, folder: sanitize_names(
-        table(spark, folder, "nation").toDF("n nationkey", "n-name", "n.region#key")
+        table(spark, folder, "customer")
+        .select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+        .toDF("c custkey", "c-name", "c.acct#bal", "c_mktsegment")
     ),
-    "select n_nationkey as nnationkey, n_name as nname, n_regionkey as nregionkey from nation",
+    "select c_custkey as ccustkey, c_name as cname, c_acctbal as cacctbal, c_mktsegment from customer",
 )
 
 MIXED = """select l_orderkey, l_quantity, l_linenumber, l_returnflag, cast(l_shipdate as date) as ship,
