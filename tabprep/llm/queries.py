@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from .mixing import OP10_SQL, op10_mixing
+from .packing import op4_packing
+from .secrets import op9_secret_scan
 from .token_files import op7_token_files
 
-QUERIES = {"op7_token_files": op7_token_files}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op4_packing": op4_packing,
+    "op7_token_files": op7_token_files,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_mixing": op10_mixing,
+}
+SQL = {"op10_mixing": OP10_SQL}
