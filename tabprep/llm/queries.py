@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op4_packing
+from .quality import op6_quality_rules
 from .secrets import op9_secret_scan
 from .token_files import op7_token_files
 
 QUERIES = {
     "op4_packing": op4_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op7_token_files": op7_token_files,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
