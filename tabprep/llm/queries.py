@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licences import op2_licence_scan
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op4_packing
 from .quality import op6_quality_rules
@@ -9,6 +10,7 @@ from .secrets import op9_secret_scan
 from .token_files import op7_token_files
 
 QUERIES = {
+    "op2_licence_scan": op2_licence_scan,
     "op4_packing": op4_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_files": op7_token_files,
