@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from .chat import OP3_SQL, op3_chat_formatting
 from .licences import op2_licence_scan
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op4_packing
 from .quality import op6_quality_rules
 from .secrets import op9_secret_scan
 from .token_files import op7_token_files
+from .topk import OP1_SQL, op1_topk_search
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op2_licence_scan": op2_licence_scan,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_packing": op4_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_files": op7_token_files,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
 }
-SQL = {"op10_mixing": OP10_SQL}
+SQL = {"op1_topk_search": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op10_mixing": OP10_SQL}
