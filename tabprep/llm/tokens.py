@@ -3,19 +3,45 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 LONGEST = 64  # code points; longer words are encoded each time
-HELD = 400_000  # words held per Python process; beyond that the memory starts anew
+HELD = 600_000  # words held per Python process; a full memory starts anew
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
+# Fixed value: the word pattern of the vocabulary file, for the characters PLAIN admits, lower-cased.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+SPECIAL = "<|"
+
+
+class _Words(dict):
+    """Ids of a word as little-endian unsigned 32-bit bytes, asked of the library the first time."""
+
+    def __init__(self, library) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.spelt = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.tokenize = library.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word if word.isascii() else self.spelt(word)[0][0]
+        ids = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= HELD:
+                self.clear()
+            self[word] = ids
+        return ids
+
 
 class WordEncoder:
-    """Ids as little-endian unsigned 32-bit bytes.
+    """Whole texts to ids, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pre-tokenizer never joins characters across white space and its normalizer treats the two sides of a
-    blank alone, so a text's ids are those of its blank-separated parts in a row. Only blank, tab and line ends are used
-    as separators: other white space stays inside a part and is left to the library.
+    Texts of plain characters (ASCII and precomposed Latin letters, which the vocabulary's normalizer only lower-cases) are
+    cut into words here, and every distinct word is encoded once by the library's model. In other texts that holds for the
+    plain parts between blanks, and the library encodes the other parts as they are: its pre-tokenizer joins nothing across
+    white space. Strings of special tokens go to the library too.
     """
 
     def __init__(self, path: str) -> None:
@@ -23,29 +49,19 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.words = _Words(self.library)
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
+        if PLAIN.fullmatch(text) and SPECIAL not in text:
+            return self._plain(text)
         parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        new = [p for p in set(parts) if p not in known]
-        if not new:
-            return b"".join(map(known.__getitem__, parts))
-        if len(known) + len(new) > HELD:
-            known.clear()
-            known[""] = b""
-            new = list(set(parts) - {""})
-        short = [p for p in new if len(p) <= LONGEST]
-        known.update(zip(short, self._ids(short)))
-        if len(short) == len(new):
-            return b"".join(map(known.__getitem__, parts))
-        long = [p for p in new if len(p) > LONGEST]
-        here = dict(zip(long, self._ids(long)))
-        return b"".join([known[p] if p in known else here[p] for p in parts])
+        other = [p for p in set(parts) if SPECIAL in p or not PLAIN.fullmatch(p)]
+        found = self.library.encode_batch_fast(other, add_special_tokens=False)
+        known = {p: array("I", e.ids).tobytes() for p, e in zip(other, found)}
+        return b"".join([known[p] if p in known else self._plain(p) for p in parts])
 
 
 def word_encoder(path: str) -> WordEncoder:
