@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_formatting
 from .licences import op2_licence_scan
+from .minhash import op8_near_duplicates
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op4_packing
 from .quality import op6_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_files": op7_token_files,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
 }
