@@ -11,12 +11,14 @@ from .quality import op6_quality_rules
 from .secrets import op9_secret_scan
 from .token_files import op7_token_files
 from .topk import OP1_SQL, op1_topk_search
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_licence_scan": op2_licence_scan,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_files": op7_token_files,
     "op8_near_duplicates": op8_near_duplicates,
