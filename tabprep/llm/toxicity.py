@@ -6,7 +6,8 @@ clause weakens all that follows, a target anywhere in the clause strengthens it,
 after it. A text's score is the logistic of the prior and its clauses' weights, so single words without weight add nothing.
 
 Insults are learnt: whole words and word beginnings that toxic texts have far more often than others, counted over one text
-of each family of copies, or a single copied text would lend its weight to all its words.
+of each family of copies, or a single copied text would lend its weight to all its words. A beginning must earn its place
+without the texts that a longer entry already explains.
 """
 
 from __future__ import annotations
@@ -171,11 +172,17 @@ def learn(docs: DataFrame, labels: DataFrame, grammar: Grammar) -> tuple[dict[by
     counts = {bytes(r["feature"]): r["n"] for r in top}
     against = feature_counts(texts.where(F.col("toxic") == 0), frozenset(counts)).collect()
     clean = {bytes(r["feature"]): r["n"] for r in against}
-    lexicon = {}
-    for feature, n in counts.items():
+    lexicon: dict[bytes, float] = {}
+    explained: dict[bytes, int] = {}  # of a beginning: toxic texts of the commonest longer entry that it begins
+    for feature in sorted(counts, key=lambda f: (f.endswith(b"*"), -len(f), f)):
+        n = counts[feature] - explained.get(feature, 0)
         ratio = ((n + 0.5) / (toxic + 1)) / ((clean.get(feature, 0) + 1.0) / (other + 2))
-        if ratio >= grammar.min_ratio:
+        if n >= least and ratio >= grammar.min_ratio:
             lexicon[feature] = min(grammar.max_weight, math.log(ratio))
+            for length in BEGINNINGS:
+                if len(feature.removesuffix(b"*")) > length:
+                    short = feature[:length] + b"*"
+                    explained[short] = max(explained.get(short, 0), counts[feature])
     return lexicon, prior
 
 
