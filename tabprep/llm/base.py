@@ -87,3 +87,14 @@ def long_id(column: str) -> Column:
 def filled(column: str) -> Column:
     """Null text is empty."""
     return F.coalesce(col(column).cast("string"), F.lit(""))
+
+
+def scan_number(row: Column | None) -> Column:
+    """The caller's row number, or one made in the scan. The latter is not the same in a second scan, so it serves only within
+    a result that is written."""
+    return F.monotonically_increasing_id() if row is None else row.cast("bigint")
+
+
+def content_row(*columns: str) -> Column:
+    """Row number made of what the row holds: rows with equal columns share it, in any scan."""
+    return F.xxhash64(*[col(c) for c in columns])

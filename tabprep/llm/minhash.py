@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import pinned, scratch_path
-from .base import filled, long_id, pick, stream, table
+from .base import filled, long_id, pick, scan_number, stream, table
 from .graph import components
 from .shingles import band_keys, set_digest, shingle_set, similar, super_minhash
 
@@ -163,15 +163,17 @@ def near_duplicates(
     rows: int = ROWS,
     doc_id: str = "doc_id",
     text: str = "text",
+    row: Column | None = None,
 ) -> DataFrame:
-    """row, doc_id, n_shingles, component_id, kept: one row per input row; `row` is its monotonically increasing id.
+    """row, doc_id, n_shingles, component_id, kept: one row per input row; `row` is a whole number by which a caller finds
+    its rows again, by default a number of the scan.
 
     Linked are documents whose shingle sets have 100 * intersection >= percent * union; a component's id is its smallest
     document id and that row is kept. Empty and null texts are linked with nothing. Rows that share an id are one
     document with the links of all its texts; rows without an id have component_id null and are kept. An empty table
     gives no row.
     """
-    picked = pick(docs, row=F.monotonically_increasing_id(), doc_id=long_id(doc_id), text=filled(text))
+    picked = pick(docs, row=scan_number(row), doc_id=long_id(doc_id), text=filled(text))
     found = signed(picked, shingle, bands, rows)
     known = found.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     classes = known.groupBy("class").agg(
@@ -182,18 +184,17 @@ def near_duplicates(
     buckets = entries.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("members"))
     members = pinned(entries.join(buckets.where(F.col("members") > 1).drop("members"), "key"))
     linked = links(picked, classes, members, shingle, bands, percent)
-    row_class = known.select("row", "doc_id", "class").join(classes.select("class", "rep"), "class")
     # an id with several texts joins their classes
-    several = known.groupBy("doc_id").agg(F.min("class").alias("one"), F.max("class").alias("other")).where(F.col("one") != F.col("other"))
-    joined = row_class.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    of_id = known.select("doc_id", "class").distinct().join(classes.select("class", "rep"), "class")
+    several = of_id.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where(F.col("u") != F.col("v"))
+    joined = of_id.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     labels = components(linked.unionByName(joined))
-    placed = row_class.join(labels, F.col("rep") == F.col("node"), "left").select(
-        "row", F.coalesce("label", "rep").alias("component")
-    )
-    component = F.coalesce("component", "doc_id")
+    placed = classes.select("class", "rep").join(labels, F.col("rep") == F.col("node"), "left")
+    placed = placed.select("class", F.coalesce("label", "rep").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (
-        found.select("row", "doc_id", "n_shingles")
-        .join(placed, "row", "left")
+        found.select("row", "doc_id", "n_shingles", "class")
+        .join(placed, "class", "left")
         .select("row", "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
     )
 

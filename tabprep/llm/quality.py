@@ -15,11 +15,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import col
 from ..session import scratch_path
-from .base import filled, long_id, pick, stream, table
+from .base import filled, long_id, pick, scan_number, stream, table
 
 BLANKS = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -220,15 +220,16 @@ def quality(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
+    row: Column | None = None,
 ) -> DataFrame:
-    """doc_id, the five measures, base_failed, kept, class_distance and word_distance (null below the guards), and `row`,
-    unique per input row (its monotonically increasing id).
+    """doc_id, the five measures, base_failed, kept, class_distance and word_distance (null below the guards), and
+    `row`, whole number by which a caller finds its rows again (default: a number of the scan).
 
     Null text has no words and fails the base rules, like any text of fewer than `min_words`. Null language is one language
     of its own. A word distance needs at least one common word. Repeated rows are judged alike. An empty table gives no row.
     """
     language = F.coalesce(col(lang).cast("string"), F.lit("\0null"))
-    picked = pick(docs, row=F.monotonically_increasing_id(), doc_id=long_id(doc_id), lang=language, text=filled(text))
+    picked = pick(docs, row=scan_number(row), doc_id=long_id(doc_id), lang=language, text=filled(text))
     common = candidates(picked, rules)
     rows = measured(picked, common)
     reference = references(rows, common, rules)

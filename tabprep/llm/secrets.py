@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import col
 from ..session import pinned
-from .base import filled, long_id, pick, stream, table
+from .base import filled, long_id, pick, scan_number, stream, table
 
 # The base patterns and shortest lengths of the contract, in its order.
 KINDS = ("assign", "access", "hex")
@@ -41,7 +41,7 @@ MAX_OWNERS = 1
 _HEX_ONLY = bytes(b"h"[0] if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _HEX_RUN = b"h" * SHORTEST["hex"]
 SPAN = "struct<kind:string,start:int,end:int,hash:bigint>"
-FOUND = "row long, doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, " + f"found array<{SPAN}>"
+FOUND = "nr long, row long, doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, " + f"found array<{SPAN}>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -80,10 +80,10 @@ def written(spans: Iterable[tuple]) -> str:
     return ",".join(f"{ORDER[s[1]]}:{s[0]}:{s[2]}" for s in spans)
 
 
-def scanned(docs: DataFrame, doc_id: str, text: str, owner: str, repository: str) -> DataFrame:
+def scanned(docs: DataFrame, doc_id: str, text: str, owner: str, repository: str, row: Column | None) -> DataFrame:
     """One row per document, pinned: row, doc_id, owner, repository, the counts, base_sha256, found. No text is kept."""
     owners = {"owner": col(owner).cast("string"), "repository": col(repository).cast("string")}
-    keys = pick(docs, row=F.monotonically_increasing_id(), doc_id=long_id(doc_id), **owners, words=filled(text))
+    keys = pick(docs, nr=F.monotonically_increasing_id(), row=scan_number(row), doc_id=long_id(doc_id), **owners, words=filled(text))
 
     def scan(rows: Iterable[tuple]) -> Iterator[tuple]:
         for *names, words in rows:
@@ -115,19 +115,21 @@ def secrets(
     text: str = "text",
     owner: str = "source",
     repository: str = "source",
+    row: Column | None = None,
 ) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (array), n_live, n_copied, and `row`, unique per input row.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (array), n_live, n_copied, and `row`, a whole
+    number by which a caller finds its rows again, by default a number of the scan.
 
     A span is (kind, start, end, live, n_owners), in code points, end exclusive, ordered by start and kind. It is live if at
     most `max_owners` owners carry its value. Base spans all stay; spans of the further kinds only where live. Empty and
     null texts have no span; repeated rows are separate rows of the same owner. An empty table gives no row.
     """
-    found = scanned(docs, doc_id, text, owner, repository)
-    spans = found.select("row", F.explode("found").alias("s")).select("row", "s.*")
+    found = scanned(docs, doc_id, text, owner, repository, row)
+    spans = found.select("nr", F.explode("found").alias("s")).select("nr", "s.*")
     judged = spans.join(ownership(found), "hash").withColumn("live", F.col("n_owners") <= max_owners)
     rank = F.array_position(F.array(*[F.lit(k) for k in ORDER]), F.col("kind"))
     judged = judged.where(F.col("kind").isin(*KINDS) | F.col("live"))
-    of_row = judged.groupBy("row").agg(
+    of_row = judged.groupBy("nr").agg(
         F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "live", "n_owners"))).alias("spans")
     )
     spans_col = F.coalesce(
@@ -136,7 +138,8 @@ def secrets(
     )
     return (
         found.drop("found", "owner", "repository")
-        .join(of_row, "row", "left")
+        .join(of_row, "nr", "left")
+        .drop("nr")
         .withColumn("spans", spans_col)
         .withColumn("n_live", F.size(F.filter("spans", lambda s: s["live"])).cast("bigint"))
         .withColumn("n_copied", F.size("spans") - F.col("n_live"))
