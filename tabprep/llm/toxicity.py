@@ -40,7 +40,7 @@ HELD = 300_000
 class Grammar:
     min_ratio: float = 8.0  # document share among toxic texts over that among others
     min_share: float = 0.01  # of toxic texts
-    min_texts: int = 5
+    min_texts: int = 8
     max_entries: int = 20_000  # of the lexicon, the most frequent first
     max_weight: float = 4.0
     threat: float = 2.0
@@ -128,7 +128,8 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     probability s; of a family the smallest id speaks.
     """
     known = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    joined = docs.where(~held_out("doc_id")).join(known, "doc_id").select("doc_id", "toxic", "text")
+    joined = docs.where(~held_out("doc_id")).join(known.hint("merge"), "doc_id")
+    joined = joined.select("doc_id", "toxic", "text")
 
     def with_family(rows: Iterable[tuple]) -> Iterator[tuple]:
         for name, toxic, text in rows:
