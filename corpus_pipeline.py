@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tabprep.functions.columns import col
 from tabprep.llm.base import content_row, long_id
 from tabprep.llm.minhash import near_duplicates
 from tabprep.llm.mixing import WORD, mixed
@@ -38,14 +39,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the rules reject go."""
     row = content_row("text", "lang")
     kept = _verdicts(quality(docs, row=row).where("kept"))
-    return _numbered(docs, row).join(kept, [ROW, ID], "left_semi").drop(ROW, ID)
+    return _numbered(docs, row).join(kept.hint("merge"), [ROW, ID], "left_semi").drop(ROW, ID)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; rows repeated as a whole become one."""
     row = content_row(*docs.columns)
     kept = _verdicts(near_duplicates(docs, row=row).where("kept"))
-    return _numbered(docs, row).join(kept, [ROW, ID], "left_semi").dropDuplicates([ROW, ID]).drop(ROW, ID)
+    return _numbered(docs, row).join(kept.hint("merge"), [ROW, ID], "left_semi").dropDuplicates([ROW, ID]).drop(ROW, ID)
 
 
 def redacted(text: str, spans: list) -> str:
@@ -74,13 +75,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     live = F.filter("spans", lambda s: s["live"])
     found = secrets(docs, row=row).where(F.col("n_live") > 0)
     marks = _verdicts(found, F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__spans"))
-    joined = _numbered(docs, row).join(marks, [ROW, ID], "left")
+    joined = _numbered(docs, row).join(marks.hint("merge"), [ROW, ID], "left")
     touched = F.col("__spans").isNotNull()
     clean = _redact(F.when(touched, F.col("text")), F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")))
     changed = {"text": F.when(touched, F.col("__clean")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(touched, F.length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.withColumn("__clean", clean).withColumns(changed).select(*docs.columns)
+    return joined.withColumn("__clean", clean).withColumns(changed).select(*[col(c) for c in docs.columns])
 
 
 _WORD = re.compile(WORD)
@@ -115,13 +116,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.array_repeat(F.col("__size"), whole.cast("int"))
     )
     plan = plan.select(ROW, ID, "__size", copies.alias("__copies"))
-    copied = numbered.join(plan, [ROW, ID]).withColumn("__words", F.explode("__copies"))
+    copied = numbered.join(plan.hint("merge"), [ROW, ID]).withColumn("__words", F.explode("__copies"))
     cut = F.col("__words") < F.col("__size")
     copied = copied.withColumn("__cut", _first_words(F.when(cut, F.col("text")), F.col("__words")))
     changed = {"text": F.when(cut, F.col("__cut")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(cut, F.length("__cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return copied.withColumns(changed).select(*docs.columns)
+    return copied.withColumns(changed).select(*[col(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def links(picked: DataFrame, reps: DataFrame, members: DataFrame, size: int, ban
                 yield rep, n, np.array(keys, dtype="<i8").tobytes(), elements.astype("<u8").tobytes(), block
 
     texts = picked.select(F.col("doc_id").alias("rep"), "text")
-    full = stream(wanted.join(texts, "rep"), rebuild, MEMBER + ", block long", as_bytes=("text",))
+    full = stream(wanted.hint("merge").join(texts, "rep"), rebuild, MEMBER + ", block long", as_bytes=("text",))
     sides = meetings.select("left", "right", F.col("left").alias("block"), F.lit(0).alias("side")).unionByName(
         meetings.where(F.col("left") != F.col("right")).select("left", "right", F.col("right").alias("block"), F.lit(1).alias("side"))
     )
