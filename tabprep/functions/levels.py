@@ -12,6 +12,8 @@ HOT_SHARE = 0.001
 def _family(dtype: T.DataType) -> str:
     if isinstance(dtype, T.IntegralType):
         return "bigint"
+    if isinstance(dtype, T.DecimalType):
+        return dtype.simpleString()
     if isinstance(dtype, T.NumericType):
         return "double"
     return "string"
@@ -53,22 +55,11 @@ def level_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def lookup(df: DataFrame, key: Column, levels: DataFrame, output: str) -> DataFrame:
-    """Left join of `df` to a level table (value, n, <output>) on key = value.
+    """Left join of `df` to a level table (value, <output>) on key = value, both in their own type.
 
-    Values with more than HOT_SHARE of the rows, at most 1/HOT_SHARE of them, are broadcast. Every
-    other row is joined by shuffle; the rows already answered take a spread-out key instead of their own.
+    The level table has each value once, so a hot value only makes a large partition of `df`, which adaptive execution
+    splits; -0.0 meets 0.0 and a null key meets nothing.
     """
-    total = levels.agg(F.sum("n")).first()[0] or 0
-    hot = levels.where(F.col("n") > total * HOT_SHARE).select(
-        F.col("value").alias("__hot"), F.col(output).alias("__hot_out")
-    )
-    cold = levels.where(F.col("n") <= total * HOT_SHARE).select(
-        F.col("value").cast("string").alias("__cold"), F.col(output).alias("__cold_out")
-    )
-    first = df.join(F.broadcast(hot), key == F.col("__hot"), "left")
-    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(4096)).cast("string"))
-    text = F.when(F.col("__hot").isNotNull() | key.isNull(), spread).otherwise(key.cast("string"))
-    joined = first.withColumn("__text", text).join(cold, F.col("__text") == F.col("__cold"), "left")
-    return joined.withColumn(output, F.coalesce("__hot_out", "__cold_out")).drop(
-        "__hot", "__hot_out", "__cold", "__cold_out", "__text"
-    )
+    found = levels.select(F.col("value").alias("__value"), F.col(output).alias("__found"))
+    joined = df.join(found, key == F.col("__value"), "left")
+    return joined.withColumn(output, F.col("__found")).drop("__value", "__found")

@@ -222,7 +222,7 @@ def _ridge_classifier(task: Task, p: dict[str, Any]) -> MlModel:
 
 def _hinge(task: Task, p: dict[str, Any]) -> MlModel:
     strength = 1.0 / (float(p["C"]) * task.rows) if "C" in p else 0.0001
-    estimator = mc.LinearSVC(**_columns(maxIter=min(int(p.get("max_iter", 100)), 1000), tol=float(p.get("tol", 1e-3)), regParam=strength))
+    estimator = mc.LinearSVC(**_columns(maxIter=int(p.get("max_iter", 100)), tol=float(p.get("tol", 1e-3)), regParam=strength))
     return _fit_ml(task, _one_vs_rest(task, estimator))
 
 
@@ -311,7 +311,8 @@ def _elastic(task: Task, p: dict[str, Any]) -> LinearModel:
 
 
 def _huber(task: Task, p: dict[str, Any]) -> LinearModel:
-    return _linear(task, {**p, "alpha": float(p.get("alpha", 0.0001))}, 0.0, loss="huber", epsilon=max(1.0001, float(p.get("epsilon", 1.35))))
+    # as in ridge, the penalty weighs a sum there and a mean here
+    return _linear(task, {**p, "alpha": float(p.get("alpha", 0.0001)) / task.rows}, 0.0, loss="huber", epsilon=max(1.0001, float(p.get("epsilon", 1.35))))
 
 
 def _bayes(task: Task, p: dict[str, Any]) -> LinearModel:

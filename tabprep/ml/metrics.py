@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import col, ratio, require
+from ..functions.columns import col, data_type, ratio, require
 
 EPS = 2.220446049250313e-16
 
@@ -57,12 +57,23 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, by: str | Sequence[str]
     )
 
 
+def label_type(df: DataFrame, *columns: str) -> str:
+    """The type in which labels of several columns can be compared: a whole 1 is a 1.0."""
+    types = [data_type(df, c) for c in columns]
+    if all(isinstance(t, T.IntegralType) for t in types):
+        return "bigint"
+    if all(isinstance(t, T.NumericType) for t in types):
+        return "double"
+    return "string"
+
+
 def classification_metrics(df: DataFrame, y: str, yhat: str, by: str | Sequence[str] | None = None) -> DataFrame:
     """Accuracy and support-weighted precision, recall, F1 from the confusion counts."""
     groups = _group(by)
     require(df, [y, yhat, *groups])
     g = [col(x) for x in groups]
-    cells = df.groupBy(*g, col(y).cast("string").alias("__y"), col(yhat).cast("string").alias("__p")).agg(
+    kind = label_type(df, y, yhat)
+    cells = df.groupBy(*g, col(y).cast(kind).alias("__y"), col(yhat).cast(kind).alias("__p")).agg(
         F.count(F.lit(1)).alias("n")
     )
     zero = F.lit(0).cast("bigint")

@@ -104,7 +104,7 @@ class NeighbourModel:
         key, keyed = "__row", df.withColumn("__row", _row_key(df))
         # rows alike in every column share their key and their answer
         asked = keyed.select(key, *[col(f) for f in self.features]).dropDuplicates([key])
-        offered = self.train.withColumn(key, _row_key(self.train)).dropDuplicates([key])
+        offered = self._votes(key)
         near = knn_join(asked, offered, self.features, self.k, key, exclude_same=False, carry=self.target)
         votes = near.withColumn("__y", F.col("carry").cast(data_type(self.train, self.target)))
         exact = F.max(F.col("distance") == 0).over(W.partitionBy(key)) if self.by_distance else None
@@ -120,6 +120,14 @@ class NeighbourModel:
             answer = votes.groupBy(key).agg((F.sum(F.col("__w") * F.col("__y")) / F.sum("__w")).alias(PREDICTION))
         return keyed.join(answer, key, "left").drop(key)
 
+    def _votes(self, key: str) -> DataFrame:
+        """Training rows; of rows alike in every column as many as can be among the k nearest, each with a key of its own."""
+        train = self.train.select(*[col(f) for f in self.features], col(self.target))
+        alike = train.withColumn(key, _row_key(train)).groupBy(key)
+        rows = alike.agg(*[F.first(col(c)).alias(c) for c in train.columns], F.count(F.lit(1)).alias("__n"))
+        rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.least("__n", F.lit(self.k)).cast("int"))))
+        return rows.withColumn(key, F.concat_ws("-", key, F.col("__copy").cast("string"))).drop("__n", "__copy")
+
 
 def _row_key(df: DataFrame) -> Column:
     """128 hash bits of the whole row as text."""

@@ -6,11 +6,15 @@ import json
 import math
 import random
 import time
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col, require, require_numeric
@@ -25,25 +29,37 @@ from .candidates import Family, classify_candidates, make_task, regress_candidat
 from .models import PREDICTION, LinearModel
 from .split import SEED, train_test_split
 
+# what a fit or a score may raise for its parameters or data; anything else is a fault of the program
+FIT_ERRORS = (PySparkException, Py4JError, ValueError, ArithmeticError, np.linalg.LinAlgError)
 GIVE_UP = 3  # failures after which a family is left out
 
 
 class Ucb1:
-    """Upper confidence bound choice (Auer et al. 2002): every arm once, then mean + sqrt(2 ln N / n)."""
+    """Upper confidence bound choice (Auer et al. 2002): every arm once, then mean + sqrt(2 ln N / n).
+
+    Scores of any scale are turned into rewards from 0 to 1 by their rank among all scores so far; a failure is 0.
+    """
 
     def __init__(self, arms: Sequence[str]) -> None:
-        self.scores: dict[str, list[float]] = {a: [] for a in arms}
+        self.scores: dict[str, list[float | None]] = {a: [] for a in arms}
+
+    def _rewards(self) -> dict[str, list[float]]:
+        known = sorted(s for seen in self.scores.values() for s in seen if s is not None)
+        return {
+            a: [0.0 if s is None else (bisect_left(known, s) + bisect_right(known, s)) / (2 * len(known)) for s in seen]
+            for a, seen in self.scores.items()
+        }
 
     def select(self) -> str:
         for arm, seen in self.scores.items():
             if not seen:
                 return arm
-        whole = sum(len(s) for s in self.scores.values())
-        return max(
-            self.scores, key=lambda a: sum(self.scores[a]) / len(self.scores[a]) + math.sqrt(2 * math.log(whole) / len(self.scores[a]))
-        )
+        rewards = self._rewards()
+        whole = sum(len(r) for r in rewards.values())
+        return max(rewards, key=lambda a: sum(rewards[a]) / len(rewards[a]) + math.sqrt(2 * math.log(whole) / len(rewards[a])))
 
-    def record(self, arm: str, score: float) -> None:
+    def record(self, arm: str, score: float | None) -> None:
+        """A larger score is better; None is a failure."""
         self.scores[arm].append(score)
 
     def drop(self, arm: str) -> None:
@@ -54,6 +70,7 @@ class Ucb1:
 class SearchResult:
     leaderboard: DataFrame
     models: dict[int, Any]
+    failures: list[tuple[str, str, str]] = field(default_factory=list)  # family, parameters, error
 
     def best(self) -> Any:
         return self.models[self.leaderboard.select("run_id").first()[0]]
@@ -108,7 +125,7 @@ def automl_search(
         task = make_task(train, target, features, classify, seed)
         rng, chooser = random.Random(seed), Ucb1(list(pool))
         failures = dict.fromkeys(pool, 0)
-        rows, models = [], {}
+        rows, models, failed = [], {}, []
         direction = 1.0 if mt.DIRECTIONS[metric] else -1.0
         run = 0
         while run < n_passes and chooser.scores:
@@ -121,13 +138,14 @@ def automl_search(
                 scores = _score(model.transform(test), target, classify, sensitive)
                 if scores[metric] is None:
                     raise ValueError(f"{metric} is undefined")
-            except Exception as error:
+            except FIT_ERRORS as error:
+                failed.append((name, json.dumps(params), f"{type(error).__name__}: {error}"))
                 failures[name] += 1
                 run += 1
                 if failures[name] >= GIVE_UP:
                     chooser.drop(name)
                 else:
-                    chooser.record(name, -1.0)
+                    chooser.record(name, None)
                 if not chooser.scores and not rows:
                     raise RuntimeError("no family could be fitted") from error
                 continue
@@ -138,7 +156,7 @@ def automl_search(
             run += 1
         columns = ", ".join(["name string", *[f"{m} double" for m in names], "tts double", "run_id int", "hyper_param string"])
         trials = df.sparkSession.createDataFrame(rows, columns)
-        return SearchResult(mt.leaderboard(trials, metric), models)
+        return SearchResult(mt.leaderboard(trials, metric), models, failed)
     finally:
         train.unpersist()
         test.unpersist()

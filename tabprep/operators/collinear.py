@@ -11,18 +11,30 @@ from ..functions.columns import col, numeric_columns, total
 from ..functions.gram import covariance, gram_matrix
 from ..plans.feature_step import FeatureStep, register_feature_step
 
+NULL_SHARE = 1e-13  # of the largest eigenvalue: below, a direction counts as empty
+NULL_PART = 1e-6  # of a column's unit length in the empty directions
+
 
 def inflation(gram: np.ndarray) -> np.ndarray:
-    """VIF without intercept from X'X: G_ii times the i-th diagonal of its inverse; infinite when singular."""
+    """VIF without intercept from X'X: G_ii times the i-th diagonal of its inverse.
+
+    Infinite for the columns that are a combination of others, so those with a part in the null space; for the others the
+    pseudo-inverse gives what the inverse would without the superfluous columns.
+    """
     if len(gram) == 1:
         return np.ones(1)
     size = np.sqrt(np.diag(gram))
-    if not np.all(size > 0):
-        return np.where(size > 0, 1.0, np.inf)
-    unit = gram / np.outer(size, size)
-    if np.linalg.cond(unit) > 1e14:
-        return np.full(len(gram), np.inf)
-    return np.diag(np.linalg.inv(unit))
+    out = np.full(len(gram), np.inf)
+    live = np.flatnonzero(size > 0)
+    if not len(live):
+        return out
+    unit = gram[np.ix_(live, live)] / np.outer(size[live], size[live])
+    values, vectors = np.linalg.eigh(unit)
+    null = values < values.max() * NULL_SHARE
+    inside = np.sqrt((vectors[:, null] ** 2).sum(axis=1)) > NULL_PART
+    inverse = (vectors[:, ~null] ** 2 / values[~null]).sum(axis=1)
+    out[live] = np.where(inside, np.inf, inverse)
+    return out
 
 
 def vif_scores(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -10,10 +10,12 @@ from pyspark.sql import Column, functions as F
 from ..functions.columns import ratio
 from ..plans.step import ColumnStep, default, register_step
 
+# fixed values: operation names of requests, and those that need a number
 OPERATIONS = ("log", "power", "add", "sub", "mul", "div", "boxcox", "reciprocal", "nthroot", "exp")
 NEEDS_VALUE = ("log", "power", "add", "sub", "mul", "div", "nthroot")
 DEFAULT_VALUE = 10
-GRID = [i / 4 for i in range(-20, 21)]
+GRID = [i / 4 for i in range(-20, 21)]  # where the search for lambda begins; it goes beyond if the peak does
+LAMBDA_STEP = 1e-6
 
 
 def power_transform(x: Column, lam: float) -> Column:
@@ -74,11 +76,16 @@ class MathOp(ColumnStep):
         best = max(range(len(grid)), key=likelihood) if found["n"] else 0
         self.state["lambda"] = grid[best]
         step = grid[1] - grid[0] if len(grid) > 1 else 0
-        if self.params["grid"] or step <= 1e-4 or not found["n"]:
+        if self.params["grid"] or step <= LAMBDA_STEP or not found["n"] or not math.isfinite(likelihood(best)):
             self.state.pop("grid", None)
             return None
-        # the likelihood has one peak: look again, forty times finer, around the best point
-        finer = [grid[best] - step + step / 20 * i for i in range(41)]
+        if best in (0, len(grid) - 1):
+            # the likelihood has one peak, and it lies beyond the grid: go on in strides of twice the size
+            stride = 2 * step * (1 if best else -1)
+            finer = sorted(grid[best] + stride * (i - 1) for i in range(41))
+        else:
+            # look again, twenty times finer, around the best point
+            finer = [grid[best] - step + step / 20 * i for i in range(41)]
         self.state["grid"] = finer
         return lambda x: self._likelihoods(x, finer)
 

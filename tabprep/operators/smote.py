@@ -21,6 +21,17 @@ def _class_spread(df: DataFrame, target: str, features: Sequence[str]) -> dict[s
     return {r[0]: float(np.median([v or 0.0 for v in r[1:]])) for r in rows}
 
 
+def _refuse_gaps(rows: DataFrame, features: Sequence[str], numeric: Sequence[str], key: str) -> None:
+    """A missing value has no neighbours and a key that repeats would multiply draws: both are errors, not fewer rows."""
+    gaps = [F.count_if(col(c).isNull() | (F.isnan(col(c).cast("double")) if c in numeric else F.lit(False))).alias(f"g{i}") for i, c in enumerate(features)]
+    found = rows.agg(*gaps).first()
+    missing = [c for i, c in enumerate(features) if found[i]]
+    if missing:
+        raise ValueError(f"missing values in {', '.join(missing)}: impute first")
+    if not rows.groupBy(col(key)).count().where((F.col("count") > 1) | col(key).isNull()).isEmpty():
+        raise ValueError(f"{key} is not a key of the rows to sample from")
+
+
 def _synthesize(
     df: DataFrame, target: str, categorical: Sequence[str], strategy, k: int, key: str, seed: int, method: str
 ) -> DataFrame:
@@ -34,6 +45,7 @@ def _synthesize(
     if any(counts[c] < 2 for c in need):
         raise ValueError("a class of one row has no neighbours")
     rows = df.where(col(target).isin(*need))
+    _refuse_gaps(rows, [*numeric, *categorical], numeric, key)
     base = pinned(drawn_rows(rows, target, need, counts, [key], seed))
     mismatch = _class_spread(rows, target, numeric) if categorical else None
     near = knn_join(

@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import col, data_type, require
 from ..functions.levels import most_frequent, value_counts
@@ -187,12 +187,15 @@ def _learn(plan: _Plan, wave: list[ColumnStep]) -> None:
         limits = {tag: s.level_limit() or 0 for (tag, _), s in zip(values.items(), wave) if tag in leveled}
         for tag, answer in _levels(plan.df, leveled, limits).items():
             found[tag].update(answer)
+    for (tag, x), step in zip(values.items(), wave):
+        if step.level_limit() is not None and found[tag].get("levels", ()) is None:
+            step.learn_many(plan.df, x)
     again = {tag: (step, more) for tag, step in zip(values, wave) if (more := step.learn(found[tag]))}
-    if again:
+    while again:
         extra = {f"{t}.{k}": a for t, (_, more) in again.items() for k, a in more(values[t]).items()}
         learned = run_aggregates(plan.df, extra)
-        for tag, (step, _) in again.items():
-            step.learn({k.partition(".")[2]: v for k, v in learned.items() if k.startswith(f"{tag}.")})
+        parts = {t: {k.partition(".")[2]: v for k, v in learned.items() if k.startswith(f"{t}.")} for t in again}
+        again = {t: (step, more) for t, (step, _) in again.items() if (more := step.learn(parts[t]))}
 
 
 def run_aggregates(df: DataFrame, aggregates: dict[str, Column]) -> dict[str, Any]:
@@ -209,6 +212,9 @@ def run_aggregates(df: DataFrame, aggregates: dict[str, Column]) -> dict[str, An
 def _levels(df: DataFrame, values: dict[str, Column], limits: dict[str, int]) -> dict[str, dict[str, Any]]:
     """Per column its mode and, up to its limit, its (value, n) levels; None when there are more."""
     out: dict[str, dict[str, Any]] = {tag: {"mode": None, "levels": []} for tag in values}
+    types = {f.name: f.dataType for f in df.select(*[v.alias(t) for t, v in values.items()]).schema.fields}
+    # fitted values are kept as JSON, where a decimal is a double
+    values = {t: v.cast("double") if isinstance(types[t], T.DecimalType) else v for t, v in values.items()}
     for counts in value_counts(df, values).values():
         room = max(HELD_LEVELS, (max(limits.values(), default=0) + 1) * len(values)) + 1
         rows = counts.limit(room).collect()

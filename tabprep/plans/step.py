@@ -59,6 +59,9 @@ class ColumnStep:
         """
         return None
 
+    def learn_many(self, df: DataFrame, x: Column) -> None:
+        """Called before `learn` when the column x of df has more levels than the step's limit."""
+
     def expression(self, x: Column) -> Column:
         raise NotImplementedError
 

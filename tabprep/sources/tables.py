@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -16,7 +17,7 @@ NA_TOKENS = (
 )
 
 # fixed values: what a number looks like in text
-WHOLE = r"^[+-]?[0-9]{1,18}$"
+WHOLE = r"^[+-]?[0-9]{1,38}$"
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 ENDLESS = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 
@@ -37,7 +38,10 @@ def na_tokens(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """(column, type) of text columns: bigint, double, boolean or string, in one aggregation per SLICE columns."""
+    """(column, type) of text columns: bigint, decimal(38,0) for longer whole numbers, double, boolean or string.
+
+    One aggregation per SLICE columns; a cell is tested by pattern only where it is no bigint.
+    """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     parts = [_fitting_types(df, names[i : i + SLICE]) for i in range(0, len(names), SLICE)]
     if not parts:
@@ -52,16 +56,19 @@ def _fitting_types(df: DataFrame, names: Sequence[str]) -> DataFrame:
     fits, rows = [], []
     for i, n in enumerate(names):
         x = F.trim(col(n))
+        short = x.try_cast("bigint").isNotNull()
         fits += [
             F.count(x).alias(f"n{i}"),
-            F.count_if(x.rlike(WHOLE)).alias(f"l{i}"),
-            F.count_if(x.rlike(NUMBER) | F.lower(x).isin(*ENDLESS)).alias(f"d{i}"),
-            F.count_if(F.lower(x).isin("true", "false")).alias(f"b{i}"),
+            F.count_if(short).alias(f"l{i}"),
+            F.count_if(F.when(short, True).otherwise(x.rlike(WHOLE))).alias(f"w{i}"),
+            F.count_if(F.when(short, True).otherwise(x.rlike(NUMBER) | F.lower(x).isin(*ENDLESS))).alias(f"d{i}"),
+            F.count_if(F.when(short, False).otherwise(F.lower(x).isin("true", "false"))).alias(f"b{i}"),
         ]
         full = F.col(f"n{i}")
         kind = (
             F.when(full == 0, F.lit("string"))
             .when(F.col(f"l{i}") == full, F.lit("bigint"))
+            .when(F.col(f"w{i}") == full, F.lit("decimal(38,0)"))
             .when(F.col(f"d{i}") == full, F.lit("double"))
             .when(F.col(f"b{i}") == full, F.lit("boolean"))
             .otherwise(F.lit("string"))
@@ -95,7 +102,8 @@ def _after_lines(spark: SparkSession, path: str, skip: int, encoding: str) -> Da
     least = starts.agg(F.min("n")).first()[0]
     if least is None or least < skip:
         raise ValueError(f"cannot skip {skip} lines: a file begins with a block of {least or 0}")
-    placed = lines.join(starts.drop("n"), "file").withColumn("at", F.col("id") - F.col("start"))
+    # one row per file of the listing, which the driver holds already
+    placed = lines.join(F.broadcast(starts.drop("n")), "file").withColumn("at", F.col("id") - F.col("start"))
     kept = placed.where(~(F.col("head") & (F.col("at") < skip))).select("value", "head", "at")
     if encoding.lower().replace("-", "") != "utf8":
         kept = kept.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
@@ -108,24 +116,28 @@ def skiprows(
     """Text columns of delimited files whose first `skip` lines are not part of the table."""
     lines = _after_lines(spark, path, skip, encoding)
     top = F.col("head") & (F.col("at") == skip)
-    first = lines.where(top).select("value").first()
-    if first is None:
+    tops = lines.where(top).select("value")
+    heads = [r[0] for r in (tops.distinct() if header else tops).limit(2).collect()]
+    if not heads:
         raise ValueError("nothing left after the skipped lines")
-    cells = spark.range(1).select(F.from_csv(F.lit(first[0]), F.lit(_wide(first[0].count(sep) + 1)), {"sep": sep}).alias("r"))
-    values = [v for v in cells.first()["r"] if v is not None]
-    names = values if header else [f"_c{i}" for i in range(len(values))]
+    if header and len(heads) > 1:
+        raise ValueError(f"files with different headers: {heads[0]!r} and {heads[1]!r}")
+    cells = next(csv.reader([heads[0]], delimiter=sep))
+    names = [c if header and c else f"_c{i}" for i, c in enumerate(cells)]
     body = (lines.where(~top) if header else lines).where(F.length("value") > 0)
-    return body.select(F.from_csv("value", F.lit(_quoted(names)), {"sep": sep}).alias("r")).select("r.*")
-
-
-def _wide(n: int) -> str:
-    return ", ".join(f"c{i} string" for i in range(n))
+    return body.select(F.from_csv("value", F.lit(_quoted(names)), {"sep": sep, "escape": '"'}).alias("r")).select("r.*")
 
 
 def _quoted(names: Sequence[str]) -> str:
     return ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
 
 
+def broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, so that a record may go on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -136,15 +148,26 @@ def read_csv(
     encoding: str = "UTF-8",
     tokens: Sequence[str] = NA_TOKENS,
     schema: str | None = None,
+    multiline: bool | None = None,
 ) -> DataFrame:
-    """A delimited file: options, missing-value texts, then types (given, or found in one pass)."""
+    """A delimited file: options, missing-value texts, then types (given, or found in one pass).
+
+    With `multiline` a quoted value may hold line ends, and each file is read by one task; None looks whether any line
+    leaves a quote open. Lines are skipped before quotes are seen, so `skip` needs records of one line. `nrows` takes
+    the first rows in order of file name and line; they are held on the driver, so what is typed is what is returned.
+    """
     if skip:
-        df = skiprows(spark, path, skip, header, sep, encoding)
+        if multiline or (multiline is None and broken_lines(spark, path)):
+            raise ValueError("lines can only be skipped where records do not go over a line end")
+
+        def read(at: str) -> DataFrame:
+            return skiprows(spark, at, skip, header, sep, encoding)
+
     else:
-        reader = spark.read.options(header=header, sep=sep, encoding=encoding, multiLine=False, escape='"')
-        df = reader.csv(path)
-    if nrows is not None:
-        df = df.limit(nrows)
+        over = broken_lines(spark, path) if multiline is None else multiline
+        reader = spark.read.options(header=header, sep=sep, encoding=encoding, multiLine=over, escape='"')
+        read = reader.csv
+    df = read(path) if nrows is None else _first_rows(spark, path, read, nrows)
     df = na_tokens(df, tokens)
     if schema:
         wanted = spark.createDataFrame([], schema).schema
@@ -153,6 +176,17 @@ def read_csv(
     return cast_inferred(df)
 
 
+def _first_rows(spark: SparkSession, path: str, read: Callable[[str], DataFrame], n: int) -> DataFrame:
+    """The first n rows by file name and line. Files are opened one by one until there are enough."""
+    rows: list = []
+    whole = read(path)
+    for file in sorted(spark.read.text(path).inputFiles()):
+        if len(rows) >= n:
+            break
+        rows += [tuple(r) for r in read(file).head(n - len(rows))]
+    return spark.createDataFrame(rows, whole.schema)
+
+
 def version_path(root: str, dataset_id: int, version_id: int) -> str:
     return f"{root}/dataset_id={int(dataset_id)}/version_id={int(version_id)}"
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabprep.operators.balance import problem_type, random_oversample, random_undersample, task_type, wanted_rows
+from tabprep.operators.profile import profile_numeric
 from tabprep.operators.smote import smote, smote_nc
 from tabprep.operators.synth import distribution_compare, synthesize_class, synthesize_rows
 
@@ -114,3 +115,20 @@ def test_kinds_of_problem(classes):
     assert task_type(classes, "y") == "classification" and task_type(classes, "id") == "regression"
     with pytest.raises(ValueError):
         problem_type(classes.where("y = 'big'"), "y")
+
+
+def test_smote_refuses_gaps_and_repeated_keys(spark):
+    rows = [(i, float(i % 17) if i % 9 else None, "pos" if i % 5 == 0 else "neg") for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, x double, c string")
+    with pytest.raises(ValueError, match="missing values in x"):
+        smote(df, "c")
+    with pytest.raises(ValueError, match="not a key"):
+        smote(df.na.fill(0.0).withColumn("id", F.col("id") % 3), "c")
+    done = smote(df.na.fill(0.0), "c").groupBy("c").count().collect()
+    assert {r["count"] for r in done} == {160}
+
+
+def test_decimals_keep_their_digits(spark):
+    df = spark.createDataFrame([("1234567890123456789012345678.01",), ("1234567890123456789012345678.02",)], "s string")
+    df = df.selectExpr("cast(s as decimal(30,2)) as v")
+    assert profile_numeric(df).first()["distinct"] == 2

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from tabprep.functions.gram import covariance, gram_matrix
 from tabprep.ml.candidates import classify_candidates, make_task, regress_candidates
 from tabprep.ml.metrics import classification_metrics, eq_odds_ratio, leaderboard, regression_metrics
-from tabprep.ml.models import LinearModel, bayesian_ridge
+from tabprep.ml.models import LinearModel, NeighbourModel, bayesian_ridge
 from tabprep.ml.search import Ucb1, automl_search, batch_score, dependence_data, fit_model, global_importance
 from tabprep.ml.split import train_test_split
 from tabprep.operators.collinear import components, inflation, noncollinear
+from tabprep.operators.correlate import phi_k
 from tabprep.plans.features import fe_apply, feature_engineer
 from tabprep.plans.preprocess import preprocess_pipeline
 from tabprep.streaming.score import stream_score, to_parquet
@@ -153,3 +154,42 @@ def test_stream_equals_batch(spark, points, tmp_path):
     assert got == {r["id"]: r["prediction"] for r in batch_score(points.select("id", "a", "b"), steps, model).collect()}
     with pytest.raises(ValueError):
         stream_score(arriving, steps, fit_model(points, "y", ["a", "b"], "knn"))
+
+
+def test_collinear_twins_leave_the_free_column():
+    rng = np.random.default_rng(4)
+    z, a = rng.normal(size=(2, 200))
+    x = np.column_stack([z, a, 2 * a])
+    scores = inflation(x.T @ x)
+    assert np.isfinite(scores[0]) and np.isinf(scores[1:]).all()
+    assert [n for n, _ in noncollinear(x.T @ x, ["z", "a", "twin"], 5.0)] in (["z", "twin"], ["twin", "z"])
+    plain = np.column_stack([z, a, a + 0.3 * z + 0.1 * rng.normal(size=200)])
+    gram = plain.T @ plain
+    unit = gram / np.sqrt(np.outer(np.diag(gram), np.diag(gram)))
+    assert np.allclose(inflation(gram), np.diag(np.linalg.inv(unit)))
+
+
+def test_labels_of_other_types(spark):
+    df = spark.createDataFrame([(1, 1.0), (0, 0.0), (1, 0.0)], "y int, p double")
+    assert classification_metrics(df, "y", "p").first()["accuracy"] == pytest.approx(2 / 3)
+
+
+def test_equal_training_rows_keep_their_votes(spark):
+    rows = [(0.0, "a")] * 5 + [(0.1, "b"), (0.2, "b"), (0.3, "b"), (0.4, "b")]
+    model = NeighbourModel(spark.createDataFrame(rows, "x double, y string"), ["x"], "y", 5, False, True)
+    assert model.transform(spark.createDataFrame([(0.01,)], "x double")).first()["prediction"] == "a"
+
+
+def test_ucb_rewards_do_not_depend_on_the_scale():
+    chooser = Ucb1(["bad", "good", "fails"])
+    picks = []
+    for _ in range(60):
+        arm = chooser.select()
+        picks.append(arm)
+        chooser.record(arm, None if arm == "fails" else -5000.0 if arm == "bad" else -40.0)
+    assert picks.count("good") > picks.count("bad") > 0 and picks.count("good") > picks.count("fails")
+
+
+def test_phi_k_takes_many_levels(spark):
+    df = spark.range(4000).select(F.concat(F.lit("a"), F.col("id") % 60).alias("a"), F.concat(F.lit("b"), F.col("id") % 60).alias("b"))
+    assert phi_k(df, "a", "b") > 0.9

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,9 +148,36 @@ def test_ordinal(cars, spark):
 
 def test_ordinal_beyond_the_literal_limit(spark):
     df = spark.range(3000).select(F.col("id"), F.format_string("v%05d", 2999 - F.col("id")).alias("v"))
-    with pytest.raises(ValueError):
-        run(df, Encode("v"))
     assert values(encode_ordinal(df, "v"), "v") == list(range(2999, -1, -1))
+    model = Pipeline([Encode("v")]).fit(df)
+    again = type(model).from_json(model.to_json())
+    assert values(again.transform(df.limit(5)), "v") == [2999, 2998, 2997, 2996, 2995]
+    with pytest.raises(ValueError, match="max_levels"):
+        Pipeline([Encode("v", "onehot encoder")]).fit(df)
+    assert len(Pipeline([Encode("v", "onehot encoder", 30)]).fit(df.where("id < 30")).transform(df).columns) == 31
+
+
+def test_zero_has_one_sign(spark):
+    df = spark.createDataFrame([(i, -0.0 if i % 2 else 0.0 if i % 4 else float(i)) for i in range(2500)], "id int, v double")
+    levels = ordinal_levels(df, "v")
+    codes = {r["id"]: r["v"] for r in apply_ordinal_levels(df, "v", levels).collect()}
+    assert len(codes) == 2500 and {codes[i] for i in range(1, 100, 2)} == {0}
+
+
+def test_boxcox_finds_the_peak_wherever_it_lies(spark):
+    rng = np.random.default_rng(3)
+    for lam in (0.1266, 9.0, -7.5):
+        z = 1 + lam * rng.normal(2.0 if lam > 0 else -2.0, 0.02, 4000)
+        rows = [(i, float(v ** (1 / lam))) for i, v in enumerate(z) if v > 0]
+        step = MathOp("v", "boxcox")
+        Pipeline([step]).fit(spark.createDataFrame(rows, "id int, v double"))
+        x = np.log(np.array([v for _, v in rows]))
+
+        def likelihood(p):
+            return (p - 1) * x.sum() - len(x) / 2 * np.log(np.var(np.expm1(p * x) / p))
+
+        found = step.state["lambda"]
+        assert all(likelihood(found) >= likelihood(found + d) - 1e-6 for d in (-1e-3, 1e-3, -0.1, 0.1, 1.0, -1.0))
 
 
 def test_onehot(cars, spark):

@@ -86,3 +86,37 @@ def test_catalog_filters(spark):
     assert ct.chosen(versions, dataset_id=1001).count() == 0
     assert ct.chosen(versions, dataset_id=None).count() == 3
     assert ct.chosen(versions, dataset_id=[1, 2], version_id=1).count() == 1
+
+
+def test_long_whole_numbers(spark, tmp_path):
+    path = tmp_path / "ids.csv"
+    path.write_text("id,big,mixed\n1234567890123456789,123456789012345678901,1\n1234567890123456788,2,1.5\n")
+    df = st.read_csv(spark, str(path))
+    assert df.dtypes == [("id", "bigint"), ("big", "decimal(38,0)"), ("mixed", "double")]
+    assert sorted(r["id"] for r in df.collect()) == [1234567890123456788, 1234567890123456789]
+
+
+def test_line_ends_inside_quotes(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('id,note\n1,"a\nb, ""c"""\n2,plain\n')
+    assert sorted(map(tuple, st.read_csv(spark, str(path)).collect())) == [(1, 'a\nb, "c"'), (2, "plain")]
+    with pytest.raises(ValueError):
+        st.read_csv(spark, str(path), skip=1)
+
+
+def test_empty_header_cell(spark, tmp_path):
+    path = tmp_path / "h.csv"
+    path.write_text("note\na,,c\n1,2,3\n")
+    assert st.read_csv(spark, str(path), skip=1).collect()[0].asDict() == {"a": 1, "_c1": 2, "c": 3}
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "1.csv").write_text("x\na,b\n1,2\n")
+    (tmp_path / "two" / "2.csv").write_text("x\nb,a\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        st.read_csv(spark, str(tmp_path / "two"), skip=1)
+
+
+def test_preview_follows_the_files(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("n\n1\n2\n")
+    (tmp_path / "2.csv").write_text("n\n" + "".join(f"{i}\n" for i in range(3, 400)))
+    assert [r["n"] for r in st.preview(spark, str(tmp_path), 5).collect()] == [1, 2, 3, 4, 5]
+    assert [r["n"] for r in st.preview(spark, str(tmp_path), 1).collect()] == [1]
