@@ -201,3 +201,21 @@ def near_duplicates(
 
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=4).drop("row")
+
+
+OP8_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) end as s from w),
+n as (select doc_id, len(s)::bigint as n_shingles from s),
+e as (select doc_id, unnest(s) as g from s),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as common from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * common >= 80 * (a.n_shingles + b.n_shingles - common)),
+two as (select x, y from l union all select y, x from l),
+r(x, y) as (select x, y from two union select r.x, two.y from r join two on r.y = two.x)
+select n.doc_id, n_shingles, least(n.doc_id, coalesce(min(r.y), n.doc_id)) as component_id,
+  n.doc_id = least(n.doc_id, coalesce(min(r.y), n.doc_id)) as kept
+from n left join r on r.x = n.doc_id group by n.doc_id, n_shingles
+"""

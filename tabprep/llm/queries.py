@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_formatting
 from .licences import op2_licence_scan
-from .minhash import op8_near_duplicates
+from .minhash import OP8_SQL, op8_near_duplicates
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op4_packing
 from .quality import op6_quality_rules
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
 }
-SQL = {"op1_topk_search": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op10_mixing": OP10_SQL}
+SQL = {"op1_topk_search": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op8_near_duplicates": OP8_SQL, "op10_mixing": OP10_SQL}
