@@ -1,4 +1,8 @@
-"""Association between columns: Pearson, Spearman, Kendall, phi_k, Cramér's V."""
+"""Correlations of column pairs: Pearson, Spearman, Kendall, Cramér's V and phi_k.
+
+All but Pearson work on cells: the distinct (x, y) of each pair with their row count. Cells of all pairs are made in one
+shuffle with map-side counts, and every later step is keyed by pair, so the number of jobs does not grow with the columns.
+"""
 
 from __future__ import annotations
 
@@ -11,14 +15,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import col, data_type, is_numeric, require, require_numeric
-from ..functions.levels import level_counts, lookup, value_counts
+from ..functions.levels import value_counts
 from ..plans.pipeline import Pipeline, run_aggregates
 from ..session import pinned, shuffle_width
 from .bins import Bin
 from .rank import LOW_BITS, global_rank
 
-FEW_LEVELS = 10_000  # so many distinct values may be coded on the driver and broadcast
-
 
 def _pairs(df: DataFrame, rows: list[tuple[str, str, float | None]]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
@@ -58,31 +60,54 @@ def average_ranks(counts: DataFrame) -> DataFrame:
     )
 
 
+def pair_cells(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
+    """(pair, x, y, w): rows of each pair of columns by its two values, as `kind`; pairs count as combinations() does."""
+    narrow = df.select(*[col(c).cast(kind).alias(f"v{i}") for i, c in enumerate(columns)])
+    listed = [
+        F.struct(F.lit(p).alias("pair"), F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y"))
+        for p, (i, j) in enumerate(combinations(range(len(columns)), 2))
+    ]
+    rows = narrow.select(F.inline(F.array(*listed))).na.drop()
+    return pinned(rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")))
+
+
+def _sided(cells: DataFrame, table: DataFrame, name: str, n_columns: int) -> DataFrame:
+    """Add x_<name> and y_<name>: what `table` (column number, value) says of either value."""
+    sides = list(combinations(range(n_columns), 2))
+    out = cells
+    for side, place in (("x", 0), ("y", 1)):
+        number = F.element_at(F.array(*[F.lit(s[place]) for s in sides]), F.col("pair") + 1)
+        known = table.select(F.col("column").alias("__column"), F.col("value").alias("__value"), F.col(name).alias(f"{side}_{name}"))
+        out = out.join(known, (number == F.col("__column")) & (F.col(side) == F.col("__value"))).drop("__column", "__value")
+    return out
+
+
+def _column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column number, value, n) of numeric columns as doubles."""
+    counts = value_counts(df, {str(i): col(c).cast("double") for i, c in enumerate(columns)})["double"]
+    return counts.withColumn("column", F.col("column").cast("int"))
+
+
+def _filled(columns: Sequence[str], found: dict[int, float | None]) -> list[tuple[str, str, float | None]]:
+    return [(a, b, found.get(p)) for p, (a, b) in enumerate(combinations(columns, 2))]
+
+
 def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of average ranks over complete rows."""
     require_numeric(df, columns)
-    rows = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).na.drop()
-    counts = value_counts(rows, {f"x{i}": F.col(f"x{i}") for i in range(len(columns))})["double"]
-    ranks = pinned(average_ranks(counts))
-    ranked = rows
-    for i in range(len(columns)):
-        levels = ranks.where(F.col("column") == f"x{i}").select("value", "n", F.col("rank").alias(f"r{i}"))
-        ranked = lookup(ranked, F.col(f"x{i}"), levels, f"r{i}")
-    found = corr_pearson(ranked, [f"r{i}" for i in range(len(columns))])
-    names = F.create_map(*[F.lit(v) for i, c in enumerate(columns) for v in (f"r{i}", c)])
-    return found.select(names[F.col("a")].alias("a"), names[F.col("b")].alias("b"), "corr")
-
-
-def _dense(df: DataFrame, column: str, name: str) -> tuple[DataFrame, int]:
-    """Replace a column by the position of its value among the distinct values."""
-    counts = level_counts(df, column)
-    few = [r["value"] for r in counts.select("value").limit(FEW_LEVELS + 1).collect()]
-    if len(few) <= FEW_LEVELS:
-        codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(sorted(few))], f"value double, {name} bigint")
-        joined = df.join(F.broadcast(codes), F.col(column) == codes["value"]).drop("value", column)
-        return joined, len(few)
-    codes = pinned(global_rank(counts, ["value"], ["value"], name))
-    return lookup(df, F.col(column), codes, name).drop(column), codes.count()
+    rows = df.select(*[col(c).cast("double").alias(c) for c in columns]).na.drop()
+    cells = pair_cells(rows, columns, "double")
+    ranked = _sided(cells, pinned(average_ranks(_column_counts(rows, columns))), "rank", len(columns))
+    # every column's ranks have the same mean, and ranks around it keep the sums small
+    middle = (F.sum("w").over(W.partitionBy("pair")) + 1) / 2
+    ranked = ranked.withColumns({"a": F.col("x_rank") - middle, "b": F.col("y_rank") - middle})
+    sums = ranked.groupBy("pair").agg(
+        F.sum(F.col("w") * F.col("a") * F.col("b")).alias("ab"),
+        F.sum(F.col("w") * F.col("a") * F.col("a")).alias("aa"),
+        F.sum(F.col("w") * F.col("b") * F.col("b")).alias("bb"),
+    )
+    found = {r["pair"]: r["ab"] / math.sqrt(r["aa"] * r["bb"]) if r["aa"] and r["bb"] else None for r in sums.collect()}
+    return _pairs(df, _filled(columns, found))
 
 
 def _whole(name: str) -> Column:
@@ -90,8 +115,8 @@ def _whole(name: str) -> Column:
     return F.col(name).cast("decimal(19,0)")
 
 
-def concordant(cells: DataFrame, nx: int, ny: int) -> int:
-    """Number of row pairs that rise in both xr and yr, from cells (xr, yr, w).
+def concordant(cells: DataFrame, nx: int, ny: int) -> dict[int, int]:
+    """Per pair of columns the number of row pairs that rise in both, from cells (pair, xr, yr, w) of coded values.
 
     Two different yr differ first at one bit: below equal higher bits one has 0, the other 1. So each
     cell appears once per bit, and a pair rises when the 0 has the smaller xr: a running sum of the
@@ -100,74 +125,70 @@ def concordant(cells: DataFrame, nx: int, ny: int) -> int:
     """
     bits = max(1, (ny - 1).bit_length())
     width = max(1, -(-nx // (4 * shuffle_width(cells.sparkSession))))
-    level = cells.select("xr", "yr", "w", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    level = cells.select("pair", "xr", "yr", "w", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
     # integer division by a power of two is the shift that a column of bits needs
     scaled = F.floor(F.col("yr") / F.pow(F.lit(2.0), F.col("bit"))).cast("bigint")
     level = level.withColumn("scaled", scaled)
     grouped = (
-        level.groupBy("bit", F.floor(F.col("scaled") / 2).alias("prefix"), "xr")
+        level.groupBy("pair", "bit", F.floor(F.col("scaled") / 2).alias("prefix"), "xr")
         .agg(
             F.sum(F.when(F.col("scaled") % 2 == 0, F.col("w")).otherwise(0)).alias("zeros"),
             F.sum(F.when(F.col("scaled") % 2 == 1, F.col("w")).otherwise(0)).alias("ones"),
         )
         .withColumn("range", F.floor(F.col("xr") / F.lit(width)))
     )
-    run = W.partitionBy("bit", "prefix", "range").orderBy("xr").rowsBetween(W.unboundedPreceding, -1)
+    run = W.partitionBy("pair", "bit", "prefix", "range").orderBy("xr").rowsBetween(W.unboundedPreceding, -1)
     inner = grouped.withColumn("before", F.coalesce(F.sum("zeros").over(run), F.lit(0)))
     # pairs inside a range, then whole earlier ranges
-    per_range = inner.groupBy("bit", "prefix", "range").agg(
+    per_range = inner.groupBy("pair", "bit", "prefix", "range").agg(
         F.sum(_whole("ones") * _whole("before")).alias("inside"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")
     )
-    earlier = W.partitionBy("bit", "prefix").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("pair", "bit", "prefix").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     whole = per_range.withColumn("earlier", F.coalesce(F.sum("zeros").over(earlier), F.lit(0)))
-    return int(whole.agg(F.sum(F.col("inside") + _whole("ones") * _whole("earlier"))).first()[0] or 0)
-
-
-def kendall(df: DataFrame, a: str, b: str) -> float | None:
-    """Tau-b of two numeric columns, exact, in n log n work."""
-    rows = df.select(col(a).cast("double").alias("x"), col(b).cast("double").alias("y")).na.drop()
-    cells = pinned(rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
-
-    def tied(*keys: str) -> int:
-        g = cells.groupBy(*keys).agg(F.sum("w").alias("t")).withColumn("less", F.col("t") - 1)
-        return int(g.agg(F.sum(_whole("t") * _whole("less"))).first()[0] or 0) // 2
-
-    n = cells.agg(F.sum("w")).first()[0]
-    if not n:
-        return None
-    whole, tx, ty, txy = n * (n - 1) // 2, tied("x"), tied("y"), tied("x", "y")
-    coded, nx = _dense(cells, "x", "xr")
-    coded, ny = _dense(coded, "y", "yr")
-    up = concordant(coded, nx, ny)
-    down = whole - tx - ty + txy - up
-    size = math.sqrt((whole - tx) * (whole - ty))
-    return (up - down) / size if size else None
+    found = whole.groupBy("pair").agg(F.sum(F.col("inside") + _whole("ones") * _whole("earlier")).alias("up")).collect()
+    return {r["pair"]: int(r["up"] or 0) for r in found}
 
 
 def corr_kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Tau-b of every pair of numeric columns, exact, in n log n work."""
     require_numeric(df, columns)
-    return _pairs(df, [(a, b, kendall(df, a, b)) for a, b in combinations(columns, 2)])
-
-
-def chi_square(df: DataFrame, a: str, b: str) -> tuple[float, float, int, int]:
-    """(chi², rows, levels of a, levels of b) from the contingency counts and their margins."""
-    cells = df.select(col(a).cast("string").alias("x"), col(b).cast("string").alias("y")).na.drop().groupBy("x", "y").agg(
-        F.count(F.lit(1)).cast("double").alias("o")
-    )
-    cells = pinned(cells)
-    mx = cells.groupBy("x").agg(F.sum("o").alias("mx"))
-    my = cells.groupBy("y").agg(F.sum("o").alias("my"))
-    s, n = (
-        cells.join(mx, "x").join(my, "y").agg(F.sum(F.col("o") * F.col("o") / (F.col("mx") * F.col("my"))), F.sum("o")).first()
-    )
-    if not n:
-        return 0.0, 0.0, 0, 0
-    return max(0.0, n * (s - 1)), n, mx.count(), my.count()
-
-
-def cramers_v(df: DataFrame, a: str, b: str) -> float | None:
+    cells = pair_cells(df, columns, "double")
+
+    def tied(*keys: str) -> dict[int, int]:
+        g = cells.groupBy("pair", *keys).agg(F.sum("w").alias("t")).withColumn("less", F.col("t") - 1)
+        return {r["pair"]: int(r["n"] or 0) // 2 for r in g.groupBy("pair").agg(F.sum(_whole("t") * _whole("less")).alias("n")).collect()}
+
+    sizes = {r["pair"]: r["n"] for r in cells.groupBy("pair").agg(F.sum("w").alias("n")).collect()}
+    if not sizes:
+        return _pairs(df, _filled(columns, {}))
+    codes = pinned(global_rank(_column_counts(df, columns), ["value"], ["value"], "code", by=["column"]))
+    most = codes.groupBy("column").count().agg(F.max("count")).first()[0]
+    coded = _sided(cells, codes, "code", len(columns)).select("pair", F.col("x_code").alias("xr"), F.col("y_code").alias("yr"), "w")
+    ups, tx, ty, txy = concordant(coded, most, most), tied("x"), tied("y"), tied("x", "y")
+    found = {}
+    for pair, n in sizes.items():
+        whole, up = n * (n - 1) // 2, ups.get(pair, 0)
+        down = whole - tx[pair] - ty[pair] + txy[pair] - up
+        size = math.sqrt((whole - tx[pair]) * (whole - ty[pair]))
+        found[pair] = (up - down) / size if size else None
+    return _pairs(df, _filled(columns, found))
+
+
+def chi_squares(df: DataFrame, columns: Sequence[str]) -> dict[int, tuple[float, float, int, int]]:
+    """Per pair (chi², rows, levels of the first, levels of the second) from the contingency counts and their margins."""
+    cells = pair_cells(df, columns, "string").withColumn("o", F.col("w").cast("double"))
+    mx = cells.groupBy("pair", "x").agg(F.sum("o").alias("mx"))
+    my = cells.groupBy("pair", "y").agg(F.sum("o").alias("my"))
+    sums = cells.join(mx, ["pair", "x"]).join(my, ["pair", "y"]).groupBy("pair")
+    sums = sums.agg(F.sum(F.col("o") * F.col("o") / (F.col("mx") * F.col("my"))).alias("s"), F.sum("o").alias("n"))
+    levels = mx.groupBy("pair").agg(F.count(F.lit(1)).alias("r")).join(my.groupBy("pair").agg(F.count(F.lit(1)).alias("k")), "pair")
+    return {
+        r["pair"]: (max(0.0, r["n"] * (r["s"] - 1)), r["n"], r["r"], r["k"]) for r in sums.join(levels, "pair").collect()
+    }
+
+
+def cramers_v(chi2: float, n: float, r: int, k: int) -> float | None:
     """Bias-corrected Cramér's V."""
-    chi2, n, r, k = chi_square(df, a, b)
     if n < 2:
         return None
     phi2 = max(0.0, chi2 / n - (k - 1) * (r - 1) / (n - 1))
@@ -177,7 +198,7 @@ def cramers_v(df: DataFrame, a: str, b: str) -> float | None:
 
 def corr_cramers_v(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     require(df, columns)
-    return _pairs(df, [(a, b, cramers_v(df, a, b)) for a, b in combinations(columns, 2)])
+    return _pairs(df, _filled(columns, {p: cramers_v(*c) for p, c in chi_squares(df, columns).items()}))
 
 
 @cache
@@ -208,11 +229,8 @@ def _normal_chi2(rho: float, nx: int, ny: int) -> float:
     return float(((table - free) ** 2 / free).sum())
 
 
-def phi_k(df: DataFrame, a: str, b: str) -> float | None:
+def phi_k(chi2: float, n: float, nx: int, ny: int) -> float:
     """The correlation of a bivariate normal that gives the observed chi² (Baak et al. 2018)."""
-    chi2, n, nx, ny = chi_square(df, a, b)
-    if not n:
-        return None
     if nx < 2 or ny < 2:
         return 0.0
     noise = (nx - 1) * (ny - 1)
@@ -234,4 +252,4 @@ def corr_phi_k(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFra
     numeric = [c for c in columns if is_numeric(data_type(df, c))]
     narrow = df.select(*[col(c) for c in columns])
     binned = Pipeline([Bin(c, "kbins", bins) for c in numeric]).fit(narrow).transform(narrow)
-    return _pairs(df, [(a, b, phi_k(binned, a, b)) for a, b in combinations(columns, 2)])
+    return _pairs(df, _filled(columns, {p: phi_k(*c) for p, c in chi_squares(binned, columns).items()}))

@@ -9,7 +9,7 @@ from tabprep.ml.models import LinearModel, NeighbourModel, bayesian_ridge
 from tabprep.ml.search import Ucb1, automl_search, batch_score, dependence_data, fit_model, global_importance
 from tabprep.ml.split import train_test_split
 from tabprep.operators.collinear import components, inflation, noncollinear
-from tabprep.operators.correlate import phi_k
+from tabprep.operators.correlate import corr_cramers_v, corr_kendall, corr_phi_k, corr_spearman
 from tabprep.plans.features import fe_apply, feature_engineer
 from tabprep.plans.preprocess import preprocess_pipeline
 from tabprep.streaming.score import stream_score, to_parquet
@@ -192,4 +192,24 @@ def test_ucb_rewards_do_not_depend_on_the_scale():
 
 def test_phi_k_takes_many_levels(spark):
     df = spark.range(4000).select(F.concat(F.lit("a"), F.col("id") % 60).alias("a"), F.concat(F.lit("b"), F.col("id") % 60).alias("b"))
-    assert phi_k(df, "a", "b") > 0.9
+    assert corr_phi_k(df, ["a", "b"]).first()["corr"] > 0.9
+
+
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-3, 4, (150, 6)).astype(float)
+    x[:, 3] = x[:, 0] + x[:, 1]
+    x[x == 0] *= rng.choice([-1.0, 1.0], (x == 0).sum())  # zeros of both signs
+    names = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names))
+    spearman = {(r["a"], r["b"]): r["corr"] for r in corr_spearman(df, names).collect()}
+    kendall = {(r["a"], r["b"]): r["corr"] for r in corr_kendall(df, names).collect()}
+    frame = df.toPandas() + 0.0
+    for a, b in spearman:
+        u, v = frame[a].to_numpy(), frame[b].to_numpy()
+        assert spearman[a, b] == pytest.approx(np.corrcoef(frame[a].rank(), frame[b].rank())[0, 1], abs=1e-9)
+        signs = np.sign(u[:, None] - u[None]) * np.sign(v[:, None] - v[None])
+        size = np.sqrt((u[:, None] != u[None]).sum() * (v[:, None] != v[None]).sum())
+        assert kendall[a, b] == pytest.approx(signs.sum() / size, abs=1e-12)
+    assert len(spearman) == len(kendall) == 15
+    assert corr_cramers_v(df, names).count() == 15 and corr_kendall(df.limit(0), names).where("corr is not null").isEmpty()
