@@ -50,3 +50,9 @@ def total(values: Iterable[Column]) -> Column:
     for v in values[1:]:
         out = out + v
     return out
+
+
+def hashable(df: DataFrame, name: str) -> Column:
+    """The column itself, or its JSON text where its type cannot be compared."""
+    kind = data_type(df, name)
+    return F.to_json(col(name)) if "map<" in kind.simpleString() else col(name)

@@ -25,3 +25,9 @@ def gauss(seed: int | str, *parts: Column) -> Column:
     first = (hash32(f"{seed}a", *parts) + F.lit(1)) / F.lit(float(SPAN + 1))
     second = uniform(f"{seed}b", *parts)
     return F.sqrt(F.lit(-2.0) * F.ln(first)) * F.cos(F.lit(2.0 * math.pi) * second)
+
+
+def digest(*values: Column) -> list[Column]:
+    """128 hash bits of some values as two whole numbers; nulls count by their place."""
+    gaps = F.concat(*[F.when(v.isNull(), F.lit("1")).otherwise(F.lit("0")) for v in values])
+    return [F.xxhash64(gaps, *values).alias("__h1"), F.xxhash64(F.lit(1), gaps, *values).alias("__h2")]

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from ..functions.columns import col, is_numeric, numeric_columns, ratio, require, require_numeric
+from ..functions.columns import col, hashable, is_numeric, numeric_columns, ratio, require, require_numeric
+from ..functions.hashing import digest
 from ..functions.gram import gram_matrix
 from ..functions.levels import value_counts
 from ..functions.quantiles import exact_quantiles
@@ -53,12 +54,12 @@ def profile_overview(df: DataFrame) -> DataFrame:
     missing = F.lit(0).cast("bigint")
     for c in df.columns:
         missing = missing + col(c).isNull().cast("bigint")
-    # equal rows meet in one group, counted map-side; the groups then give rows, gaps and duplicates at once
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    # equal rows meet by their digest, counted map-side, so no row is shuffled; groups give rows, gaps and duplicates at once
+    groups = df.groupBy(*digest(*[hashable(df, c) for c in df.columns])).agg(F.count(F.lit(1)).alias("__n"), F.sum(missing).alias("__gaps"))
     cells = F.lit(float(len(df.columns)))
     return groups.agg(
         F.sum("__n").alias("rows"),
-        F.sum(F.col("__n") * missing).alias("missing_cells"),
+        F.sum("__gaps").alias("missing_cells"),
         F.sum(F.col("__n") - 1).alias("duplicate_rows"),
     ).select(
         "rows",

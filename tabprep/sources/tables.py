@@ -21,6 +21,7 @@ WHOLE = r"^[+-]?[0-9]{1,38}$"
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 ENDLESS = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 
+SURE_DIGITS = 18  # whole numbers up to this length, sign included, fit a bigint
 SLICE = 100  # text columns whose types are tested in one pass
 
 
@@ -40,7 +41,7 @@ def na_tokens(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
 def infer_types(df: DataFrame) -> DataFrame:
     """(column, type) of text columns: bigint, decimal(38,0) for longer whole numbers, double, boolean or string.
 
-    One aggregation per SLICE columns; a cell is tested by pattern only where it is no bigint.
+    One aggregation per SLICE columns.
     """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     parts = [_fitting_types(df, names[i : i + SLICE]) for i in range(0, len(names), SLICE)]
@@ -56,13 +57,15 @@ def _fitting_types(df: DataFrame, names: Sequence[str]) -> DataFrame:
     fits, rows = [], []
     for i, n in enumerate(names):
         x = F.trim(col(n))
-        short = x.try_cast("bigint").isNotNull()
+        whole = x.rlike(WHOLE)
+        # only numbers of 19 digits and more are tried, as a failing cast is dear
+        short = whole & ((F.length(x) <= SURE_DIGITS) | F.when(F.length(x) > SURE_DIGITS, x).try_cast("bigint").isNotNull())
         fits += [
             F.count(x).alias(f"n{i}"),
             F.count_if(short).alias(f"l{i}"),
-            F.count_if(F.when(short, True).otherwise(x.rlike(WHOLE))).alias(f"w{i}"),
-            F.count_if(F.when(short, True).otherwise(x.rlike(NUMBER) | F.lower(x).isin(*ENDLESS))).alias(f"d{i}"),
-            F.count_if(F.when(short, False).otherwise(F.lower(x).isin("true", "false"))).alias(f"b{i}"),
+            F.count_if(whole).alias(f"w{i}"),
+            F.count_if(whole | x.rlike(NUMBER) | F.lower(x).isin(*ENDLESS)).alias(f"d{i}"),
+            F.count_if(F.lower(x).isin("true", "false")).alias(f"b{i}"),
         ]
         full = F.col(f"n{i}")
         kind = (
