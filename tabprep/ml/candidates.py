@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col, total
 from ..functions.gram import covariance
+from ..functions.hashing import uniform
+from ..functions.quantiles import exact_quantiles
 from ..operators.synth import _group_moments
-from .models import LinearModel, MlModel, NeighbourModel, ScoreModel, bayesian_ridge, index_of
+from ..plans.pipeline import run_aggregates
+from ..session import pinned
+from .models import BoostedModel, LinearModel, MlModel, NeighbourModel, ScoreModel, bayesian_ridge, index_of, least_angle, relevance
 
 
 @dataclass(frozen=True)
@@ -75,7 +79,7 @@ CLASSIFICATION_SPACES: dict[str, dict[str, Any]] = {
     "ridge": {"alpha": Real(0.001, 10)},
     "SGDC": {"max_iter": Whole(1, 5000), "tol": Real(1e-3, 1)},
     "svc": {"C": Real(0.001, 100)},
-    "gnb": {"var_smoothing": Real(0.0000001, 1)},
+    "gnb": {},
     "quadratic_discriminant": {"reg_param": Real(0, 1)},
     "linear_discriminant": {
         "shrinkage": Choice(
@@ -83,6 +87,7 @@ CLASSIFICATION_SPACES: dict[str, dict[str, Any]] = {
         )
     },
     "knn": {"n_neighbors": Whole(1, 51), "weights": Choice(("uniform", "distance"))},
+    "ada": {"n_estimators": Whole(50, 250, 50), "learning_rate": Real(0.05, 2)},
 }
 REGRESSION_SPACES: dict[str, dict[str, Any]] = {
     "linreg": {"fit_intercept": YES_NO, "normalize": YES_NO},
@@ -119,6 +124,22 @@ REGRESSION_SPACES: dict[str, dict[str, Any]] = {
         "lambda_2": Real(0.0000001, 0.3),
         "fit_intercept": YES_NO,
     },
+    "ard": {
+        "alpha_1": Real(0.000001, 0.3),
+        "alpha_2": Real(0.000001, 0.3),
+        "lambda_1": Real(0.0000001, 0.3),
+        "lambda_2": Real(0.0000001, 0.3),
+        "threshold_lambda": Whole(5000, 60000, 5000),
+        "fit_intercept": YES_NO,
+    },
+    "lars": {"eps": Real(0.0001, 0.1)},
+    "lassolars": {"fit_intercept": YES_NO, "alpha": Real(0.00001, 0.9), "eps": Real(0.0001, 0.1)},
+    "adaBoost": {
+        "n_estimators": Whole(10, 300, 10),
+        "learning_rate": Real(0.00001, 0.5),
+        "loss": Choice(("linear", "square", "exponential")),
+    },
+    "ransac": {"min_samples": Real(0, 1), "max_trials": Whole(1, 20)},
 }
 
 
@@ -245,27 +266,21 @@ def _linear_discriminant(task: Task, p: dict[str, Any]) -> ScoreModel:
     shrink = 0.0 if shrink == "empirical" else float(shrink)
     size = len(task.features)
     inverse = np.linalg.pinv((1 - shrink) * pooled + shrink * np.trace(pooled) / size * np.eye(size))
-    scores = []
-    for share, mean, _ in stats.values():
-        w = inverse @ mean
-        scores.append(total([F.lit(float(math.log(share) - mean @ w / 2)), *[F.lit(float(b)) * col(f) for f, b in zip(task.features, w)]]))
-    return ScoreModel(task.features, task.labels, scores)
+    weights = [inverse @ mean for _, mean, _ in stats.values()]
+    constants = [float(math.log(share) - mean @ w / 2) for (share, mean, _), w in zip(stats.values(), weights)]
+    return ScoreModel(task.features, task.labels, constants, [w.tolist() for w in weights], [])
 
 
 def _quadratic_discriminant(task: Task, p: dict[str, Any]) -> ScoreModel:
-    reg, scores = float(p.get("reg_param", 0.0)), []
+    reg = float(p.get("reg_param", 0.0))
+    constants, centres, forms = [], [], []
     for share, mean, cov in _moments(task).values():
         shaped = (1 - reg) * cov + reg * np.eye(len(mean))
-        inverse = np.linalg.pinv(shaped)
-        off: list[Column] = [col(f) - F.lit(float(m)) for f, m in zip(task.features, mean)]
-        terms = [
-            F.lit(float(-inverse[i, j] / (2 if i == j else 1))) * off[i] * off[j]
-            for i in range(len(mean))
-            for j in range(i, len(mean))
-        ]
         sign, logdet = np.linalg.slogdet(shaped)
-        scores.append(total([F.lit(float(math.log(share) - (logdet if sign > 0 else 0.0) / 2)), *terms]))
-    return ScoreModel(task.features, task.labels, scores)
+        constants.append(float(math.log(share) - (logdet if sign > 0 else 0.0) / 2))
+        centres.append(mean.tolist())
+        forms.append(np.linalg.pinv(shaped).tolist())
+    return ScoreModel(task.features, task.labels, constants, [[0.0] * len(task.features)] * len(constants), centres, forms)
 
 
 def _neighbours(task: Task, p: dict[str, Any]) -> NeighbourModel:
@@ -328,6 +343,119 @@ def _bayes(task: Task, p: dict[str, Any]) -> LinearModel:
     return LinearModel(task.features, [float(b) for b in beta], intercept)
 
 
+def _centred(task: Task, p: dict[str, Any]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, mean cross products of features and target around them, or around 0 without an intercept)."""
+    n, means, cov = covariance(task.train, [*task.features, task.target])
+    return n, means, cov if p.get("fit_intercept", True) else cov + np.outer(means, means)
+
+
+def _line(task: Task, p: dict[str, Any], means: np.ndarray, beta: np.ndarray) -> LinearModel:
+    intercept = float(means[-1] - means[:-1] @ beta) if p.get("fit_intercept", True) else 0.0
+    return LinearModel(task.features, [float(b) for b in beta], intercept)
+
+
+def _relevance(task: Task, p: dict[str, Any]) -> LinearModel:
+    n, means, product = _centred(task, p)
+    product = n * product
+    beta = relevance(
+        product[:-1, :-1], product[:-1, -1], product[-1, -1], n, float(p.get("threshold_lambda", 10_000)),
+        *[float(p.get(k, 1e-6)) for k in ("alpha_1", "alpha_2", "lambda_1", "lambda_2")],
+    )
+    return _line(task, p, means, beta)
+
+
+def _least_angle(task: Task, p: dict[str, Any], lasso: bool) -> LinearModel:
+    _, means, product = _centred(task, p)
+    alpha = float(p.get("alpha", 1.0)) if lasso else 0.0
+    return _line(task, p, means, least_angle(product[:-1, :-1], product[:-1, -1], alpha, lasso, float(p.get("eps", 1e-12))))
+
+
+def _lars(task: Task, p: dict[str, Any]) -> LinearModel:
+    return _least_angle(task, {k: v for k, v in p.items() if k != "alpha"}, False)
+
+
+def _lasso_lars(task: Task, p: dict[str, Any]) -> LinearModel:
+    return _least_angle(task, p, True)
+
+
+def _ransac(task: Task, p: dict[str, Any]) -> LinearModel:
+    """The line of the rows that agree with the best of some lines through drawn rows (Fischler and Bolles 1981).
+
+    Every trial draws its share of rows by key hash; all trials' cross products come from one pass, their agreeing rows from a second.
+    """
+    names = [*task.features, task.target]
+    rows = task.train.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)]).na.drop()
+    width = len(names)
+    share = max(float(p.get("min_samples", 0.0)), min(1.0, 4.0 * width / max(task.rows, 1)))
+    trials = int(p.get("max_trials", 20))
+    ones = [F.lit(1.0), *[F.col(f"v{i}") for i in range(width)]]
+    middle = exact_quantiles(rows, {"y": (ones[-1], [0.5])})["y"][0.5]
+    near = exact_quantiles(rows, {"d": (F.abs(ones[-1] - F.lit(middle)), [0.5])})["d"][0.5]
+    sums = {}
+    for t in range(trials):
+        drawn = uniform(f"{task.seed}r{t}", *ones[1:]) < share
+        sums |= {f"{t}_{i}_{j}": F.sum(F.when(drawn, ones[i] * ones[j])) for i in range(width + 1) for j in range(i, width + 1)}
+    found = run_aggregates(rows, sums)
+
+    def solved(get: Callable[[int, int], float | None]) -> np.ndarray:
+        m = np.array([[get(min(i, j), max(i, j)) or 0.0 for j in range(width + 1)] for i in range(width + 1)])
+        return np.linalg.pinv(m[:-1, :-1]) @ m[:-1, -1]
+
+    lines = [solved(lambda i, j, t=t: found[f"{t}_{i}_{j}"]) for t in range(trials)]
+
+    def agrees(line: np.ndarray) -> Column:
+        return F.abs(ones[-1] - total([F.lit(float(b)) * x for b, x in zip(line, ones)])) <= F.lit(near)
+
+    counts = run_aggregates(rows, {str(t): F.count_if(agrees(line)) for t, line in enumerate(lines)})
+    best = lines[max(range(trials), key=lambda t: (counts[str(t)], -t))]
+    last = run_aggregates(
+        rows.where(agrees(best)), {f"{i}_{j}": F.sum(ones[i] * ones[j]) for i in range(width + 1) for j in range(i, width + 1)}
+    )
+    beta = solved(lambda i, j: last[f"{i}_{j}"])
+    return LinearModel(task.features, [float(b) for b in beta[1:]], float(beta[0]))
+
+
+def _adaboost(task: Task, p: dict[str, Any]) -> BoostedModel:
+    """SAMME for classes (Hastie et al. 2009), R2 for numbers (Drucker 1997): weighted trees, one after the other."""
+    classify = task.labels is not None
+    rate, rounds = float(p.get("learning_rate", 1.0)), int(p.get("n_estimators", 50))
+    depth = int(p.get("max_depth", 1 if classify else 3))
+    maker = mc.DecisionTreeClassifier if classify else mr.DecisionTreeRegressor
+    estimator = maker(**_columns(maxDepth=depth, weightCol="__w", seed=task.seed))
+    rows = pinned(task.vectors().select("__features", "__label", F.lit(1.0).alias("__w")))
+    trees, weights = [], []
+    for _ in range(rounds):
+        tree = estimator.fit(rows)
+        said = tree.transform(rows)
+        if classify:
+            loss = (F.col("prediction") != F.col("__label")).cast("double")
+        else:
+            loss = F.abs(F.col("prediction") - F.col("__label"))
+            most = said.agg(F.max(loss)).first()[0] or 0.0
+            loss = loss / F.lit(most) if most else F.lit(0.0)
+            kind = p.get("loss", "linear")
+            loss = loss * loss if kind == "square" else 1 - F.exp(-loss) if kind == "exponential" else loss
+        error, whole = said.agg(F.sum(F.col("__w") * loss), F.sum("__w")).first()
+        error = (error or 0.0) / whole
+        if error <= 0:
+            trees, weights = [*trees, tree], [*weights, 1.0 if not weights else max(weights)]
+            break
+        if error >= (1 - 1 / len(task.labels) if classify else 0.5):
+            trees, weights = trees or [tree], weights or [1.0]
+            break
+        if classify:
+            weight = rate * (math.log((1 - error) / error) + math.log(max(1, len(task.labels) - 1)))
+            change = F.exp(F.lit(weight) * loss)
+        else:
+            beta = error / (1 - error)
+            weight = rate * math.log(1 / beta)
+            change = F.pow(F.lit(beta), (1 - loss) * rate)
+        trees.append(tree)
+        weights.append(weight)
+        rows = pinned(said.select("__features", "__label", (F.col("__w") * change * F.lit(task.rows / whole)).alias("__w")))
+    return BoostedModel(task.features, trees, weights, task.labels)
+
+
 Fitter = Callable[[Task, dict[str, Any]], Any]
 CLASSIFIERS: dict[str, Fitter] = {
     "DTC": _tree,
@@ -342,6 +470,7 @@ CLASSIFIERS: dict[str, Fitter] = {
     "quadratic_discriminant": _quadratic_discriminant,
     "linear_discriminant": _linear_discriminant,
     "knn": _neighbours,
+    "ada": _adaboost,
 }
 REGRESSORS: dict[str, Fitter] = {
     "linreg": _ordinary,
@@ -354,6 +483,11 @@ REGRESSORS: dict[str, Fitter] = {
     "knn": _neighbours,
     "huber": _huber,
     "bayesian_ridge": _bayes,
+    "ard": _relevance,
+    "lars": _lars,
+    "lassolars": _lasso_lars,
+    "adaBoost": _adaboost,
+    "ransac": _ransac,
 }
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
+from importlib import import_module
 from typing import Any
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import col, data_type, total
 from ..operators.neighbors import knn_join
@@ -57,19 +58,65 @@ class LinearModel:
 
 @dataclass
 class ScoreModel:
-    """The class with the largest score expression (discriminant analysis)."""
+    """The class with the largest score: constant + weights · x - (x - centre)' form (x - centre) / 2, numbers per class."""
 
     features: list[str]
     labels: list[Any]
-    scores: list[Column]
+    constants: list[float]
+    weights: list[list[float]]
+    centres: list[list[float]]
+    forms: list[list[list[float]]] | None = None
     streams: bool = True
 
+    def score(self, i: int) -> Column:
+        terms = [F.lit(self.constants[i])]
+        x = [col(f).cast("double") for f in self.features]
+        terms += [F.lit(w) * v for w, v in zip(self.weights[i], x) if w]
+        if self.forms:
+            off = [v - F.lit(m) for v, m in zip(x, self.centres[i])]
+            form = self.forms[i]
+            for j in range(len(x)):
+                terms += [F.lit(-form[j][k] / (2 if j == k else 1)) * off[j] * off[k] for k in range(j, len(x))]
+        return total(terms)
+
     def transform(self, df: DataFrame) -> DataFrame:
-        scores = F.array(*self.scores)
+        scores = F.array(*[self.score(i) for i in range(len(self.labels))])
         best = F.array_position(scores, F.array_max(scores)) - 1
         return df.withColumn(PREDICTION, decoded(best, self.labels))
 
 
+@dataclass
+class BoostedModel:
+    """Weighted trees: the class with the most weight, or the weighted median of the trees' values."""
+
+    features: list[str]
+    trees: list[Any]
+    weights: list[float]
+    labels: list[Any] | None = None
+    streams: bool = True
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = VectorAssembler(inputCols=self.features, outputCol="__features", handleInvalid="keep").transform(df)
+        for i, tree in enumerate(self.trees):
+            made = tree.transform(out)
+            out = made.select(*[col(c) for c in out.columns], F.col(PREDICTION).alias(f"__t{i}"))
+        votes = [F.struct(F.col(f"__t{i}").alias("p"), F.lit(w).alias("w")) for i, w in enumerate(self.weights)]
+        if self.labels is not None:
+            sums = F.array(*[total([F.when(v["p"] == float(c), v["w"]).otherwise(0.0) for v in votes]) for c in range(len(self.labels))])
+            answer = decoded(F.array_position(sums, F.array_max(sums)) - 1, self.labels)
+        else:
+            ordered = F.array_sort(F.array(*votes))
+            half = sum(self.weights) / 2
+            start = F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("p"))
+
+            def passed(state: Column, vote: Column) -> Column:
+                w = state["w"] + vote["w"]
+                return F.struct(w.alias("w"), F.coalesce(state["p"], F.when(w >= half, vote["p"])).alias("p"))
+
+            answer = F.aggregate(ordered, start, passed)["p"]
+        return out.withColumn(PREDICTION, answer).drop("__features", *[f"__t{i}" for i in range(len(self.trees))])
+
+
 @dataclass
 class MlModel:
     """A fitted pyspark.ml model; class numbers are turned back into classes."""
@@ -157,3 +204,91 @@ def bayesian_ridge(
             return new
         beta = new
     return beta
+
+
+def relevance(
+    gram: np.ndarray, xy: np.ndarray, yy: float, n: int, threshold: float, alpha_1: float, alpha_2: float, lambda_1: float, lambda_2: float, rounds: int = 300
+) -> np.ndarray:
+    """Automatic relevance determination (MacKay 1994): every coefficient has a precision; beyond `threshold` it is 0."""
+    p = len(xy)
+    lam, alpha, beta = np.ones(p), (n / yy if yy > 0 else 1.0), np.zeros(p)
+    for _ in range(rounds):
+        live = np.flatnonzero(lam < threshold)
+        new = np.zeros(p)
+        if not len(live):
+            return new
+        spread = np.linalg.pinv(alpha * gram[np.ix_(live, live)] + np.diag(lam[live]))
+        new[live] = alpha * spread @ xy[live]
+        rss = max(yy - 2 * new @ xy + new @ gram @ new, 0.0)
+        sure = 1 - lam[live] * np.diag(spread)
+        lam[live] = (sure + 2 * lambda_1) / (new[live] ** 2 + 2 * lambda_2)
+        alpha = (n - sure.sum() + 2 * alpha_1) / (rss + 2 * alpha_2)
+        if np.abs(new - beta).sum() < 1e-3:
+            return new
+        beta = new
+    return beta
+
+
+def least_angle(gram: np.ndarray, xy: np.ndarray, alpha: float, lasso: bool, eps: float) -> np.ndarray:
+    """Least angle regression (Efron et al. 2004) on mean cross products, until no correlation exceeds `alpha`.
+
+    The coefficients in play move so that their columns' correlations with the residual fall alike; the next column joins
+    when it is as correlated. With `lasso` a coefficient that reaches 0 leaves again.
+    """
+    p = len(xy)
+    beta, active, left = np.zeros(p), [], -1
+    tiny = 1e-10 * max(np.abs(xy).max(initial=0.0), 1e-300)
+    for _ in range(8 * p + 8):
+        c = xy - gram @ beta
+        rest = [j for j in range(p) if j not in active and j != left and gram[j, j] > 0]
+        top = max((abs(c[j]) for j in [*active, *rest]), default=0.0)
+        if top <= max(alpha, tiny):
+            break
+        if left < 0:
+            joins = [j for j in rest if abs(c[j]) >= top * (1 - 1e-9)]
+            active += joins[:1] if active else [max(rest, key=lambda j: abs(c[j]))]
+            rest = [j for j in rest if j not in active]
+        left = -1
+        sign = np.sign(c[active])
+        w = np.linalg.pinv(gram[np.ix_(active, active)] + eps * 1e-6 * np.eye(len(active))) @ sign
+        a = gram[:, active] @ w
+        steps = [top - alpha]
+        for j in rest:
+            steps += [s for s in ((top - c[j]) / (1 - a[j]) if a[j] != 1 else -1, (top + c[j]) / (1 + a[j]) if a[j] != -1 else -1) if s > tiny]
+        step = min(steps)
+        if lasso:
+            zero = [(-beta[j] / v, j) for j, v in zip(active, w) if v and 0 < -beta[j] / v < step]
+            if zero:
+                step, left = min(zero)
+        beta[active] += step * w
+        if left >= 0:
+            beta[left] = 0.0
+            active.remove(left)
+    return beta
+
+
+def save_model(spark: SparkSession, model: Any, path: str) -> None:
+    """Write any fitted model under a path of the shared store; `load_model` gives it back in any session."""
+    values = {f.name: getattr(model, f.name) for f in fields(model) if f.name not in ("model", "trees", "train")}
+    saved: dict[str, Any] = {"kind": type(model).__name__, "values": values}
+    parts = [model.model] if isinstance(model, MlModel) else getattr(model, "trees", [])
+    for i, part in enumerate(parts):
+        part.write().overwrite().save(f"{path}/part{i}")
+    saved["parts"] = [[type(part).__module__, type(part).__name__] for part in parts]
+    if isinstance(model, NeighbourModel):
+        model.train.write.mode("overwrite").parquet(f"{path}/train")
+    spark.createDataFrame([(json.dumps(saved),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+
+
+def load_model(spark: SparkSession, path: str) -> Any:
+    saved = json.loads(spark.read.text(f"{path}/model").first()[0])
+    kind = {c.__name__: c for c in (LinearModel, ScoreModel, MlModel, NeighbourModel, BoostedModel)}[saved["kind"]]
+    parts = [getattr(import_module(m), n).load(f"{path}/part{i}") for i, (m, n) in enumerate(saved["parts"])]
+    more: dict[str, Any] = {}
+    if kind is MlModel:
+        more["model"] = parts[0]
+    elif kind is BoostedModel:
+        more["trees"] = parts
+    elif kind is NeighbourModel:
+        more["train"] = spark.read.parquet(f"{path}/train")
+    return kind(**saved["values"], **more)

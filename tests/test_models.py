@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tabprep.functions.gram import covariance, gram_matrix
 from tabprep.ml.candidates import classify_candidates, make_task, regress_candidates
 from tabprep.ml.metrics import classification_metrics, eq_odds_ratio, leaderboard, regression_metrics
-from tabprep.ml.models import LinearModel, NeighbourModel, bayesian_ridge
+from tabprep.ml.models import LinearModel, NeighbourModel, bayesian_ridge, least_angle, load_model, relevance, save_model
 from tabprep.ml.search import Ucb1, automl_search, batch_score, dependence_data, fit_model, global_importance
 from tabprep.ml.split import train_test_split
 from tabprep.operators.collinear import components, inflation, noncollinear
@@ -213,3 +213,38 @@ def test_correlations_of_many_columns(spark):
         assert kendall[a, b] == pytest.approx(signs.sum() / size, abs=1e-12)
     assert len(spearman) == len(kendall) == 15
     assert corr_cramers_v(df, names).count() == 15 and corr_kendall(df.limit(0), names).where("corr is not null").isEmpty()
+
+
+def test_least_angle_and_relevance():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5))
+    y = x @ np.array([2.0, 0, -1, 0, 0.5]) + rng.normal(scale=0.1, size=400)
+    x, y = x - x.mean(axis=0), y - y.mean()
+    gram, xy = x.T @ x / 400, x.T @ y / 400
+    assert np.allclose(least_angle(gram, xy, 0.0, False, 0.0), np.linalg.solve(gram, xy), atol=1e-6)
+    for alpha in (0.05, 0.3, 1.0):
+        beta = least_angle(gram, xy, alpha, True, 0.0)
+        slope = xy - gram @ beta  # the lasso's conditions
+        assert np.all(np.abs(slope) <= alpha + 1e-6) and np.allclose(slope[beta != 0], alpha * np.sign(beta[beta != 0]), atol=1e-6)
+    assert not least_angle(gram, xy, 1e9, True, 0.0).any()
+    found = relevance(400 * gram, 400 * xy, float(y @ y), 400, 10_000, *[1e-6] * 4)
+    assert np.allclose(found, [2, 0, -1, 0, 0.5], atol=0.05)
+
+
+@pytest.mark.parametrize("name, classify", [("linreg", False), ("adaBoost", False), ("dtr", False), ("knn", False), ("ada", True), ("quadratic_discriminant", True), ("LogReg", True)])
+def test_saved_models_give_the_same(spark, points, tmp_path, name, classify):
+    family = (classify_candidates() if classify else regress_candidates())[name]
+    model = family.fit(make_task(points, "c" if classify else "y", ["a", "b"], classify), QUICK)
+    save_model(spark, model, str(tmp_path / "m"))
+    again = load_model(spark, str(tmp_path / "m"))
+    assert type(again) is type(model)
+    want = {r["id"]: r["prediction"] for r in model.transform(points).collect()}
+    assert {r["id"]: r["prediction"] for r in again.transform(points).collect()} == want
+
+
+def test_ransac_ignores_outliers(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, float(a), float(3 * a + 1 if i % 5 else 500.0)) for i, a in enumerate(rng.normal(size=300))]
+    task = make_task(spark.createDataFrame(rows, "id int, a double, y double"), "y", ["a"], False)
+    model = regress_candidates()["ransac"].fit(task, {"max_trials": 20})
+    assert model.coefficients[0] == pytest.approx(3, abs=1e-6) and model.intercept == pytest.approx(1, abs=1e-6)
