@@ -15,7 +15,7 @@ import numpy as np
 from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import col, require, require_numeric
 from ..operators.bins import Bin
@@ -26,7 +26,7 @@ from ..plans.features import fe_apply
 from ..plans.pipeline import Pipeline, PipelineModel
 from . import metrics as mt
 from .candidates import Family, classify_candidates, make_task, regress_candidates
-from .models import PREDICTION, LinearModel
+from .models import PREDICTION, LinearModel, load_model, save_model
 from .split import SEED, train_test_split
 
 # what a fit or a score may raise for its parameters or data; anything else is a fault of the program
@@ -75,6 +75,21 @@ class SearchResult:
     def best(self) -> Any:
         return self.models[self.leaderboard.select("run_id").first()[0]]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The leaderboard, every model and what failed, under one path of the shared store."""
+        ranked = self.leaderboard.withColumn("place", F.row_number().over(W.orderBy(F.monotonically_increasing_id())))
+        ranked.coalesce(1).write.mode("overwrite").parquet(f"{path}/leaderboard")
+        failed = spark.createDataFrame(self.failures, "name string, hyper_param string, error string")
+        failed.coalesce(1).write.mode("overwrite").parquet(f"{path}/failures")
+        for run, model in self.models.items():
+            save_model(spark, model, f"{path}/models/{run}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "SearchResult":
+        board = spark.read.parquet(f"{path}/leaderboard").orderBy("place").drop("place")
+        models = {r["run_id"]: load_model(spark, f"{path}/models/{r['run_id']}") for r in board.select("run_id").collect()}
+        return SearchResult(board, models, [tuple(r) for r in spark.read.parquet(f"{path}/failures").collect()])
+
 
 def _score(scored: DataFrame, target: str, classify: bool, sensitive: str | None) -> dict[str, float]:
     if not classify:

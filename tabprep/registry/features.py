@@ -220,4 +220,24 @@ BOOK.add(
     from part, best""",
 )
 
+TWINS = "select l_orderkey, l_linenumber, l_quantity, 2 * l_quantity as twin, l_discount, l_tax from lineitem"
+BOOK.add(
+    "drop_collinear_table",
+    # quantity and its twin are infinitely inflated, the first goes; the free column stays
+    lambda spark, folder: cl.drop_collinear(over(spark, folder, TWINS).drop("l_tax"), 5.0, LINE),
+    f"with t as ({TWINS}) select l_orderkey, l_linenumber, twin, l_discount from t",
+)
+BOOK.add(
+    "fe_collinear_request",
+    lambda spark, folder: fe_pipeline(over(spark, folder, TWINS), {"multiCollinearity": {"vif_Value": 5}}, "l_tax", LINE),
+    f"with t as ({TWINS}) select l_orderkey, l_linenumber, twin, l_discount, l_tax from t",
+)
+BOOK.add(
+    "fe_component_request",
+    lambda spark, folder: rounded(
+        fe_pipeline(_line(spark, folder, "l_quantity", "l_discount", "l_tax"), {"PCA": {"n_Components": 2}}, "l_tax", LINE), 5
+    ),
+    BOOK.sql["pca"].replace("select l_orderkey, l_linenumber,", "select l_orderkey, l_linenumber, round(l_tax, 5) as l_tax,"),
+)
+
 QUERIES, SQL = BOOK.queries, BOOK.sql

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 from ..ml import metrics as mt
 from ..ml.candidates import classify_candidates, make_task, regress_candidates
+from ..ml.models import load_model, save_model
 from ..ml.search import automl_search, batch_score, dependence_data, fit_model, global_importance
 from ..ml.split import train_test_split
+from ..plans.pipeline import PipelineModel
 from ..plans.preprocess import preprocess_pipeline
 from ..session import scratch_path
 from ..streaming.score import monitor_metrics, stream_score, to_parquet
@@ -42,7 +44,7 @@ BOOK.add(
 BOOK.add(
     "regress_candidates",
     lambda spark, folder: _families(
-        spark, folder, "part", "p_retailprice", ["p_partkey", "p_size"], ["p_partkey"][:0], regress_candidates(), False
+        spark, folder, "part", "p_retailprice", ["p_partkey", "p_size"], [], regress_candidates(), False
     ),
 )
 BOOK.add(
@@ -69,7 +71,12 @@ def _scoring_parts(spark, folder):
 
 
 def _batch(spark, folder):
+    """Step and model are written to the shared folder and scored with what is read back."""
     df, step, model = _scoring_parts(spark, folder)
+    path = scratch_path(spark, "models")
+    step.save(spark, f"{path}/step")
+    save_model(spark, model, f"{path}/model")
+    step, model = PipelineModel.load(spark, f"{path}/step"), load_model(spark, f"{path}/model")
     return rounded(batch_score(df.drop("l_extendedprice"), [step], model).select(*LINE, "prediction"), 4)
 
 

@@ -265,6 +265,32 @@ BOOK.add(
     select c as "column", d as distinct_values, t as top_n, s as second_n,
            (s is null or (t > 20 * s and d * 100 < 10 * rows)) as near_zero from g""",
 )
+BOOK.add(
+    "near_zero_variance_table",
+    lambda spark, folder: lv.near_zero_variance(over(spark, folder, FLAG_VIEW)),
+    f"with t as ({FLAG_VIEW}) select l_quantity, l_discount, l_tax, l_linestatus, l_returnflag from t",
+)
+BOOK.add(
+    "preprocess_many_levels",
+    lambda spark, folder: preprocess_pipeline(
+        table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"),
+        {"l_partkey": [{"encode": [{"enc_method": "ordinal encoder"}]}]},
+    ).transform(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")),
+    "select l_orderkey, l_linenumber, dense_rank() over (order by l_partkey) - 1 as l_partkey from lineitem",
+)
+ZEROS = "select l_orderkey, l_linenumber, case when l_linenumber % 2 = 0 then -0.0::double else round(l_discount * 0, 1) + l_partkey % 3 end as v from lineitem"
+BOOK.add(
+    "encode_zeros",
+    lambda spark, folder: encode_ordinal(
+        table(spark, folder, "lineitem").select(
+            "l_orderkey",
+            "l_linenumber",
+            F.when(F.col("l_linenumber") % 2 == 0, F.lit(-0.0)).otherwise(F.col("l_discount") * 0 + F.col("l_partkey") % 3).alias("v"),
+        ),
+        "v",
+    ),
+    f"with t as ({ZEROS}) select l_orderkey, l_linenumber, dense_rank() over (order by v + 0.0) - 1 as v from t",
+)
 BOOK.add(
     "club_rare_levels",
     lambda spark, folder: lv.club_rare_levels(table(spark, folder, "documents").select("doc_id", "source"), "source"),

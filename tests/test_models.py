@@ -6,7 +6,7 @@ from tabprep.functions.gram import covariance, gram_matrix
 from tabprep.ml.candidates import classify_candidates, make_task, regress_candidates
 from tabprep.ml.metrics import classification_metrics, eq_odds_ratio, leaderboard, regression_metrics
 from tabprep.ml.models import LinearModel, NeighbourModel, bayesian_ridge, least_angle, load_model, relevance, save_model
-from tabprep.ml.search import Ucb1, automl_search, batch_score, dependence_data, fit_model, global_importance
+from tabprep.ml.search import SearchResult, Ucb1, automl_search, batch_score, dependence_data, fit_model, global_importance
 from tabprep.ml.split import train_test_split
 from tabprep.operators.collinear import components, inflation, noncollinear
 from tabprep.operators.correlate import corr_cramers_v, corr_kendall, corr_phi_k, corr_spearman
@@ -40,12 +40,15 @@ def test_classifiers_learn(points, name):
     assert classification_metrics(model.transform(points), "c", "prediction").first()["accuracy"] > 0.8
 
 
-def test_search(points):
+def test_search(points, tmp_path):
     result = automl_search(points.drop("s", "c"), "y", "RMSE", 5, key=["id"], families=["linreg", "dtr", "bayesian_ridge"])
     board = result.leaderboard.collect()
     assert len(board) == 5 and result.leaderboard.columns[:2] == ["name", "RMSE"]
     assert [r["RMSE"] for r in board] == sorted(r["RMSE"] for r in board)
     assert isinstance(result.best(), LinearModel)
+    result.save(points.sparkSession, str(tmp_path / "search"))
+    again = SearchResult.load(points.sparkSession, str(tmp_path / "search"))
+    assert again.leaderboard.collect() == board and again.best() == result.best() and set(again.models) == set(result.models)
     with pytest.raises(ValueError):
         automl_search(points, "c", "parity_diff", 1)
     with pytest.raises(ValueError):
