@@ -15,7 +15,7 @@ from ..plans.preprocess import preprocess_pipeline
 from ..session import scratch_path
 from ..streaming.score import monitor_metrics, stream_score, to_parquet
 from .tools import Book, rounded
-from .views import table
+from .views import over, table
 
 BOOK = Book()
 QUICK = {"n_estimators": 10, "max_depth": 4, "max_iter": 10}
@@ -59,6 +59,67 @@ BOOK.add(
     ).leaderboard.select("name", "run_id", F.round("RMSE", 3).alias("RMSE"), F.round("MAE", 3).alias("MAE")),
 )
 
+SIZED = """select l_orderkey, l_linenumber, l_extendedprice, l_discount, l_quantity,
+    case when l_quantity > 35 then 'large' when l_quantity > 15 then 'middle' else 'small' end as y from lineitem"""
+
+
+def _predicted(spark, folder, name, features, classify, params=None):
+    """One family fitted on all line items and applied to them."""
+    df = over(spark, folder, SIZED)
+    target = "y" if classify else "l_extendedprice"
+    family = (classify_candidates() if classify else regress_candidates())[name]
+    model = family.fit(make_task(df, target, features, classify), params or {})
+    out = model.transform(df).select("l_orderkey", "l_linenumber", "prediction")
+    return out if classify else rounded(out, 3)
+
+
+PLANE = f"""with t as ({SIZED}),
+    s as (select var_pop(l_quantity) as a, covar_pop(l_quantity, l_discount) as b, var_pop(l_discount) as c, covar_pop(l_quantity, l_extendedprice) as p,
+        covar_pop(l_discount, l_extendedprice) as q, avg(l_quantity) as mx, avg(l_discount) as mz, avg(l_extendedprice) as my from t),
+    w as (select (p * c - q * b) / (a * c - b * b) as u, (q * a - p * b) / (a * c - b * b) as v, mx, mz, my from s)
+    select l_orderkey, l_linenumber, round(my + u * (l_quantity - mx) + v * (l_discount - mz), 3) as prediction from t, w"""
+for _family in ("linreg", "lars"):
+    BOOK.add(
+        f"family_{_family}",
+        lambda spark, folder, name=_family: _predicted(spark, folder, name, ["l_quantity", "l_discount"], False, {"eps": 0.0}),
+        PLANE,
+    )
+
+# one feature: the class with the largest ln(share) + ln(density) of a normal with the classes' common, or the class's own, variance
+DENSITY = f"""with t as ({SIZED}),
+    c as (select y, count(*) * 1.0::double / sum(count(*)) over () as share, avg(l_extendedprice) as m, var_pop(l_extendedprice) as v from t group by y),
+    d as (select y, share, m, {{variance}} as v from c),
+    e as (select y, share, m, v from d)
+    select l_orderkey, l_linenumber,
+        (select arg_max(y, ln(share) - ln(v) / 2 - (l_extendedprice - m) * (l_extendedprice - m) / (2 * v)) from e) as prediction from t"""
+for _family, _variance in (
+    ("linear_discriminant", "sum(share * v) over ()"),
+    ("quadratic_discriminant", "v"),
+    ("gnb", "v"),
+):
+    BOOK.add(
+        f"family_{_family}",
+        lambda spark, folder, name=_family: _predicted(spark, folder, name, ["l_extendedprice"], True),
+        DENSITY.format(variance=_variance),
+    )
+
+
+def _knn(spark, folder):
+    """Parts take the mean price of their two nearest among every tenth part, each of which stands there twice."""
+    parts = table(spark, folder, "part").select("p_partkey", "p_retailprice")
+    tenth = parts.where(F.col("p_partkey") % 10 == 0)
+    task = make_task(tenth.unionByName(tenth), "p_retailprice", ["p_partkey"], False)
+    model = regress_candidates()["knn"].fit(task, {"n_neighbors": 2, "weights": "uniform"})
+    return rounded(model.transform(parts.where("p_partkey % 10 between 1 and 4")).select("p_partkey", "prediction"), 4)
+
+
+BOOK.add(
+    "family_knn",
+    _knn,
+    """select a.p_partkey, round(b.p_retailprice, 4) as prediction from part a join part b
+       on b.p_partkey = a.p_partkey - a.p_partkey % 10 where a.p_partkey % 10 between 1 and 4""",
+)
+
 LINE = ["l_orderkey", "l_linenumber", "l_suppkey"]
 
 
