@@ -59,6 +59,8 @@ def knn_join(
     exclude_same: bool = True,
     carry: str | None = None,
     seed: int = 5,
+    one_cell: int = ONE_CELL,
+    probes: int | None = None,
 ) -> DataFrame:
     """The k rows of `right` nearest to each row of `left`, in its group of `by`.
 
@@ -66,6 +68,10 @@ def knn_join(
     right key), its numbers as neighbour_x and categories as neighbour_s, and `carry`, a column of the right side
     as text. So nothing has to be looked up again by neighbour, which may be the same for very many rows.
     Distance is Euclidean; every differing category adds mismatch[group]². Ties go to the smaller key.
+
+    Exact by default. In many dimensions the bounds rule out little and the work is rows times rows; `probes` then
+    searches only that many cells around each cell, the nearest by their pivots: fast and approximate, so measure its
+    recall against the exact answer on your data before use. Groups up to `one_cell` rows are searched whole.
     """
     for side in (left, right):
         require(side, [key, *features, *categorical, *([by] if by else [])])
@@ -88,10 +94,10 @@ def knn_join(
     offered = right_points.withColumn("__rn", F.row_number().over(same)).where(F.col("__rn") <= k + 1).drop("__rn")
     places = wanted.groupBy(*SPOT).agg(F.count(F.lit(1)).alias("n"))
 
-    pivots = _pivots(points(right), seed)
+    pivots = _pivots(points(right), seed, one_cell)
     offered = pinned(_assign(offered, pivots, weights, ["key", *SPOT, "extra"]))
     places = pinned(_assign(places, pivots, weights, [*SPOT, "n"]))
-    best = pinned(_search(places, offered, pivots, weights, k + 1, data_type(right, key)))
+    best = pinned(_search(places, offered, pivots, weights, k + 1, data_type(right, key), probes))
 
     # points that many rows share, at most 1/HOT_SHARE of them, are answered by broadcast
     rows = places.agg(F.sum("n")).first()[0] or 0
@@ -110,13 +116,13 @@ def knn_join(
     )
 
 
-def _pivots(offered: DataFrame, seed: int) -> pd.DataFrame:
+def _pivots(offered: DataFrame, seed: int, one_cell: int) -> pd.DataFrame:
     """Points of each group drawn by key hash; a bounded number reaches the driver."""
     sizes = {r["g"]: r["n"] for r in offered.groupBy("g").agg(F.count(F.lit(1)).alias("n")).limit(MAX_PIVOTS + 1).collect()}
     if len(sizes) > MAX_PIVOTS:
         raise ValueError(f"more than {MAX_PIVOTS} groups: search them in parts")
     # finding a cell costs pivots, searching it costs points per cell: about 2 sqrt(n) pivots balance the two
-    ideal = {g: 1.0 if n <= ONE_CELL else 2 * n**0.5 for g, n in sizes.items()}
+    ideal = {g: 1.0 if n <= one_cell else 2 * n**0.5 for g, n in sizes.items()}
     shrink = min(1.0, MAX_PIVOTS / (sum(ideal.values()) or 1.0))
     share = {g: max(1, int(v * shrink)) for g, v in ideal.items()}
     # a hash threshold thins each group to about four times its share before anything is ordered
@@ -157,7 +163,9 @@ def _assign(
     return points.select(*keep).mapInPandas(cells, schema)
 
 
-def _routes(places: DataFrame, offered: DataFrame, pivots: pd.DataFrame, weights: dict[str, float], k: int) -> pd.DataFrame:
+def _routes(
+    places: DataFrame, offered: DataFrame, pivots: pd.DataFrame, weights: dict[str, float], k: int, probes: int | None
+) -> pd.DataFrame:
     """Which offered points each cell of places must see: (cell, target, low, high) on their distance to their own pivot."""
     ask = places.groupBy("cell").agg(F.max("away").alias("reach"), F.count(F.lit(1)).alias("n")).toPandas()
     first = W.partitionBy("cell").orderBy("away")
@@ -181,6 +189,8 @@ def _routes(places: DataFrame, offered: DataFrame, pivots: pd.DataFrame, weights
             theta = theta * (1 + SLACK) + SLACK
             low, high = gap[i] - reach - theta, gap[i] + reach + theta
             sent = low <= far
+            if probes is not None:
+                sent &= gap[i] <= np.partition(gap[i], min(probes, len(gap[i])) - 1)[min(probes, len(gap[i])) - 1]
             out.append(pd.DataFrame({"cell": cells[sent], "target": target, "low": low[sent], "high": high[sent], "m": m[sent]}))
     columns = ["cell", "target", "low", "high", "m"]
     routes = pd.concat(out) if out else pd.DataFrame(columns=columns)
@@ -190,11 +200,17 @@ def _routes(places: DataFrame, offered: DataFrame, pivots: pd.DataFrame, weights
 
 
 def _search(
-    places: DataFrame, offered: DataFrame, pivots: pd.DataFrame, weights: dict[str, float], k: int, key_type: T.DataType
+    places: DataFrame,
+    offered: DataFrame,
+    pivots: pd.DataFrame,
+    weights: dict[str, float],
+    k: int,
+    key_type: T.DataType,
+    probes: int | None,
 ) -> DataFrame:
     """(g, features, near): the k nearest offered points of each place as a sorted array of (d, key)."""
     spark = places.sparkSession
-    routes = _routes(places, offered, pivots, weights, k)
+    routes = _routes(places, offered, pivots, weights, k, probes)
     paths = spark.createDataFrame(
         routes[["cell", "target", "low", "high"]].astype({"cell": "int32", "target": "int32", "low": float, "high": float}),
         "cell int, target int, low double, high double",

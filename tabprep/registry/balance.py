@@ -159,7 +159,9 @@ def _vectors(spark, folder):
 
 def _neighbours(spark, folder):
     points = _vectors(spark, folder)
-    return rounded(knn_join(points, points, [f"e{i}" for i in range(64)], 5, "vec_id"), 5).select("vec_id", "place", "distance")
+    return rounded(knn_join(points, points, [f"e{i}" for i in range(64)], 5, "vec_id", one_cell=100), 5).select(
+        "vec_id", "place", "distance"
+    )
 
 
 BOOK.add(

@@ -8,7 +8,6 @@ from oracle import compare
 from tabprep.registry.views import TABLES
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-SLOW = {"classify_candidates", "regress_candidates", "automl_search", "permutation_importance"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +23,7 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, folder, duck, name):
     df = QUERIES[name](spark, folder)
     rows = [tuple(r) for r in df.collect()]
