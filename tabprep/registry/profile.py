@@ -22,6 +22,14 @@ BOOK.add(
                sum(n - 1)::bigint as duplicate_rows, 3::integer as numeric_columns, 2::integer as text_columns,
                0::integer as boolean_columns, 0::integer as date_columns, 0::integer as other_columns from g""",
 )
+TWICE = "select * from lineitem union all select * from lineitem where l_orderkey % 10 = 0"
+BOOK.add(
+    "profile_overview_whole",
+    lambda spark, folder: rounded(pf.profile_overview(over(spark, folder, TWICE))),
+    f"""with t as ({TWICE}) select count(*)::bigint as rows, 11::integer as columns, 0::bigint as missing_cells, 0.0::double as missing_share,
+        (count(*) - (select count(*) from (select distinct * from t)))::bigint as duplicate_rows, 8::integer as numeric_columns,
+        2::integer as text_columns, 0::integer as boolean_columns, 1::integer as date_columns, 0::integer as other_columns from t""",
+)
 NUM = ["c_acctbal", "c_nationkey"]
 BOOK.add(
     "profile_numeric",
