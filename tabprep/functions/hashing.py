@@ -15,6 +15,12 @@ def hash32(seed: int | str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def hash60(seed: int | str, *parts: Column) -> Column:
+    """Uniform integer in [0, 2^60), for draws among more rows than 32 bits can number."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def uniform(seed: int | str, *parts: Column) -> Column:
     """Uniform double in [0, 1)."""
     return hash32(seed, *parts) / F.lit(float(SPAN))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 
 from ..functions.choose import mapped, step_value
 from ..functions.columns import col, data_type, require
-from ..functions.hashing import SPAN, hash32
+from ..functions.hashing import SPAN, hash32, hash60
 from .rank import hash_buckets, hash_rank
 
 MAX_CLASSES = 1_000
@@ -49,11 +49,11 @@ def task_type(df: DataFrame, target: str) -> str:
     return "regression" if distinct > REGRESSION_SHARE * (rows or 0) else "classification"
 
 
-def held_counts(df: DataFrame, target: str) -> dict[Any, int]:
-    """Class sizes on the driver; a target with too many classes is refused."""
-    rows = class_counts(df, target).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+def held_counts(df: DataFrame, target: str, limit: int = MAX_CLASSES) -> dict[Any, int]:
+    """Class sizes on the driver; a target with more classes than `limit` is refused."""
+    rows = class_counts(df, target).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{target} has more than {limit} classes")
     return {r[0]: r[1] for r in sorted(rows, key=lambda r: str(r[0]))}
 
 
@@ -122,7 +122,7 @@ def drawn_rows(df: DataFrame, target: str, need: dict[Any, int], counts: dict[An
     live = {c: n for c, n in need.items() if n > 0}
     ranked = hash_rank(df.where(col(target).isin(*live)), [target], key, seed, "__at")
     picks = draws(df.sparkSession, live, target, data_type(df, target))
-    picks = picks.withColumn("__at", F.pmod(hash32(seed, col(target), F.col("j")), mapped(col(target), counts)))
+    picks = picks.withColumn("__at", F.pmod(hash60(seed, col(target), F.col("j")), mapped(col(target), counts)))
     return picks.join(ranked, [target, "__at"]).drop("__at")
 
 

@@ -104,7 +104,7 @@ BOOK.add(
 RANKED = f"""with recursive t as ({CLS}),
     c as (select y, count(*) as n, max(count(*)) over () - count(*) as need from t group by 1),
     r as (select *, row_number() over (partition by y order by {hash_sql(5, 'c_custkey')}, c_custkey) - 1 as pos from t),
-    d as (select y, n, j, {hash_sql(5, 'y', 'j')} % n as pos from c, unnest(range(1, need + 1)) as u(j)),
+    d as (select y, n, j, {hash_sql(5, 'y', 'j', digits=15)} % n as pos from c, unnest(range(1, need + 1)) as u(j)),
     b as (select d.y, d.n, d.j, r.c_custkey, r.c_acctbal, r.c_nationkey from d join r using (y, pos))"""
 BOOK.add(
     "random_oversample",

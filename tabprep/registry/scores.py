@@ -11,11 +11,12 @@ from .tools import Book, rounded
 from .views import VIEWS, over, table
 
 BOOK = Book()
-HASH = "('0x' || substr(md5({0}), 1, 8))::bigint"
+HASH = "('0x' || substr(md5({0}), 1, {1}))::bigint"
 
 
-def hash_sql(seed, *parts: str) -> str:
-    return HASH.format(f"'{seed}|' || " + " || '|' || ".join(parts))
+def hash_sql(seed, *parts: str, digits: int = 8) -> str:
+    """Whole number of the first hexadecimal digits of a hash: 8 of them as hash32, 15 as hash60."""
+    return HASH.format(f"'{seed}|' || " + " || '|' || ".join(parts), digits)
 
 
 def _split(spark, folder):
