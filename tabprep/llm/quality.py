@@ -1,11 +1,11 @@
 """Quality rules: word repetition and length, then Jensen-Shannon distance to the document's language.
 
 Two histograms of a document are compared with those of its whole language: code points by character class, and words by
-the language's common words. Both references are counted over all documents. Texts below the guards are judged by the
-base rules alone, as a short histogram is mostly chance.
+the language's common words. Both references are the mean share over the language's documents. Texts below the guards are
+judged by the base rules alone, as a short histogram is mostly chance.
 
-Three steps: (1) candidates for common words, (2) one scan for measures and histograms, with exact sums per language and
-task, (3) distances over the small rows that (2) wrote.
+Four steps: (1) sizes of the languages, (2) candidates for common words, (3) one scan for measures and histograms,
+(4) exact sums per language and distances over the small rows that (3) wrote.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import col
-from ..session import scratch_path
+from ..session import pinned, scratch_path
 from .base import filled, long_id, pick, scan_number, stream, table
 
 BLANKS = b" \t\n\v\f\r"
@@ -58,11 +58,14 @@ class Rules:
     class_guard: int = 200  # code points in words
     word_guard: int = 100  # words
     common_share: float = 0.005  # of a language's words, so at most 200 common words each
-    language_share: float = 0.001  # of all words; rarer languages share one class reference and have no word reference
+    language_share: float = 0.001  # of all bytes; what rarer languages need is joined by name, with the same result
+    reference_texts: int = 20  # a language with less has no reference, and the base rules alone judge
+    reference_words: int = 2_000
 
 
-POOL = "\0pool"
 HELD_WORDS = 500_000
+UNITS = 10**9  # a text's shares are summed as whole numbers, so their order does not matter
+A_WORD = r"[^ \t\n\x0b\f\r]"
 
 
 def repeated_words(places: np.ndarray, n_kinds: int) -> int:
@@ -114,104 +117,129 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (a + b) / 2)))
 
 
-def candidates(picked: DataFrame, rules: Rules) -> dict[str, list[bytes]]:
-    """Words that may reach the common share of a language, for each language with its share of all words.
+def languages(picked: DataFrame) -> DataFrame:
+    """(lang, rows, texts, size): rows with a word, how many texts are counted, and bytes. Pinned."""
+    spoken = F.col("text").rlike(A_WORD)
+    each = picked.select("lang", spoken.cast("long").alias("rows"), F.octet_length("text").cast("long").alias("size"))
+    return pinned(each.groupBy("lang").agg(F.sum("rows").alias("rows"), F.sum("rows").alias("texts"), F.sum("size").alias("size")))
 
-    A word with a share in the whole has at least that share in one chunk of it, so each task reports per chunk the words
-    that reach it, at most 1 / common_share. The driver gets at most 1 / language_share languages.
+
+def candidates(picked: DataFrame, spoken: DataFrame, held: dict[str, float], rules: Rules) -> DataFrame:
+    """(lang, word): every word that may reach the common share of its language, and few others. Pinned.
+
+    Tasks sum shares chunk by chunk and leave out what is below half the common share, scaled by texts a row. All that is
+    left out of a word is less than half of what a common word needs, so a word is a candidate if its reported sum has
+    the other half. `held` has that scale for the languages every task knows; of the others each word is reported.
     """
-    share = rules.common_share
 
     def found(rows: Iterable[tuple]) -> Iterator[tuple]:
-        words: dict[str, Counter] = {}
-        held = 0
+        words: dict[str, dict[bytes, float]] = {}
+        texts: Counter = Counter()
+        n_held = 0
 
         def chunk() -> Iterator[tuple]:
-            for lang, counts in words.items():
-                total = counts.total()
-                yield lang, None, total
-                for word, n in counts.items():
-                    if n >= share * total:
-                        yield lang, word, n
+            for lang, sums in words.items():
+                least = rules.common_share / 2 * held.get(lang, 0.0) * texts[lang]
+                for word, n in sums.items():
+                    if n >= least:
+                        yield lang, word, int(n * UNITS) + 1
 
         for lang, text in rows:
-            counts = words.setdefault(lang, Counter())
-            held -= len(counts)
-            counts.update(text.split())
-            held += len(counts)
-            if held > HELD_WORDS:
+            counts = Counter(text.split())
+            if not counts:
+                continue
+            texts[lang] += 1
+            sums = words.setdefault(lang, {})
+            n_held -= len(sums)
+            one = 1.0 / counts.total()
+            for word, n in counts.items():
+                sums[word] = sums.get(word, 0.0) + n * one
+            n_held += len(sums)
+            if n_held > HELD_WORDS:
                 yield from chunk()
-                words, held = {}, 0
+                words.clear()
+                texts.clear()
+                n_held = 0
         yield from chunk()
 
     spark = picked.sparkSession
     path = scratch_path(spark, "words")
     stream(picked.select("lang", "text"), found, "lang string, word binary, n long", as_bytes=("text",)).write.parquet(path)
     parts = spark.read.schema("lang string, word binary, n long").parquet(path)
-    totals = parts.where(F.col("word").isNull()).groupBy("lang").agg(F.sum("n").alias("total"))
-    every = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    big = totals.where((F.col("total") > 0) & (F.col("total") >= rules.language_share * every))
-    # what is counted of a word here is at most its whole count, and words far below the share are not worth carrying
-    named = parts.where(F.col("word").isNotNull()).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = named.join(F.broadcast(big), "lang").where(F.col("n") >= 0.1 * share * F.col("total")).collect()
-    out: dict[str, list[bytes]] = {r["lang"]: [] for r in big.collect()}
-    for r in sorted(rows, key=lambda r: (r["lang"], bytes(r["word"]))):
-        out[r["lang"]].append(bytes(r["word"]))
-    return out
+    named = parts.groupBy("lang", "word").agg(F.sum("n").alias("n")).join(spoken, "lang")
+    return pinned(named.where(F.col("n") >= 0.49 * rules.common_share * UNITS * F.col("texts")).select("lang", "word"))
 
 
 DOCUMENT = (
     "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "classes array<long>, commons array<long>"
+    "classes array<long>, commons binary"
 )
 
 
 def measured(picked: DataFrame, common: dict[str, list[bytes]]) -> DataFrame:
-    """One row per document, and one per task and language with row null and summed histograms; written and read back."""
+    """One row per document, written and read back; `commons` has the places of candidates found, then their counts.
+
+    Candidates are those of `common`, or the row's own, `words`.
+    """
 
     def scan(rows: Iterable[tuple]) -> Iterator[tuple]:
-        sums: dict[str, list[np.ndarray]] = {}
-        for row, name, lang, text in rows:
+        for row, name, lang, text, own in rows:
             numbers, kinds, places = measures(text)
-            group = lang if lang in common else POOL
-            words = common.get(group, [])
+            words = common[lang] if lang in common else own or []
             counts = np.bincount(places, minlength=len(kinds) + 1) if len(places) else np.zeros(1, dtype=np.int64)
             of_common = counts[[kinds.get(w, len(kinds)) for w in words]] if words else np.zeros(0, dtype=np.int64)
-            of_class = class_counts(text)
-            if group not in sums:
-                sums[group] = [np.zeros(len(CLASSES), dtype=np.int64), np.zeros(len(words) + 1, dtype=np.int64)]
-            sums[group][0] += of_class
-            sums[group][1][:-1] += of_common
-            sums[group][1][-1] += numbers[0]
-            yield row, name, group, *numbers, of_class.tolist(), of_common.tolist()
-        for group, (classes, words) in sums.items():
-            yield None, None, group, int(words[-1]), 0, 0, 0, 0, classes.tolist(), words[:-1].tolist()
+            at = np.flatnonzero(of_common)
+            yield row, name, lang, *numbers, class_counts(text).tolist(), np.concatenate((at, of_common[at])).astype("<u4").tobytes()
 
     spark = picked.sparkSession
     path = scratch_path(spark, "measures")
-    stream(picked, scan, DOCUMENT, as_bytes=("text",)).write.parquet(path)
+    stream(picked.select("row", "doc_id", "lang", "text", "words"), scan, DOCUMENT, as_bytes=("text",)).write.parquet(path)
     return spark.read.schema(DOCUMENT).parquet(path)
 
 
-def references(rows: DataFrame, common: dict[str, list[bytes]], rules: Rules) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By language: class sums, which candidates are common, and their counts with all other words last."""
-    sums = rows.where(F.col("row").isNull())
-    classes = sums.select("lang", "n_words", F.posexplode("classes").alias("at", "n"), F.lit(0).alias("kind"))
-    words = sums.select("lang", "n_words", F.posexplode("commons").alias("at", "n"), F.lit(1).alias("kind"))
-    totals = sums.groupBy("lang").agg(F.sum("n_words").alias("n")).select("lang", F.lit(2).alias("kind"), F.lit(0).alias("at"), "n")
-    each = classes.unionByName(words).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).unionByName(totals)
-    # at most 1 / language_share languages, each with a bounded number of candidates
-    found: dict[str, dict] = {}
-    for r in each.collect():
-        found.setdefault(r["lang"], {})[r["kind"], r["at"]] = r["n"]
-    out = {}
-    for lang, n in found.items():
-        of_class = np.array([n.get((0, i), 0) for i in range(len(CLASSES))], dtype=float)
-        of_word = np.array([n.get((1, i), 0) for i in range(len(common.get(lang, [])))], dtype=float)
-        total = float(n[2, 0])
-        keep = np.flatnonzero(of_word >= rules.common_share * total)
-        out[lang] = (of_class, keep, np.append(of_word[keep], total - of_word[keep].sum()))
-    return out
+def found_of(commons: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of candidates and their counts."""
+    both = np.frombuffer(commons, dtype="<u4").astype(np.int64).reshape(2, -1)
+    return both[0], both[1]
+
+
+def sums(rows: DataFrame) -> DataFrame:
+    """(lang, kind, at, n): summed shares by class (kind 0) and by candidate (1), in whole units; texts and words (2). Pinned."""
+
+    def add(rows: Iterable[tuple]) -> Iterator[tuple]:
+        held: Counter = Counter()
+        for lang, n_words, classes, commons in rows:
+            of_class = np.array(classes)
+            for at, n in enumerate(np.rint(UNITS * of_class / of_class.sum()).astype(np.int64).tolist()):
+                held[lang, 0, at] += n
+            places, counts = found_of(commons)
+            for at, n in zip(places.tolist(), np.rint(UNITS * counts / n_words).astype(np.int64).tolist()):
+                held[lang, 1, at] += n
+            held[lang, 2, 0] += 1
+            held[lang, 2, 1] += n_words
+            if len(held) > HELD_WORDS:
+                yield from ((*key, n) for key, n in held.items())
+                held.clear()
+        yield from ((*key, n) for key, n in held.items())
+
+    counted = rows.where(F.col("n_words") > 0)
+    parts = stream(counted.select("lang", "n_words", "classes", "commons"), add, "lang string, kind int, at long, n long")
+    return pinned(parts.groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")))
+
+
+Reference = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def reference(found: Iterable[tuple[int, int, int]], rules: Rules) -> Reference | None:
+    """Class shares, places of the common words, and their shares with all other words last; None of too little text."""
+    n = {(kind, at): k for kind, at, k in found}
+    texts, words = n.get((2, 0), 0), n.get((2, 1), 0)
+    if texts < rules.reference_texts or words < rules.reference_words:
+        return None
+    of_class = np.array([n.get((0, i), 0) for i in range(len(CLASSES))], dtype=float)
+    keep = np.array(sorted(at for (kind, at), k in n.items() if kind == 1 and k >= rules.common_share * texts * UNITS), dtype=np.int64)
+    of_word = np.array([n[1, at] for at in keep.tolist()], dtype=float)
+    return of_class, keep, np.append(of_word, max(0.0, texts * UNITS - of_word.sum()))
 
 
 def quality(
@@ -226,29 +254,66 @@ def quality(
     `row`, whole number by which a caller finds its rows again (default: a number of the scan).
 
     Null text has no words and fails the base rules, like any text of fewer than `min_words`. Null language is one language
-    of its own. A word distance needs at least one common word. Repeated rows are judged alike. An empty table gives no row.
+    of its own. Each language has its own references; one with fewer than `reference_texts` texts or `reference_words`
+    words has none, its distances are null and the base rules alone judge. A word distance needs at least one common
+    word. Repeated rows are judged alike. An empty table gives no row.
     """
     language = F.coalesce(col(lang).cast("string"), F.lit("\0null"))
     picked = pick(docs, row=scan_number(row), doc_id=long_id(doc_id), lang=language, text=filled(text))
-    common = candidates(picked, rules)
-    rows = measured(picked, common)
-    reference = references(rows, common, rules)
+    spoken = languages(picked)
+    every = spoken.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # at most 1 / language_share languages are held by every task; rows of the others are joined with what they need
+    big = spoken.where((F.col("rows") > 0) & (F.col("size") >= rules.language_share * every)).collect()
+    named = candidates(picked, spoken, {r["lang"]: r["texts"] / r["rows"] for r in big}, rules)
+    common: dict[str, list[bytes]] = {r["lang"]: [] for r in big}
+    held = F.col("lang").isin(list(common))
+    for r in named.where(held).collect():
+        common[r["lang"]].append(bytes(r["word"]))
+    common = {k: sorted(v) for k, v in common.items()}
+    rare = spoken.count() > len(common)
+    wide = picked.where(held).withColumn("words", F.lit(None).cast("array<binary>"))
+    if rare:
+        own = named.where(~held).groupBy("lang").agg(F.array_sort(F.collect_list("word")).alias("words"))
+        wide = wide.unionByName(picked.where(~held).join(own, "lang", "left"))
+    rows = measured(wide, common)
+    each = sums(rows)
+    known: dict[str, list[tuple]] = {k: [] for k in common}
+    for r in each.where(held).collect():
+        known[r["lang"]].append((r["kind"], r["at"], r["n"]))
+    of_lang = {k: reference(v, rules) for k, v in known.items()}
 
     def judge(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for row, name, group, n, chars, symbols, lines, repeats, classes, commons in rows:
-            of_class, which, of_word = reference[group]
+        last, its = None, None
+        for row, name, group, n, chars, symbols, lines, repeats, classes, commons, own in rows:
+            if group in of_lang:
+                against = of_lang[group]
+            else:
+                if group != last:
+                    last, its = group, reference([(s["kind"], s["at"], s["n"]) for s in own or []], rules)
+                against = its
             far_class = far_word = None
-            if chars >= rules.class_guard:
-                far_class = js_distance(np.array(classes, dtype=float), of_class)
-            if n >= rules.word_guard and len(which):
-                counts = np.array(commons, dtype=float)[which]
-                far_word = js_distance(np.append(counts, n - counts.sum()), of_word)
+            if against and chars >= rules.class_guard:
+                far_class = js_distance(np.array(classes, dtype=float), against[0])
+            if against and n >= rules.word_guard and len(against[1]):
+                keep, of_word = against[1:]
+                places, found = found_of(commons)
+                at = np.minimum(np.searchsorted(keep, places), len(keep) - 1)
+                hit = keep[at] == places
+                counts = np.zeros(len(keep) + 1)
+                counts[at[hit]] = found[hit]
+                counts[-1] = n - counts.sum()
+                far_word = js_distance(counts, of_word)
             failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
             far = (far_class or 0) > rules.class_distance or (far_word or 0) > rules.word_distance
             yield row, name, n, chars, symbols, lines, repeats, failed, not failed and not far, far_class, far_word
 
+    names = [F.col(c) for c in ("row", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "commons")]
+    sides = rows.where(held).select(*names, F.lit(None).cast("array<struct<kind:int,at:bigint,n:bigint>>").alias("own"))
+    if rare:
+        lists = each.where(~held).groupBy("lang").agg(F.collect_list(F.struct("kind", "at", "n")).alias("own"))
+        sides = sides.unionByName(rows.where(~held).join(lists, "lang", "left").select(*names, "own"))
     return stream(
-        rows.where(F.col("row").isNotNull()),
+        sides,
         judge,
         "row long, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, kept boolean, class_distance double, word_distance double",

@@ -66,3 +66,29 @@ def test_hard_rows(hard, none):
 def test_guards(hard):
     found = quality(hard, Rules(class_guard=10**9, word_guard=10**9)).collect()
     assert all(r.class_distance is None and r.word_distance is None and r.kept == (not r.base_failed) for r in found)
+
+
+def rare_languages():
+    """A big language, and two rare ones in other scripts, each with junk of random words."""
+    rng = random.Random(8)
+    big = [(i, prose(i, 4000), "en") for i in range(150)]
+    cyrillic = [(1000 + i, " ".join(rng.choices("и в не на что он как это дом идет школа город".split(), k=110)), "ru") for i in range(30)]
+    latin = [(2000 + i, " ".join(rng.choices("ja on ei se että hän mutta talo koulu menee".split(), k=110)), "fi") for i in range(30)]
+    junk = [(3000 + i, " ".join("".join(rng.choices("abcdefghijklmno", k=6)) for _ in range(150)), "fi") for i in range(3)]
+    few = [(4000, prose(4000, 120), "xx"), (4001, "1 2 3 # " * 8 + " ".join(map(str, range(100))), "xx")]
+    return big, cyrillic, latin, junk, few
+
+
+def test_rare_languages_have_their_own_reference(spark):
+    big, cyrillic, latin, junk, few = rare_languages()
+    given = big + cyrillic + latin + junk + few
+    df = spark.createDataFrame(given, "doc_id bigint, text string, lang string").repartition(4)
+    rules = Rules(language_share=0.05)
+    found = {r.doc_id: r for r in quality(df, rules).collect()}
+    assert [d for d, *_ in cyrillic + latin if not found[d].kept and not found[d].base_failed] == []
+    assert all(not found[d].base_failed and found[d].word_distance > rules.word_distance and not found[d].kept for d, *_ in junk)
+    assert all(found[d].class_distance is None and found[d].kept for d, *_ in few)  # too little text for a reference
+    held = rows(quality(df, Rules(language_share=0.0)).drop("row"))  # the way is not part of the result
+    assert rows(quality(df, rules).drop("row")) == held
+    alone = {r.doc_id: r for r in quality(df.where("lang = 'fi'"), rules).collect()}
+    assert all(alone[d][2:] == found[d][2:] or alone[d].asDict() | {"row": 0} == found[d].asDict() | {"row": 0} for d in alone)
