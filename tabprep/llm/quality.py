@@ -1,8 +1,8 @@
 """Quality rules: word repetition and length, then Jensen-Shannon distance to the document's language.
 
 Two histograms of a document are compared with those of its whole language: code points by character class, and words by
-the language's common words. Both references are the mean share over the language's documents. Texts below the guards are
-judged by the base rules alone, as a short histogram is mostly chance.
+the language's common words. Both references are the mean share over the language's distinct texts, so neither copies nor
+long texts outweigh others. Texts below the guards are judged by the base rules alone, as a short histogram is mostly chance.
 
 Four steps: (1) sizes of the languages, (2) candidates for common words, (3) one scan for measures and histograms,
 (4) exact sums per language and distances over the small rows that (3) wrote.
@@ -118,60 +118,65 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> float:
 
 
 def languages(picked: DataFrame) -> DataFrame:
-    """(lang, rows, texts, size): rows with a word, how many texts are counted, and bytes. Pinned."""
+    """(lang, rows, texts, size): rows with a word, distinct texts among them, and bytes of all rows. Pinned."""
     spoken = F.col("text").rlike(A_WORD)
-    each = picked.select("lang", spoken.cast("long").alias("rows"), F.octet_length("text").cast("long").alias("size"))
-    return pinned(each.groupBy("lang").agg(F.sum("rows").alias("rows"), F.sum("rows").alias("texts"), F.sum("size").alias("size")))
+    each = picked.select("lang", "digest", spoken.cast("long").alias("rows"), F.octet_length("text").cast("long").alias("size"))
+    each = each.groupBy("lang", "digest").agg(F.sum("rows").alias("rows"), F.sum("size").alias("size"))
+    texts = F.count(F.when(F.col("rows") > 0, 1)).alias("texts")
+    return pinned(each.groupBy("lang").agg(F.sum("rows").alias("rows"), texts, F.sum("size").alias("size")))
 
 
 def candidates(picked: DataFrame, spoken: DataFrame, held: dict[str, float], rules: Rules) -> DataFrame:
     """(lang, word): every word that may reach the common share of its language, and few others. Pinned.
 
-    Tasks sum shares chunk by chunk and leave out what is below half the common share, scaled by texts a row. All that is
-    left out of a word is less than half of what a common word needs, so a word is a candidate if its reported sum has
-    the other half. `held` has that scale for the languages every task knows; of the others each word is reported.
+    Tasks sum shares of distinct texts chunk by chunk and leave out what is below half the common share, scaled by texts a
+    row. All that is left out of a word is less than half of what a common word needs, however copies are spread, so a
+    word is a candidate if its reported sum has the other half. `held` has that scale for the languages every task knows; of the others each word is reported.
     """
 
     def found(rows: Iterable[tuple]) -> Iterator[tuple]:
         words: dict[str, dict[bytes, float]] = {}
-        texts: Counter = Counter()
+        seen: dict[str, set[int]] = {}
         n_held = 0
 
         def chunk() -> Iterator[tuple]:
             for lang, sums in words.items():
-                least = rules.common_share / 2 * held.get(lang, 0.0) * texts[lang]
+                least = rules.common_share / 2 * held.get(lang, 0.0) * len(seen[lang])
                 for word, n in sums.items():
                     if n >= least:
                         yield lang, word, int(n * UNITS) + 1
 
-        for lang, text in rows:
+        for lang, digest, text in rows:
+            its = seen.setdefault(lang, set())
+            if digest in its:
+                continue
             counts = Counter(text.split())
             if not counts:
                 continue
-            texts[lang] += 1
+            its.add(digest)
             sums = words.setdefault(lang, {})
             n_held -= len(sums)
             one = 1.0 / counts.total()
             for word, n in counts.items():
                 sums[word] = sums.get(word, 0.0) + n * one
-            n_held += len(sums)
+            n_held += len(sums) + 1
             if n_held > HELD_WORDS:
                 yield from chunk()
                 words.clear()
-                texts.clear()
+                seen.clear()
                 n_held = 0
         yield from chunk()
 
     spark = picked.sparkSession
     path = scratch_path(spark, "words")
-    stream(picked.select("lang", "text"), found, "lang string, word binary, n long", as_bytes=("text",)).write.parquet(path)
+    stream(picked.select("lang", "digest", "text"), found, "lang string, word binary, n long", as_bytes=("text",)).write.parquet(path)
     parts = spark.read.schema("lang string, word binary, n long").parquet(path)
     named = parts.groupBy("lang", "word").agg(F.sum("n").alias("n")).join(spoken, "lang")
     return pinned(named.where(F.col("n") >= 0.49 * rules.common_share * UNITS * F.col("texts")).select("lang", "word"))
 
 
 DOCUMENT = (
-    "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "row long, doc_id long, lang string, digest long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "classes array<long>, commons binary"
 )
 
@@ -183,17 +188,17 @@ def measured(picked: DataFrame, common: dict[str, list[bytes]]) -> DataFrame:
     """
 
     def scan(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for row, name, lang, text, own in rows:
+        for row, name, lang, digest, text, own in rows:
             numbers, kinds, places = measures(text)
             words = common[lang] if lang in common else own or []
             counts = np.bincount(places, minlength=len(kinds) + 1) if len(places) else np.zeros(1, dtype=np.int64)
             of_common = counts[[kinds.get(w, len(kinds)) for w in words]] if words else np.zeros(0, dtype=np.int64)
             at = np.flatnonzero(of_common)
-            yield row, name, lang, *numbers, class_counts(text).tolist(), np.concatenate((at, of_common[at])).astype("<u4").tobytes()
+            yield row, name, lang, digest, *numbers, class_counts(text).tolist(), np.concatenate((at, of_common[at])).astype("<u4").tobytes()
 
     spark = picked.sparkSession
     path = scratch_path(spark, "measures")
-    stream(picked.select("row", "doc_id", "lang", "text", "words"), scan, DOCUMENT, as_bytes=("text",)).write.parquet(path)
+    stream(picked.select("row", "doc_id", "lang", "digest", "text", "words"), scan, DOCUMENT, as_bytes=("text",)).write.parquet(path)
     return spark.read.schema(DOCUMENT).parquet(path)
 
 
@@ -204,7 +209,8 @@ def found_of(commons: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sums(rows: DataFrame) -> DataFrame:
-    """(lang, kind, at, n): summed shares by class (kind 0) and by candidate (1), in whole units; texts and words (2). Pinned."""
+    """(lang, kind, at, n): summed shares of distinct texts by class (kind 0) and by candidate (1), in whole units; texts and
+    words (2). Pinned."""
 
     def add(rows: Iterable[tuple]) -> Iterator[tuple]:
         held: Counter = Counter()
@@ -222,7 +228,7 @@ def sums(rows: DataFrame) -> DataFrame:
                 held.clear()
         yield from ((*key, n) for key, n in held.items())
 
-    counted = rows.where(F.col("n_words") > 0)
+    counted = rows.where(F.col("n_words") > 0).dropDuplicates(["lang", "digest"])
     parts = stream(counted.select("lang", "n_words", "classes", "commons"), add, "lang string, kind int, at long, n long")
     return pinned(parts.groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")))
 
@@ -259,7 +265,7 @@ def quality(
     word. Repeated rows are judged alike. An empty table gives no row.
     """
     language = F.coalesce(col(lang).cast("string"), F.lit("\0null"))
-    picked = pick(docs, row=scan_number(row), doc_id=long_id(doc_id), lang=language, text=filled(text))
+    picked = pick(docs, row=scan_number(row), doc_id=long_id(doc_id), lang=language, text=filled(text), digest=F.xxhash64(filled(text)))
     spoken = languages(picked)
     every = spoken.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     # at most 1 / language_share languages are held by every task; rows of the others are joined with what they need

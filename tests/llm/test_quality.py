@@ -92,3 +92,18 @@ def test_rare_languages_have_their_own_reference(spark):
     assert rows(quality(df, rules).drop("row")) == held
     alone = {r.doc_id: r for r in quality(df.where("lang = 'fi'"), rules).collect()}
     assert all(alone[d][2:] == found[d][2:] or alone[d].asDict() | {"row": 0} == found[d].asDict() | {"row": 0} for d in alone)
+
+
+def test_copies_and_long_texts_do_not_become_the_reference(spark):
+    clean = [(i, prose(i, 150), "en") for i in range(200)]
+    rng = random.Random(9)
+    page = " ".join(f"{rng.randrange(10**6)} # $ |" for _ in range(100))
+    copies = [(1000 + i, page, "en") for i in range(100)]  # a third of all rows
+    own = " ".join(rng.choices("alpha beta gamma delta omega sigma kappa".split(), k=150))
+    own = [(2000 + i, own, "de") for i in range(100)]
+    german = [(3000 + i, " ".join(rng.choices("der die und nicht schule haus geht mit ich auf".split(), k=150)), "de") for i in range(200)]
+    long = [(4000, " ".join(f"{rng.randrange(10**6)} # $ |" for _ in range(20_000)), "de")]
+    given = clean + copies + own + german + long
+    found = {r.doc_id: r for r in quality(spark.createDataFrame(given, "doc_id bigint, text string, lang string").repartition(4)).collect()}
+    assert [d for d, *_ in clean + german if not found[d].kept and not found[d].base_failed] == []
+    assert [d for d, *_ in copies + own + long if found[d].kept] == []
