@@ -19,7 +19,7 @@ from tabprep.llm.minhash import near_duplicates
 from tabprep.llm.mixing import WORD, mixed
 from tabprep.llm.packing import packed
 from tabprep.llm.quality import quality
-from tabprep.llm.secrets import secrets
+from tabprep.llm.secrets import EXAMPLE, secrets
 from tabprep.session import scratch_path
 
 ROW, ID = "__pipeline_row", "__pipeline_id"
@@ -70,10 +70,10 @@ def _redact(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking credentials are taken out of the texts; copied examples stay. n_chars follows."""
+    """Credentials are taken out of the texts; only those that are clearly copied examples stay. n_chars follows."""
     row = content_row("text", "source")
     live = F.filter("spans", lambda s: s["live"])
-    found = secrets(docs, row=row).where(F.col("n_live") > 0)
+    found = secrets(docs, row=row, **EXAMPLE).where(F.col("n_live") > 0)
     marks = _verdicts(found, F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__spans"))
     joined = _numbered(docs, row).join(marks.hint("merge"), [ROW, ID], "left")
     touched = F.col("__spans").isNotNull()

@@ -1,8 +1,8 @@
 """Secret scan: patterns over whole texts, then corpus-wide ownership of every candidate.
 
-A credential that many owners carry is a copied example; one found with a single owner looks live. Candidates are
-compared by hash across the corpus: distinct (value, repository, owner) first, which leaves at most one row per value and
-owner, then distinct counts per value.
+A credential that many owners and repositories carry in different texts is a copied example; any other looks live, also
+one whose page is mirrored. Candidates are compared by hash across the corpus: distinct (value, repository, owner, text)
+first, then distinct counts of each per value.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 SHORTEST = {"assign": 6, "access": 20, "hex": 24}
 HINTS = ("password", "passwd", "secret", "token", "api")
-# Further public formats of keys, reported only where they look live.
+# Further public formats of keys.
 MORE = {
     "forge": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
     "chat": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -37,11 +37,12 @@ MORE = {
 MORE_HINTS = {"forge": "gh", "chat": "xox", "payment": "k_live_", "signed": "eyJ", "pem": "-----BEGIN "}
 ORDER = (*KINDS, *MORE)
 MAX_OWNERS = 1
+EXAMPLE = {"max_owners": 9, "max_documents": 1}  # for the queries: beyond both a value is clearly a copied example
 
 _HEX_ONLY = bytes(b"h"[0] if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _HEX_RUN = b"h" * SHORTEST["hex"]
 SPAN = "struct<kind:string,start:int,end:int,hash:bigint>"
-FOUND = "nr long, row long, doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, " + f"found array<{SPAN}>"
+FOUND = "nr long, row long, doc_id long, owner string, repository string, document long, n_assign long, n_access long, n_hex long, base_sha256 string, " + f"found array<{SPAN}>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -81,9 +82,9 @@ def written(spans: Iterable[tuple]) -> str:
 
 
 def scanned(docs: DataFrame, doc_id: str, text: str, owner: str, repository: str, row: Column | None) -> DataFrame:
-    """One row per document, pinned: row, doc_id, owner, repository, the counts, base_sha256, found. No text is kept."""
+    """One row per document, pinned: row, doc_id, owner, repository, document (hash of the text), the counts, base_sha256, found. No text is kept."""
     owners = {"owner": col(owner).cast("string"), "repository": col(repository).cast("string")}
-    keys = pick(docs, nr=F.monotonically_increasing_id(), row=scan_number(row), doc_id=long_id(doc_id), **owners, words=filled(text))
+    keys = pick(docs, nr=F.monotonically_increasing_id(), row=scan_number(row), doc_id=long_id(doc_id), **owners, document=F.xxhash64(filled(text)), words=filled(text))
 
     def scan(rows: Iterable[tuple]) -> Iterator[tuple]:
         for *names, words in rows:
@@ -98,14 +99,16 @@ def scanned(docs: DataFrame, doc_id: str, text: str, owner: str, repository: str
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repositories) over the corpus. Null owners count as one owner."""
+    """(hash, n_owners, n_repositories, n_documents) over the corpus. Null owners count as one owner, equal texts as one
+    document."""
     marks = [F.coalesce(F.col(c), F.lit("\0")).alias(c) for c in ("owner", "repository")]
-    each = found.select(F.explode("found.hash").alias("hash"), *marks).distinct()
-    owners = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    repositories = each.groupBy("hash", "repository").agg(F.count(F.lit(1)).alias("n"))
-    a = owners.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"))
-    b = repositories.groupBy("hash").agg(F.count(F.lit(1)).alias("n_repositories"))
-    return a.join(b, "hash")
+    each = found.select(F.explode("found.hash").alias("hash"), *marks, "document").distinct()
+
+    def distinct(column: str, name: str) -> DataFrame:
+        return each.select("hash", column).distinct().groupBy("hash").agg(F.count(F.lit(1)).alias(name))
+
+    counts = distinct("owner", "n_owners").join(distinct("repository", "n_repositories"), "hash")
+    return counts.join(distinct("document", "n_documents"), "hash")
 
 
 def secrets(
@@ -116,28 +119,37 @@ def secrets(
     owner: str = "source",
     repository: str = "source",
     row: Column | None = None,
+    max_documents: int = 0,
+    copied: bool = False,
 ) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (array), n_live, n_copied, and `row`, a whole
     number by which a caller finds its rows again, by default a number of the scan.
 
-    A span is (kind, start, end, live, n_owners), in code points, end exclusive, ordered by start and kind. It is live if at
-    most `max_owners` owners carry its value. Base spans all stay; spans of the further kinds only where live. Empty and
-    null texts have no span; repeated rows are separate rows of the same owner. An empty table gives no row.
+    A span is (kind, start, end, live, n_owners, n_repositories, n_documents), in code points, end exclusive, ordered by
+    start and kind. It is live if at most `max_owners` owners or as many repositories carry its value, or if it stands in
+    at most `max_documents` different texts. Base spans all stay; spans of the further kinds that are not live only
+    with `copied`. Empty and null texts have no span; repeated rows are separate rows of the same owner. An empty table
+    gives no row.
     """
     found = scanned(docs, doc_id, text, owner, repository, row)
     spans = found.select("nr", F.explode("found").alias("s")).select("nr", "s.*")
-    judged = spans.join(ownership(found), "hash").withColumn("live", F.col("n_owners") <= max_owners)
+    few = (F.col("n_owners") <= max_owners) | (F.col("n_repositories") <= max_owners) | (F.col("n_documents") <= max_documents)
+    judged = spans.join(ownership(found), "hash").withColumn("live", few)
     rank = F.array_position(F.array(*[F.lit(k) for k in ORDER]), F.col("kind"))
-    judged = judged.where(F.col("kind").isin(*KINDS) | F.col("live"))
+    if not copied:
+        judged = judged.where(F.col("kind").isin(*KINDS) | F.col("live"))
+    counts = ("n_owners", "n_repositories", "n_documents")
     of_row = judged.groupBy("nr").agg(
-        F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "live", "n_owners"))).alias("spans")
+        F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "live", *counts))).alias("spans")
     )
     spans_col = F.coalesce(
-        F.transform("spans", lambda s: F.struct(s["kind"], s["start"], s["end"], s["live"], s["n_owners"])),
-        F.array().cast("array<struct<kind:string,start:int,end:int,live:boolean,n_owners:bigint>>"),
+        F.transform("spans", lambda s: F.struct(*[s[c] for c in ("kind", "start", "end", "live", *counts)])),
+        F.array().cast(
+            "array<struct<kind:string,start:int,end:int,live:boolean,n_owners:bigint,n_repositories:bigint,n_documents:bigint>>"
+        ),
     )
     return (
-        found.drop("found", "owner", "repository")
+        found.drop("found", "owner", "repository", "document")
         .join(of_row, "nr", "left")
         .drop("nr")
         .withColumn("spans", spans_col)
@@ -154,7 +166,9 @@ def span_text(spans: str) -> Column:
 
 
 def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    found = secrets(table(spark, folder, "documents"))
-    return found.withColumn("spans", span_text("spans")).select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", F.col("n_copied").cast("bigint")
+    """Every span of every kind, and which of them are live."""
+    found = secrets(table(spark, folder, "documents"), copied=True, **EXAMPLE)
+    found = found.withColumn("live", F.filter("spans", lambda s: s["live"]))
+    return found.withColumns({"spans": span_text("spans"), "live_spans": span_text("live")}).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", F.col("n_copied").cast("bigint"), "live_spans"
     )

@@ -73,3 +73,20 @@ def test_hard_rows(hard, none):
     found = secrets(clashing(hard))
     assert rows(found, "doc_id", "n_hex") == sorted(((r[0], 0) for r in hard_rows()), key=lambda r: tuple((v is None, str(v)) for v in r))
     assert rows(secrets(none).select("doc_id", span_text("spans"))) == []
+
+
+def test_mirrored_and_shared_secrets_are_not_examples(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    forge, mirrored, example = "ghp_" + "d4E5" * 10, "m3" * 9, "ghs_" + "f6G7" * 10
+    given = [(i, f"note {i} {forge} password: {'q8' * 9}", "en", f"o{i}", 1) for i in range(2)]  # shared by two
+    given += [(10 + i, f"page password: {mirrored}", "en", f"o{i}", 1) for i in range(15)]  # one page, mirrored
+    given += [(40 + i, f"manual {i} {example} password: {'x9' * 9}", "en", f"o{i}", 1) for i in range(15)]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in op9_secret_scan(spark, str(tmp_path)).collect()}
+    assert all(r.spans.split(",")[0].startswith("forge:") for d, r in found.items() if d < 10 or d >= 40)  # no span is lost
+    assert all((r.n_live, r.n_copied, r.live_spans) == ((2, 0, r.spans) if d < 10 else (1, 0, r.spans) if d < 40 else (0, 2, "")) for d, r in found.items())
+    after = {r.doc_id: r.text for r in pipeline.secret_scan(spark, docs, "").collect()}
+    assert all(after[i] == f"note {i} [SECRET] [SECRET]" for i in range(2)) and all(after[10 + i] == "page [SECRET]" for i in range(15))
+    assert all(after[d] == t for d, t, *_ in given if d >= 40)
