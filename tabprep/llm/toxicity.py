@@ -5,9 +5,9 @@ small transducers, one after the other: negation right before a hostile word wea
 clause weakens all that follows, a target anywhere in the clause strengthens it, and a threat counts only with a target
 after it. A text's score is the logistic of the prior and its clauses' weights, so single words without weight add nothing.
 
-Insults are learnt: whole words and word beginnings that toxic texts have far more often than others, counted over one text
-of each family of copies, or a single copied text would lend its weight to all its words. A beginning must earn its place
-without the texts that a longer entry already explains.
+Insults are learnt: whole words and word beginnings that toxic texts have far more often than others, and not by chance,
+counted over one text of each family of copies, or a single copied text would lend its weight to all its words. A beginning
+must earn its place without the texts that a longer entry already explains.
 """
 
 from __future__ import annotations
@@ -39,9 +39,9 @@ HELD = 300_000
 @dataclass(frozen=True)
 class Grammar:
     min_ratio: float = 8.0  # document share among toxic texts over that among others
-    min_share: float = 0.01  # of toxic texts
     min_texts: int = 8
-    max_entries: int = 20_000  # of the lexicon, the most frequent first
+    min_surprise: float = 24.0  # log-likelihood ratio of the counts against one common share; one in a million by chance
+    max_entries: int = 20_000  # of the lexicon, those that explain most first
     max_weight: float = 4.0
     threat: float = 2.0
     negated: float = 0.5
@@ -144,21 +144,42 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.sparkSession.read.schema("toxic int, text string").parquet(path)
 
 
-def feature_counts(texts: DataFrame, wanted: frozenset[bytes] | None) -> DataFrame:
-    """(feature, toxic, n): texts that have the feature; each task sums up before the shuffle."""
+def feature_counts(texts: DataFrame) -> DataFrame:
+    """(feature, n, clean): toxic and other texts that have the feature; each task sums up before the shuffle."""
 
     def count(rows: Iterable[tuple]) -> Iterator[tuple]:
-        sums: Counter = Counter()
+        sums: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def held() -> Iterator[tuple]:
+            for feature in sums[0].keys() | sums[1].keys():
+                yield feature, sums[1][feature], sums[0][feature]
+
         for toxic, text in rows:
-            found = features(text)
-            sums.update((f, toxic) for f in (found if wanted is None else found & wanted))
-            if len(sums) > HELD:
-                yield from ((f, t, n) for (f, t), n in sums.items())
-                sums.clear()
-        yield from ((f, t, n) for (f, t), n in sums.items())
+            sums[toxic].update(features(text))
+            if len(sums[0]) + len(sums[1]) > HELD:
+                yield from held()
+                sums[0].clear()
+                sums[1].clear()
+        yield from held()
+
+    parts = stream(texts, count, "feature binary, n long, clean long", as_bytes=("text",))
+    return parts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
+
+
+def surprise(n: Column, clean: Column, toxic: int, other: int) -> Column:
+    """Log-likelihood ratio of a feature's counts against the same share among toxic texts and others."""
+    every = float(toxic + other)
+
+    def part(found: Column, expected: Column) -> Column:
+        return F.when(found > 0, found * F.log(found / expected)).otherwise(0.0)
 
-    parts = stream(texts, count, "feature binary, toxic int, n long", as_bytes=("text",))
-    return parts.groupBy("feature", "toxic").agg(F.sum("n").alias("n"))
+    with_it, without = n + clean, F.lit(every) - n - clean
+    return 2.0 * (
+        part(n, with_it * (toxic / every))
+        + part(clean, with_it * (other / every))
+        + part(toxic - n, without * (toxic / every))
+        + part(other - clean, without * (other / every))
+    )
 
 
 def learn(docs: DataFrame, labels: DataFrame, grammar: Grammar) -> tuple[dict[bytes, float], float]:
@@ -167,18 +188,28 @@ def learn(docs: DataFrame, labels: DataFrame, grammar: Grammar) -> tuple[dict[by
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     prior = math.log((toxic + 0.5) / (other + 0.5)) if toxic or other else 0.0
-    least = max(grammar.min_texts, grammar.min_share * toxic)
-    frequent = feature_counts(texts.where(F.col("toxic") == 1), None).where(F.col("n") >= least)
-    top = frequent.orderBy(F.desc("n"), "feature").limit(grammar.max_entries).collect()
+    if not toxic:
+        return {}, prior
+
+    def ratio_of(n, clean):  # of numbers or columns
+        return ((n + 0.5) / (toxic + 1)) / ((clean + 1.0) / (other + 2))
+
+    ratio = ratio_of(F.col("n"), F.col("clean"))
+    beyond = surprise(F.col("n"), F.col("clean"), toxic, other)
+    telling = feature_counts(texts).where((F.col("n") >= grammar.min_texts) & (ratio >= grammar.min_ratio))
+    if other:  # else nothing to compare with
+        telling = telling.where(beyond >= grammar.min_surprise)
+    # weight times the texts it is found in: what the entry adds to the scores of toxic texts
+    worth = F.least(F.lit(grammar.max_weight), F.log(ratio)) * F.col("n")
+    top = telling.orderBy(F.desc(worth), "feature").limit(grammar.max_entries).collect()
     counts = {bytes(r["feature"]): r["n"] for r in top}
-    against = feature_counts(texts.where(F.col("toxic") == 0), frozenset(counts)).collect()
-    clean = {bytes(r["feature"]): r["n"] for r in against}
+    clean = {bytes(r["feature"]): r["clean"] for r in top}
     lexicon: dict[bytes, float] = {}
     explained: dict[bytes, int] = {}  # of a beginning: toxic texts of the commonest longer entry that it begins
     for feature in sorted(counts, key=lambda f: (f.endswith(b"*"), -len(f), f)):
         n = counts[feature] - explained.get(feature, 0)
-        ratio = ((n + 0.5) / (toxic + 1)) / ((clean.get(feature, 0) + 1.0) / (other + 2))
-        if n >= least and ratio >= grammar.min_ratio:
+        ratio = ratio_of(n, clean[feature])
+        if n >= grammar.min_texts and ratio >= grammar.min_ratio:
             lexicon[feature] = min(grammar.max_weight, math.log(ratio))
             for length in BEGINNINGS:
                 if len(feature.removesuffix(b"*")) > length:

@@ -84,3 +84,20 @@ def test_query(spark, folder):
     if "sf0.001" not in folder:
         pytest.skip("small tables only")
     assert op5_toxicity(spark, folder).count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+def test_insults_of_a_small_language_are_learnt(spark):
+    rng = random.Random(12)
+    rare = ["".join(rng.choices("bdgklmnprstvz", k=8)) for _ in range(12)]
+    given, labels = [], []
+    for i in range(9200):
+        words = prose(i, 30).split()
+        toxic = int(i % 2 == 0)
+        small = i >= 9000
+        if toxic:
+            words += rng.sample(rare, 3) if small else ["moron", "scum"]
+        given.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(given, "doc_id bigint, text string").repartition(4)
+    found = toxicity(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")).where("held_out and doc_id >= 9000").collect()
+    assert len(found) > 40 and all(r.predicted == (r.doc_id % 2 == 0) for r in found)
