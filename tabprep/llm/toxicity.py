@@ -20,9 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import col
-from ..session import scratch_path
+from ..session import pinned, scratch_path
 from .base import ascii_lower, filled, long_id, pick, stream, table
-from .shingles import shingle_set
+from .minhash import near_duplicates
 
 # Closed word classes of the grammar, in English, French, German and Spanish.
 TARGETS = frozenset("you your yours yourself he she they them him her us tu toi vous te du dich dir euch ihr sie tú usted ustedes vosotros él ella".encode().split())
@@ -121,27 +121,25 @@ def held_out(doc_id: str) -> Column:
     return F.crc32(text.cast("binary")) % 3 == 1
 
 
-def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, text): labelled texts outside the held-out fold, one of each family, written and read back.
+def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """((toxic, text), rows by label): labelled texts with a word outside the held-out fold, one of each family and label.
 
-    A family is the texts with the same least hash of their five-word shingles, which a copy of similarity s shares with
-    probability s; of a family the smallest id speaks.
+    A family is what near_duplicates links: texts whose five-word shingles are verified to be alike by 80 %, and all they
+    are linked with. Of a family the smallest id with a label speaks for that label.
     """
+    spark = docs.sparkSession
     known = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     joined = docs.where(~held_out("doc_id")).join(known.hint("merge"), "doc_id")
-    joined = joined.select("doc_id", "toxic", "text")
-
-    def with_family(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for name, toxic, text in rows:
-            elements = shingle_set(text, 5)
-            if len(elements):
-                yield int(elements[0].astype("int64")), name, toxic, text.decode()
-
-    marked = stream(joined, with_family, "family long, doc_id long, toxic int, text string", as_bytes=("text",))
-    one = marked.groupBy("family").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("t"))
-    path = scratch_path(docs.sparkSession, "texts")
-    one.select("t.toxic", "t.text").write.parquet(path)
-    return docs.sparkSession.read.schema("toxic int, text string").parquet(path)
+    path = scratch_path(spark, "texts")
+    joined.select("doc_id", "toxic", F.xxhash64("text").alias("row"), "text").write.parquet(path)
+    texts = spark.read.schema("doc_id long, toxic int, row long, text string").parquet(path)
+    found = near_duplicates(texts, row=F.col("row")).where(F.col("n_shingles") > 0).select("doc_id", "row", "component_id").distinct()
+    marks = texts.select("doc_id", "toxic").distinct()
+    speaks = found.join(marks, "doc_id").groupBy("component_id", "toxic").agg(F.min(F.struct("doc_id", "row")).alias("t"))
+    speaks = pinned(speaks.select("t.doc_id", "t.row", "toxic"))
+    sizes = {r["toxic"]: r["count"] for r in speaks.groupBy("toxic").count().collect()}
+    one = texts.join(speaks.drop("toxic").hint("merge"), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    return one.select("toxic", "text"), sizes
 
 
 def feature_counts(texts: DataFrame) -> DataFrame:
@@ -184,8 +182,7 @@ def surprise(n: Column, clean: Column, toxic: int, other: int) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, grammar: Grammar) -> tuple[dict[bytes, float], float]:
     """(weight of each word or beginning, prior): counted over all labelled texts; the lexicon is the model and bounded."""
-    texts = training_texts(docs, labels)
-    sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts, sizes = training_texts(docs, labels)
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     prior = math.log((toxic + 0.5) / (other + 0.5)) if toxic or other else 0.0
     if not toxic:

@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from tabprep.llm.toxicity import Grammar, _Weights, clause_weight, features, op5_toxicity, text_score, toxicity
+from tabprep.llm.toxicity import Grammar, _Weights, clause_weight, features, op5_toxicity, text_score, toxicity, training_texts
 
 from .conftest import clashing, hard_rows, prose, rows
 
@@ -101,3 +101,18 @@ def test_insults_of_a_small_language_are_learnt(spark):
     docs = spark.createDataFrame(given, "doc_id bigint, text string").repartition(4)
     found = toxicity(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")).where("held_out and doc_id >= 9000").collect()
     assert len(found) > 40 and all(r.predicted == (r.doc_id % 2 == 0) for r in found)
+
+
+def test_families_are_verified_copies(spark):
+    passage = prose(77, 50)
+    shared = [(i, f"{prose(100 + i, 50)} {passage}") for i in range(60)]  # one passage does not make a family
+    copy = prose(78, 200)
+    near = [(1000 + i, f"{copy} tail{i}") for i in range(20)]  # near copies of either label
+    given = shared + near + [(1000, f"{copy} tail0")]
+    labels = [(d, int(d >= 1010)) for d, _ in shared + near]
+    out = {d for d, _ in shared + near if zlib.crc32(str(d).encode()) % 3 == 1}
+    docs = spark.createDataFrame(given, "doc_id bigint, text string").repartition(4)
+    texts, sizes = training_texts(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    found = texts.collect()
+    expected = sorted([(0, t) for d, t in shared if d not in out] + [(k, min((d, t) for d, t in near if d not in out and (d >= 1010) == k)[1]) for k in (0, 1)])
+    assert sorted((r.toxic, r.text) for r in found) == expected and sizes == {0: len(expected) - 1, 1: 1}
