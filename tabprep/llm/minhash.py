@@ -28,9 +28,10 @@ from .shingles import band_keys, set_digest, shingle_set, similar, super_minhash
 BANDS, ROWS = 32, 4
 BLOCK = 512  # weight of a block: one per class and 1,000 shingles
 HEAVY = 1000
+PASSED = 100_000  # classes a task remembers to have passed on
 
 SIGNED = "row long, doc_id long, n_shingles long, class binary, bands array<long>"
-MEMBER = "rep long, n long, bands binary, elements binary"
+MEMBER = "rep long, n long, class binary, bands binary, elements binary"
 
 
 def signed(picked: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
@@ -127,16 +128,30 @@ def forest(left: pa.Table, right: pa.Table | None, n_bands: int, percent: int) -
     return out
 
 
+def one_each(rows: pa.Table) -> pa.Table:
+    """One row of each class; rows repeated as a whole bring theirs once a task."""
+    first: dict[tuple, int] = {}
+    for at, key in enumerate(zip(rows.column("rep").to_pylist(), rows.column("class").to_pylist())):
+        first.setdefault(key, at)
+    return rows if len(first) == len(rows) else rows.take(pa.array(list(first.values()), pa.int64()))
+
+
 def links(picked: DataFrame, reps: DataFrame, members: DataFrame, size: int, bands: int, percent: int) -> DataFrame:
     """(u, v) between classes, verified on full sets rebuilt from the texts of the candidates alone."""
     dealt, meetings = blocks(members)
     wanted = reps.join(dealt, "rep").select("rep", "n", "class", "bands", "block")
 
     def rebuild(rows: Iterable[tuple]) -> Iterator[tuple]:
+        passed: set[tuple] = set()
         for rep, n, digest, keys, block, text in rows:
+            if (rep, digest) in passed:  # the row is repeated
+                continue
             elements = shingle_set(text, size)
             if set_digest(elements) == digest:  # an id may come with other texts too
-                yield rep, n, np.array(keys, dtype="<i8").tobytes(), elements.astype("<u8").tobytes(), block
+                if len(passed) >= PASSED:
+                    passed.clear()
+                passed.add((rep, digest))
+                yield rep, n, digest, np.array(keys, dtype="<i8").tobytes(), elements.astype("<u8").tobytes(), block
 
     texts = picked.select(F.col("doc_id").alias("rep"), "text")
     full = stream(wanted.hint("merge").join(texts, "rep"), rebuild, MEMBER + ", block long", as_bytes=("text",))
@@ -147,8 +162,8 @@ def links(picked: DataFrame, reps: DataFrame, members: DataFrame, size: int, ban
 
     def meet(rows: pa.Table) -> pa.Table:
         side = rows.column("side").to_numpy()
-        left = rows.filter(pa.array(side == 0))
-        right = rows.filter(pa.array(side == 1)) if (side == 1).any() else None
+        left = one_each(rows.filter(pa.array(side == 0)))
+        right = one_each(rows.filter(pa.array(side == 1))) if (side == 1).any() else None
         found = forest(left, right, bands, percent) if len(left) else []
         return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
 

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -175,3 +176,19 @@ def test_no_pair_lists(spark):
     finally:
         minhash.components = original
     assert seen["most"] < 32 * 200
+
+
+def test_repeated_rows_meet_once(spark):
+    """Rows that repeat id and text bring one set; an id with two texts brings both."""
+    one, two = prose(5, 150), prose(6, 150)
+    given = [(7, one)] * 15_000 + [(8, one + " more"), (7, two), (9, two + " more"), (10, prose(11, 150))]
+    found = near_duplicates(spark.createDataFrame(given, "doc_id bigint, text string").repartition(4))
+    assert {tuple(r) for r in found.select("doc_id", "component_id", "kept").distinct().collect()} == {
+        (7, 7, True), (8, 7, False), (9, 7, False), (10, 10, True)
+    }
+    assert found.count() == len(given)
+
+
+def test_one_each():
+    sets = pa.table({"rep": [1, 1, 1, 2, 1], "class": [b"a", b"a", b"b", b"a", b"a"], "n": [3, 3, 4, 3, 3]})
+    assert minhash.one_each(sets).to_pylist() == [sets.to_pylist()[i] for i in (0, 2, 3)]
