@@ -120,6 +120,25 @@ BOOK.add(
        on b.p_partkey = a.p_partkey - a.p_partkey % 10 where a.p_partkey % 10 between 1 and 4""",
 )
 
+
+def _knn_whole(spark, folder):
+    """Every part takes the mean price of its three nearest among all parts: itself and its neighbours by key."""
+    parts = table(spark, folder, "part").select("p_partkey", "p_retailprice")
+    task = make_task(parts, "p_retailprice", ["p_partkey"], False)
+    model = regress_candidates()["knn"].fit(task, {"n_neighbors": 3, "weights": "uniform"})
+    return rounded(model.transform(parts).select("p_partkey", "prediction"), 4)
+
+
+# keys have no gaps, so the third nearest is tied with none
+BOOK.add(
+    "family_knn_whole",
+    _knn_whole,
+    """select p_partkey, round(case when lag(p_partkey) over k is null then avg(p_retailprice) over (order by p_partkey rows between current row and 2 following)
+        when lead(p_partkey) over k is null then avg(p_retailprice) over (order by p_partkey rows between 2 preceding and current row)
+        else avg(p_retailprice) over (order by p_partkey rows between 1 preceding and 1 following) end, 4) as prediction
+       from part window k as (order by p_partkey)""",
+)
+
 LINE = ["l_orderkey", "l_linenumber", "l_suppkey"]
 
 

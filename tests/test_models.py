@@ -251,3 +251,14 @@ def test_ransac_ignores_outliers(spark):
     task = make_task(spark.createDataFrame(rows, "id int, a double, y double"), "y", ["a"], False)
     model = regress_candidates()["ransac"].fit(task, {"max_trials": 20})
     assert model.coefficients[0] == pytest.approx(3, abs=1e-6) and model.intercept == pytest.approx(1, abs=1e-6)
+
+
+def test_knn_query_takes_the_whole_table(spark, folder):
+    from tabprep.registry import queries
+
+    parts = {r.p_partkey: float(r.p_retailprice) for r in spark.read.parquet(f"{folder}/part.parquet").collect()}
+    found = {r.p_partkey: r.prediction for r in queries()["family_knn_whole"](spark, folder).collect()}
+    assert found.keys() == parts.keys()
+    for key, value in found.items():
+        near = sorted(parts, key=lambda k: (abs(k - key), k))[:3]
+        assert abs(float(value) - sum(parts[k] for k in near) / 3) < 1e-3
