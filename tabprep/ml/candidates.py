@@ -21,6 +21,7 @@ from ..operators.synth import _group_moments
 from ..plans.pipeline import run_aggregates
 from ..session import pinned
 from .models import BoostedModel, LinearModel, MlModel, NeighbourModel, ScoreModel, bayesian_ridge, index_of, least_angle, relevance
+from .trees import ExtraTrees, TreeModel
 
 
 @dataclass(frozen=True)
@@ -88,6 +89,16 @@ CLASSIFICATION_SPACES: dict[str, dict[str, Any]] = {
     },
     "knn": {"n_neighbors": Whole(1, 51), "weights": Choice(("uniform", "distance"))},
     "ada": {"n_estimators": Whole(50, 250, 50), "learning_rate": Real(0.05, 2)},
+    "extra_trees": {
+        "n_estimators": Whole(10, 300, 10),
+        "criterion": Choice(("gini", "entropy")),
+        "max_depth": Whole(1, 11),
+        "min_impurity_decrease": Real(0, 0.5),
+        "max_features": Choice(("sqrt", "log2")),
+        "bootstrap": YES_NO,
+        "min_samples_split": Choice((2, 5, 7, 9, 10)),
+        "min_samples_leaf": Whole(2, 6),
+    },
 }
 REGRESSION_SPACES: dict[str, dict[str, Any]] = {
     "linreg": {"fit_intercept": YES_NO, "normalize": YES_NO},
@@ -140,6 +151,15 @@ REGRESSION_SPACES: dict[str, dict[str, Any]] = {
         "loss": Choice(("linear", "square", "exponential")),
     },
     "ransac": {"min_samples": Real(0, 1), "max_trials": Whole(1, 20)},
+    "extraTrees": {
+        "n_estimators": Whole(10, 300, 10),
+        "max_depth": Whole(1, 11),
+        "min_impurity_decrease": Real(0.0001, 0.5),
+        "max_features": Choice(("sqrt", "log2")),
+        "bootstrap": YES_NO,
+        "min_samples_split": Choice((2, 5, 7, 9, 10)),
+        "min_samples_leaf": Whole(2, 6),
+    },
 }
 
 
@@ -456,6 +476,23 @@ def _adaboost(task: Task, p: dict[str, Any]) -> BoostedModel:
     return BoostedModel(task.features, trees, weights, task.labels)
 
 
+def _extra_trees(task: Task, p: dict[str, Any]) -> TreeModel:
+    classes = None if task.labels is None else len(task.labels)
+    makers = ExtraTrees(
+        n_trees=int(p.get("n_estimators", 100)),
+        max_depth=_depth(p, 11),
+        min_leaf=int(p.get("min_samples_leaf", 1)),
+        min_split=int(p.get("min_samples_split", 2)),
+        min_decrease=float(p.get("min_impurity_decrease", 0.0)),
+        max_features=p.get("max_features", "sqrt" if classes else "all"),
+        criterion=p.get("criterion", "gini") if classes else "variance",
+        bootstrap=bool(p.get("bootstrap", False)),
+        seed=task.seed,
+    )
+    trees = makers.grow(task.vectors(), task.features, "__label", classes)
+    return TreeModel(task.features, trees, [1.0 / len(trees)] * len(trees), task.labels)
+
+
 Fitter = Callable[[Task, dict[str, Any]], Any]
 CLASSIFIERS: dict[str, Fitter] = {
     "DTC": _tree,
@@ -471,6 +508,7 @@ CLASSIFIERS: dict[str, Fitter] = {
     "linear_discriminant": _linear_discriminant,
     "knn": _neighbours,
     "ada": _adaboost,
+    "extra_trees": _extra_trees,
 }
 REGRESSORS: dict[str, Fitter] = {
     "linreg": _ordinary,
@@ -488,6 +526,7 @@ REGRESSORS: dict[str, Fitter] = {
     "lassolars": _lasso_lars,
     "adaBoost": _adaboost,
     "ransac": _ransac,
+    "extraTrees": _extra_trees,
 }
 
 

@@ -271,7 +271,7 @@ def save_model(spark: SparkSession, model: Any, path: str) -> None:
     """Write any fitted model under a path of the shared store; `load_model` gives it back in any session."""
     values = {f.name: getattr(model, f.name) for f in fields(model) if f.name not in ("model", "trees", "train")}
     saved: dict[str, Any] = {"kind": type(model).__name__, "values": values}
-    parts = [model.model] if isinstance(model, MlModel) else getattr(model, "trees", [])
+    parts = [model.model] if isinstance(model, MlModel) else model.trees if isinstance(model, BoostedModel) else []
     for i, part in enumerate(parts):
         part.write().overwrite().save(f"{path}/part{i}")
     saved["parts"] = [[type(part).__module__, type(part).__name__] for part in parts]
@@ -281,8 +281,10 @@ def save_model(spark: SparkSession, model: Any, path: str) -> None:
 
 
 def load_model(spark: SparkSession, path: str) -> Any:
+    from .trees import TreeModel
+
     saved = json.loads(spark.read.text(f"{path}/model").first()[0])
-    kind = {c.__name__: c for c in (LinearModel, ScoreModel, MlModel, NeighbourModel, BoostedModel)}[saved["kind"]]
+    kind = {c.__name__: c for c in (LinearModel, ScoreModel, MlModel, NeighbourModel, BoostedModel, TreeModel)}[saved["kind"]]
     parts = [getattr(import_module(m), n).load(f"{path}/part{i}") for i, (m, n) in enumerate(saved["parts"])]
     more: dict[str, Any] = {}
     if kind is MlModel:

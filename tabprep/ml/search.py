@@ -28,6 +28,7 @@ from . import metrics as mt
 from .candidates import Family, classify_candidates, make_task, regress_candidates
 from .models import PREDICTION, LinearModel, load_model, save_model
 from .split import SEED, train_test_split
+from .trees import shapley
 
 # what a fit or a score may raise for its parameters or data; anything else is a fault of the program
 FIT_ERRORS = (PySparkException, Py4JError, ValueError, ArithmeticError, np.linalg.LinAlgError)
@@ -209,15 +210,21 @@ def global_importance(
     key: Sequence[str] = (),
     classify: bool = False,
     seed: int = SEED,
+    by: str = "permutation",
 ) -> DataFrame:
     """(feature, importance) of the k most important features over all rows.
 
     A linear model is explained exactly: mean absolute contribution b·(x - mean). Any other model by how
     much its score falls when one column is permuted (Breiman 2001); one join of the rows to themselves at
-    hash positions gives the permuted values of all columns.
+    hash positions gives the permuted values of all columns. With `by="shapley"` a model of trees is explained by the mean
+    absolute Shapley value of each feature, in one pass.
     """
     require(df, features)
-    if isinstance(model, LinearModel):
+    if by == "shapley" and not isinstance(model, LinearModel):
+        told = shapley(model, df)
+        sums = told.agg(*[F.avg(F.abs(F.col("contributions")[i])) for i in range(len(model.features))]).first()
+        found = [(f, float(v or 0.0)) for f, v in zip(model.features, sums) if f in features]
+    elif isinstance(model, LinearModel):
         weights = dict(zip(model.features, model.coefficients))
         means = df.agg(*[F.avg(col(f)) for f in features]).first()
         wide = df.agg(
@@ -245,8 +252,8 @@ def dependence_data(
 ) -> DataFrame:
     """Per row and top feature: (keep, feature, value, contribution, other, other_value).
 
-    The contribution is b·(x - mean) of a linear model, else the mean prediction of the value's bin less
-    the mean of all. `other` is the strongest other feature.
+    The contribution is b·(x - mean) of a linear model, with `by="shapley"` the row's Shapley value of a model of trees, else
+    the mean prediction of the value's bin less the mean of all. `other` is the strongest other feature.
     """
     ranked = [r["feature"] for r in global_importance(model, df, features, len(features), **options).collect()]
     chosen = ranked[:top]
@@ -258,6 +265,9 @@ def dependence_data(
             f: F.lit(weights.get(f, 0.0)) * (col(f) - F.lit(float(m or 0.0))) for f, m in zip(chosen, means)
         }
         rows = df
+    elif options.get("by") == "shapley":
+        rows = shapley(model, df, df.columns)
+        effects = {f: F.col("contributions")[model.features.index(f)] for f in chosen}
     else:
         scored = model.transform(df)
         binned = Pipeline([Bin(f, "kbins", bins) for f in chosen]).fit(df)

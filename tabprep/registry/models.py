@@ -10,6 +10,7 @@ from ..ml.candidates import classify_candidates, make_task, regress_candidates
 from ..ml.models import load_model, save_model
 from ..ml.search import automl_search, batch_score, dependence_data, fit_model, global_importance
 from ..ml.split import train_test_split
+from ..ml.trees import shapley
 from ..plans.pipeline import PipelineModel
 from ..plans.preprocess import preprocess_pipeline
 from ..session import scratch_path
@@ -279,4 +280,95 @@ BOOK.add(
         round(b2 * (l_discount - m2), 4) + 0.0::double, 'l_quantity', round(l_quantity, 4) from lineitem, b""",
 )
 
+# an extremely random tree of two levels over line items, in SQL: hash-drawn cuts, the first with enough rows on both sides, the largest fall
+RANDOM = {"n_estimators": 1, "max_depth": 2, "min_samples_leaf": 50, "max_features": "all"}
+
+
+def _random_tree(spark, folder):
+    df = table(spark, folder, "lineitem").select(*LINE, *TWO, "l_extendedprice")
+    return df, fit_model(df, "l_extendedprice", TWO, "extraTrees", **RANDOM)
+
+
+def _side_sql(name: str, number: int, rows: str, box: str) -> str:
+    """The split of one node: `rows` has (x0, x1, y), `box` has (f, low, high); gives f, cut, and both sides' rows and means."""
+    return f"""
+    {name}_cuts as (select f, r, low + (high - low) * ('0x' || substr(md5('5|0|{number}|' || f || '|' || r // 4), 8 * (r % 4)::integer + 1, 8))::bigint::double / 4294967296 as cut,
+        ('0x' || substr(md5('5|0|{number}|' || f), 1, 8))::bigint as turn from ({box}), range(8) as t(r)),
+    {name}_sums as (select f, r, cut, turn, count(*) as n, count(*) filter (x <= cut) as nl, sum(y) filter (x <= cut) as sl, sum(y * y) filter (x <= cut) as ql,
+        sum(y) as s, sum(y * y) as q from (select *, case f when 0 then x0 else x1 end as x from {rows}, {name}_cuts) group by f, r, cut, turn),
+    {name}_first as (select *, row_number() over (partition by f order by r) as place from {name}_sums where nl >= 50 and n - nl >= 50),
+    {name} as (select f, cut, nl, n - nl as nr, sl / nl as ml, (s - sl) / (n - nl) as mr, n, s / n as m from {name}_first where place = 1
+        order by -(sl * sl / nl + (s - sl) * (s - sl) / (n - nl)), turn limit 1)"""
+
+
+RANDOM_SQL = f"""with t as (select row_number() over () as id, l_orderkey, l_linenumber, l_suppkey, l_quantity::double as x0, l_discount::double as x1, l_extendedprice::double as y from lineitem),
+    box as (select 0 as f, min(x0) as low, max(x0) as high from t union all select 1, min(x1), max(x1) from t),
+    {_side_sql("root", 1, "t", "select * from box")},
+    lower as (select t.* from t, root where case f when 0 then x0 else x1 end <= cut),
+    upper as (select t.* from t, root where case f when 0 then x0 else x1 end > cut),
+    {_side_sql("l", 2, "lower", "select b.f, b.low, case when b.f = root.f then cut else b.high end as high from box b, root")},
+    {_side_sql("u", 3, "upper", "select b.f, case when b.f = root.f then cut else b.low end as low, b.high from box b, root")},
+    -- the tree's value where both, one or none of the features are known: an unknown one is passed by the shares of rows
+    k as (select * from (values (true, true), (true, false), (false, true), (false, false)) as v(k0, k1)),
+    w as (select t.*, k0, k1,
+        case when case l.f when 0 then k0 else k1 end then case when case l.f when 0 then x0 else x1 end <= l.cut then l.ml else l.mr end else l.m end as lv,
+        case when case u.f when 0 then k0 else k1 end then case when case u.f when 0 then x0 else x1 end <= u.cut then u.ml else u.mr end else u.m end as uv
+        from t, k, l, u),
+    e as (select w.*, case when case root.f when 0 then k0 else k1 end then case when case root.f when 0 then x0 else x1 end <= root.cut then lv else uv end
+        else (lv * root.nl + uv * root.nr) / root.n end as v from w, root),
+    g as (select id, l_orderkey, l_linenumber, l_suppkey, x0, x1, max(v) filter (k0 and k1) as whole, max(v) filter (k0 and not k1) as first,
+        max(v) filter (not k0 and k1) as second, max(v) filter (not k0 and not k1) as base from e group by all)"""
+BOOK.add(
+    "family_extra_trees",
+    lambda spark, folder: rounded(_random_tree(spark, folder)[1].transform(table(spark, folder, "lineitem")).select(*LINE, "prediction"), 3),
+    RANDOM_SQL + " select l_orderkey, l_linenumber, l_suppkey, round(whole, 3) as prediction from g",
+)
+
+
+def _tree_shapley(spark, folder):
+    """Exact Shapley values of every line item under a tree of two levels."""
+    df, model = _random_tree(spark, folder)
+    found = shapley(model, df, LINE)
+    parts = [F.col("contributions")[i].alias(f) for i, f in enumerate(TWO)]
+    return rounded(found.select(*LINE, "base", "explained", *parts), 3)
+
+
+BOOK.add(
+    "tree_shapley",
+    _tree_shapley,
+    RANDOM_SQL
+    + """ select l_orderkey, l_linenumber, l_suppkey, round(base, 3) as base, round(whole, 3) as explained,
+        round((first - base + whole - second) / 2, 3) + 0.0::double as l_quantity, round((second - base + whole - first) / 2, 3) + 0.0::double as l_discount from g""",
+)
+
+
+def _tree_importance(spark, folder):
+    df, model = _random_tree(spark, folder)
+    return rounded(global_importance(model, df, TWO, by="shapley"), 2)
+
+
+BOOK.add(
+    "tree_importance",
+    _tree_importance,
+    RANDOM_SQL
+    + """ select 'l_quantity' as feature, round(avg(abs(first - base + whole - second)) / 2, 2) as importance from g
+    union all select 'l_discount', round(avg(abs(second - base + whole - first)) / 2, 2) from g""",
+)
+
+
+def _tree_dependence(spark, folder):
+    df, model = _random_tree(spark, folder)
+    return rounded(dependence_data(model, df, TWO, LINE, by="shapley"), 3)
+
+
+BOOK.add(
+    "tree_dependence",
+    _tree_dependence,
+    RANDOM_SQL
+    + """ select l_orderkey, l_linenumber, l_suppkey, 'l_quantity' as feature, round(x0, 3) as value,
+        round((first - base + whole - second) / 2, 3) + 0.0::double as contribution, 'l_discount' as other, round(x1, 3) as other_value from g
+    union all select l_orderkey, l_linenumber, l_suppkey, 'l_discount', round(x1, 3), round((second - base + whole - first) / 2, 3) + 0.0::double,
+        'l_quantity', round(x0, 3) from g""",
+)
+
 QUERIES, SQL = BOOK.queries, BOOK.sql
