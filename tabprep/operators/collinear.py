@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col, numeric_columns, total
-from ..functions.gram import covariance, gram_matrix
+from ..functions.gram import DRIVER_COLUMNS, covariance, gram_matrix, top_components
 from ..plans.feature_step import FeatureStep, register_feature_step
 
 NULL_SHARE = 1e-13  # of the largest eigenvalue: below, a direction counts as empty
@@ -94,11 +94,19 @@ def project(df: DataFrame, columns: Sequence[str], means: Sequence[float], loadi
 def pca(df: DataFrame, n_components: int, columns: Sequence[str] | None = None, carried: Sequence[str] = ()) -> DataFrame:
     """Columns 0 … k-1: centred data on its principal components."""
     names = list(columns or [c for c in numeric_columns(df) if c not in carried])
-    _, means, cov = covariance(df, names)
-    _, loadings = components(cov, n_components)
+    means, loadings = _axes(df, names, n_components)
     return project(df, names, means, loadings, carried)
 
 
+def _axes(df: DataFrame, names: Sequence[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(means, loadings by row) from the covariance, or without it where it would not fit the driver."""
+    if len(names) > DRIVER_COLUMNS:
+        means, _, loadings = top_components(df, names, k)
+        return means, loadings
+    _, means, cov = covariance(df, names)
+    return means, components(cov, k)[1]
+
+
 @register_feature_step
 class CollinearStep(FeatureStep):
     kind = "multiCollinearity"
@@ -125,8 +133,7 @@ class PcaStep(FeatureStep):
 
     def fit(self, df: DataFrame) -> None:
         names = [c for c in df.columns if c not in self.params["carried"]]
-        _, means, cov = covariance(df, names)
-        _, loadings = components(cov, self.params["n_Components"])
+        means, loadings = _axes(df, names, self.params["n_Components"])
         self.state = {"columns": names, "means": means.tolist(), "loadings": loadings.tolist()}
 
     def transform(self, df: DataFrame) -> DataFrame:

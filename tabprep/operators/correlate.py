@@ -1,7 +1,8 @@
 """Correlations of column pairs: Pearson, Spearman, Kendall, Cramér's V and phi_k.
 
-All but Pearson work on cells: the distinct (x, y) of each pair with their row count. Cells of all pairs are made in one
-shuffle with map-side counts, and every later step is keyed by pair, so the number of jobs does not grow with the columns.
+Pearson and Spearman are cross products. The others work on cells: the distinct (x, y) of each pair with their row count.
+Cells of all pairs are made in one shuffle with map-side counts, and every later step is keyed by pair, so the number of jobs
+does not grow with the columns.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import col, data_type, is_numeric, require, require_numeric
+from ..functions.gram import EXPRESSION_COLUMNS, cross_products, gram_matrix, packed, pairwise_correlation
 from ..functions.levels import value_counts
-from ..plans.pipeline import Pipeline, run_aggregates
+from ..plans.pipeline import WAVE_WIDTH, Pipeline, run_aggregates
 from ..session import pinned, shuffle_width
 from .bins import Bin
 from .rank import LOW_BITS, global_rank
@@ -27,9 +29,16 @@ def _pairs(df: DataFrame, rows: list[tuple[str, str, float | None]]) -> DataFram
 
 
 def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, corr) of every pair, over rows where both are present; a few hundred pairs share a pass."""
+    """(a, b, corr) of every pair, over rows where both are present.
+
+    A few hundred pairs are native aggregates of one pass; more come from blockwise cross products, also of one pass.
+    """
     require_numeric(df, columns)
     pairs = list(combinations(columns, 2))
+    if len(pairs) > WAVE_WIDTH:
+        corr = pairwise_correlation(df, columns)
+        both = [(a, b, float(corr[i, j])) for (i, a), (j, b) in combinations(enumerate(columns), 2)]
+        return _pairs(df, [(a, b, None if math.isnan(v) else v) for a, b, v in both])
     found = run_aggregates(df, {f"{i}": F.corr(col(a), col(b)) for i, (a, b) in enumerate(pairs)})
     return _pairs(df, [(a, b, found[f"{i}"]) for i, (a, b) in enumerate(pairs)])
 
@@ -93,20 +102,29 @@ def _filled(columns: Sequence[str], found: dict[int, float | None]) -> list[tupl
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of average ranks over complete rows."""
+    """Pearson correlation of average ranks over complete rows.
+
+    Every column is ranked once, over its distinct values; rows are then melted to (row, column, value), meet the ranks, and come
+    together again as one array each. The work is rows times columns, and all pairs are one cross product.
+    """
     require_numeric(df, columns)
-    rows = df.select(*[col(c).cast("double").alias(c) for c in columns]).na.drop()
-    cells = pair_cells(rows, columns, "double")
-    ranked = _sided(cells, pinned(average_ranks(_column_counts(rows, columns))), "rank", len(columns))
-    # every column's ranks have the same mean, and ranks around it keep the sums small
-    middle = (F.sum("w").over(W.partitionBy("pair")) + 1) / 2
-    ranked = ranked.withColumns({"a": F.col("x_rank") - middle, "b": F.col("y_rank") - middle})
-    sums = ranked.groupBy("pair").agg(
-        F.sum(F.col("w") * F.col("a") * F.col("b")).alias("ab"),
-        F.sum(F.col("w") * F.col("a") * F.col("a")).alias("aa"),
-        F.sum(F.col("w") * F.col("b") * F.col("b")).alias("bb"),
-    )
-    found = {r["pair"]: r["ab"] / math.sqrt(r["aa"] * r["bb"]) if r["aa"] and r["bb"] else None for r in sums.collect()}
+    p = len(columns)
+    whole = packed(df, columns).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    rows = pinned(whole.withColumn("__row", F.monotonically_increasing_id()))
+    middle = (rows.count() + 1) / 2  # of every column's ranks; ranks around it keep the sums small
+    melted = rows.select("__row", F.posexplode("x").alias("column", "value"))
+    ranks = average_ranks(melted.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    ranked = melted.join(ranks.select("column", "value", (F.col("rank") - middle).alias("off")), ["column", "value"])
+    if p <= EXPRESSION_COLUMNS:  # a buffer of p numbers per melted row is small
+        names = [f"r{i}" for i in range(p)]
+        products = gram_matrix(ranked.groupBy("__row").agg(*[F.max(F.when(F.col("column") == i, F.col("off"))).alias(c) for i, c in enumerate(names)]), names)
+    else:
+        listed = ranked.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("column", "off"))).alias("ranks"))
+        products = cross_products(listed.select(F.col("ranks.off").alias("x")), p, lambda x: x, p)
+    found = {}
+    for pair, (i, j) in enumerate(combinations(range(p), 2)):
+        size = math.sqrt(products[i, i] * products[j, j])
+        found[pair] = float(products[i, j] / size) if size else None
     return _pairs(df, _filled(columns, found))
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
+from ..functions.gram import covariance
 from ..operators import correlate as cr, profile as pf
 from .tools import Book, rounded
 from .views import VIEWS, over, table
@@ -160,6 +163,47 @@ BOOK.add(
     lambda spark, folder: rounded(cr.corr_spearman(table(spark, folder, "lineitem"), SPEARMAN)),
     f"with r as (select {RANKS} from lineitem) " + _pair_sql(SPEARMAN, "select round(corr($a, $b), 6) from r"),
 )
+
+
+def _components(spark, folder, gaps=False):
+    """The numbers of every embedding as 64 columns, 2,016 pairs; with gaps, large numbers are missing."""
+    numbers = [F.col("embedding")[i].cast("double") for i in range(64)]
+    return table(spark, folder, "embeddings").select(*[(F.when(x < 0.2, x) if gaps else x).alias(f"e{i}") for i, x in enumerate(numbers)])
+
+
+WIDE = [f"e{i}" for i in range(64)]
+CELLS = """with v as (select row_number() over () as id, embedding from embeddings),
+    g as (select id, unnest(range(64)) as d, unnest(embedding)::double as x from v)"""
+BOOK.add(
+    "corr_pearson_wide",
+    lambda spark, folder: rounded(cr.corr_pearson(_components(spark, folder, gaps=True), WIDE)),
+    CELLS
+    + """, h as (select * from g where x < 0.2)
+    select 'e' || a.d as a, 'e' || b.d as b, round(corr(a.x, b.x), 6) as corr from h a join h b on a.id = b.id and a.d < b.d group by a.d, b.d""",
+)
+BOOK.add(
+    "corr_spearman_wide",
+    lambda spark, folder: rounded(cr.corr_spearman(_components(spark, folder), WIDE)),
+    CELLS
+    + """, r as (select id, d, rank() over (partition by d order by x) + (count(*) over (partition by d, x) - 1) / 2.0::double as x from g)
+    select 'e' || a.d as a, 'e' || b.d as b, round(corr(a.x, b.x), 6) as corr from r a join r b on a.id = b.id and a.d < b.d group by a.d, b.d""",
+)
+
+
+def _covariances(spark, folder):
+    """Covariance of every two numbers of the embeddings."""
+    _, _, cov = covariance(_components(spark, folder), WIDE)
+    cells = [(WIDE[i], WIDE[j], float(cov[i, j])) for i in range(64) for j in range(i, 64)]
+    return rounded(spark.createDataFrame(cells, "a string, b string, cov double"))
+
+
+BOOK.add(
+    "covariance_wide",
+    _covariances,
+    CELLS
+    + """ select 'e' || a.d as a, 'e' || b.d as b, round(covar_pop(a.x, b.x), 6) + 0.0::double as cov from g a join g b on a.id = b.id and a.d <= b.d
+    group by a.d, b.d""",
+)
 TAU = """with c$a$b as (select $a as x, $b as y, count(*)::double as w from lineitem group by 1, 2),
     n as (select sum(w) * (sum(w) - 1) / 2 as n0 from c$a$b),
     tx as (select sum(t * (t - 1) / 2) as v from (select sum(w) as t from c$a$b group by x)),
