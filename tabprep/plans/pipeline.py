@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import col, data_type, require
 from ..functions.levels import most_frequent, value_counts
@@ -14,6 +15,7 @@ from ..functions.quantiles import refine, sketch_aggregates
 from .step import ColumnStep
 
 HELD_LEVELS = 10_000  # level counts that may reach the driver in one go
+DECIMAL = "decimal digits"  # marks a decimal in saved JSON
 WAVE_WIDTH = 400  # aggregates per job; more would outgrow generated code
 
 
@@ -110,11 +112,11 @@ class PipelineModel:
         return plan.select(order)
 
     def to_json(self) -> str:
-        return json.dumps(self.pipeline.to_dict(), default=str)
+        return json.dumps(self.pipeline.to_dict(), default=_saved)
 
     @staticmethod
     def from_json(text: str) -> "PipelineModel":
-        saved = json.loads(text)
+        saved = json.loads(text, object_hook=_read)
         steps = [ColumnStep.from_dict(s) for s in saved.pop("steps")]
         return PipelineModel(Pipeline(steps, **saved))
 
@@ -126,6 +128,15 @@ class PipelineModel:
         return PipelineModel.from_json(spark.read.text(path).first()[0])
 
 
+def _saved(value: Any) -> Any:
+    """Decimals keep all their digits as marked text; other values JSON lacks become text."""
+    return {DECIMAL: str(value)} if isinstance(value, Decimal) else str(value)
+
+
+def _read(found: dict[str, Any]) -> Any:
+    return Decimal(found[DECIMAL]) if found.keys() == {DECIMAL} else found
+
+
 class _Plan:
     """The source frame and, per column, its current outputs as expressions over that frame."""
 
@@ -212,9 +223,6 @@ def run_aggregates(df: DataFrame, aggregates: dict[str, Column]) -> dict[str, An
 def _levels(df: DataFrame, values: dict[str, Column], limits: dict[str, int]) -> dict[str, dict[str, Any]]:
     """Per column its mode and, up to its limit, its (value, n) levels; None when there are more."""
     out: dict[str, dict[str, Any]] = {tag: {"mode": None, "levels": []} for tag in values}
-    types = {f.name: f.dataType for f in df.select(*[v.alias(t) for t, v in values.items()]).schema.fields}
-    # fitted values are kept as JSON, where a decimal is a double
-    values = {t: v.cast("double") if isinstance(types[t], T.DecimalType) else v for t, v in values.items()}
     for counts in value_counts(df, values).values():
         room = max(HELD_LEVELS, (max(limits.values(), default=0) + 1) * len(values)) + 1
         rows = counts.limit(room).collect()

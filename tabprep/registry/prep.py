@@ -291,6 +291,31 @@ BOOK.add(
     ),
     f"with t as ({ZEROS}) select l_orderkey, l_linenumber, dense_rank() over (order by v + 0.0) - 1 as v from t",
 )
+# decimals of 20 digits that a double cannot tell apart, with gaps
+LONG = """select o_orderkey, case when o_orderkey % 5 > 0 then cast(concat('123456789012345678', cast(10 + o_custkey % 40 as varchar(2)), '.13') as decimal(30, 2)) end as v
+    from orders"""
+
+
+def _long_decimals(spark, folder, actions):
+    """A request on long decimals, applied by a model that was saved and loaded."""
+    df = over(spark, folder, LONG)
+    model = preprocess_pipeline(df, {"v": actions})
+    return type(model).from_json(model.to_json()).transform(df)
+
+
+BOOK.add(
+    "impute_long_decimal",
+    lambda spark, folder: _long_decimals(spark, folder, [{"impute": [{"imp_strategy": "most_frequent"}]}]).withColumn("v", F.col("v").cast("string")),
+    f"""with t as ({LONG}) select o_orderkey, coalesce(v, (select v from t where v is not null group by v order by count(*) desc, v limit 1))::varchar as v from t""",
+)
+BOOK.add(
+    "encode_long_decimal",
+    lambda spark, folder: _long_decimals(
+        spark, folder, [{"impute": [{"imp_strategy": "most_frequent"}]}, {"encode": [{"enc_method": "ordinal encoder"}]}]
+    ),
+    f"""with t as ({LONG}), f as (select o_orderkey, coalesce(v, (select v from t where v is not null group by v order by count(*) desc, v limit 1)) as v from t)
+    select o_orderkey, (dense_rank() over (order by v) - 1)::integer as v from f""",
+)
 BOOK.add(
     "club_rare_levels",
     lambda spark, folder: lv.club_rare_levels(table(spark, folder, "documents").select("doc_id", "source"), "source"),

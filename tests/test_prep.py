@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -277,3 +279,24 @@ def test_row_level_plans_have_no_python_and_no_single_partition(spark, folder, c
     plan = capsys.readouterr().out
     assert "Exchange" not in plan and "Python" not in plan
     assert "c_nationkey" in plan.split("ReadSchema")[1]
+
+
+def test_long_decimals_stay_apart(spark):
+    """Twenty digits and a scale survive levels, mode, mean and a saved model; the column's type stays."""
+    a, b = Decimal("12345678901234567890.12"), Decimal("12345678901234567890.13")
+    df = spark.createDataFrame([(1, a), (2, b), (3, b), (4, None)], "id int, v decimal(30,2)")
+
+    def done(*actions):
+        model = preprocess_pipeline(df, {"v": list(actions)})
+        return PipelineModel.from_json(model.to_json()).transform(df).orderBy("id")
+
+    filled = done({"impute": [{"imp_strategy": "most_frequent"}]})
+    assert filled.schema["v"].dataType.simpleString() == "decimal(30,2)"
+    assert [r["v"] for r in filled.collect()] == [a, b, b, b]
+    coded = done({"encode": [{"enc_method": "ordinal encoder"}]})
+    assert [r["v"] for r in coded.collect()] == [0, 1, 1, None]
+    hot = done({"encode": [{"enc_method": "onehot encoder"}]})
+    named = [i for i, c in enumerate(hot.columns) if c.startswith("Trans_v__x0_")]
+    assert [tuple(r[i] for i in named) for r in hot.collect()] == [(1.0, 0.0), (0.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    mean = done({"impute": [{"imp_strategy": "mean"}]}).collect()[3]["v"]
+    assert abs(mean - (a + 2 * b) / 3) < Decimal("0.001")
