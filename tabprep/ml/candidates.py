@@ -20,6 +20,7 @@ from ..functions.quantiles import exact_quantiles
 from ..operators.synth import _group_moments
 from ..plans.pipeline import run_aggregates
 from ..session import pinned
+from .kernels import SIZE, KernelModel, fit_kernel, logistic_process, support_classifier, support_regressor
 from .models import BoostedModel, LinearModel, MlModel, NeighbourModel, ScoreModel, bayesian_ridge, index_of, least_angle, relevance
 from .trees import ExtraTrees, TreeModel
 
@@ -79,7 +80,8 @@ CLASSIFICATION_SPACES: dict[str, dict[str, Any]] = {
     "LogReg": {"max_iter": Whole(1, 5000), "C": Real(1e-3, 100)},
     "ridge": {"alpha": Real(0.001, 10)},
     "SGDC": {"max_iter": Whole(1, 5000), "tol": Real(1e-3, 1)},
-    "svc": {"C": Real(0.001, 100)},
+    "svc": {"C": Real(0.001, 100), "class_weight": Choice(("balanced",))},
+    "gaussian_process": {"max_iter_predict": Whole(100, 1000, 100)},
     "gnb": {},
     "quadratic_discriminant": {"reg_param": Real(0, 1)},
     "linear_discriminant": {
@@ -151,6 +153,7 @@ REGRESSION_SPACES: dict[str, dict[str, Any]] = {
         "loss": Choice(("linear", "square", "exponential")),
     },
     "ransac": {"min_samples": Real(0, 1), "max_trials": Whole(1, 20)},
+    "svr": {"C": Real(0, 10), "epsilon": Real(1.1, 1.9)},
     "extraTrees": {
         "n_estimators": Whole(10, 300, 10),
         "max_depth": Whole(1, 11),
@@ -267,6 +270,25 @@ def _hinge(task: Task, p: dict[str, Any]) -> MlModel:
     return _fit_ml(task, _one_vs_rest(task, estimator))
 
 
+def _kernel_classifier(task: Task, p: dict[str, Any]) -> KernelModel:
+    estimator = support_classifier(float(p.get("C", 1.0)), task.rows, int(p.get("max_iter", 100)))
+    return _kernel(task, p, estimator, p.get("class_weight", "balanced") == "balanced")
+
+
+def _process_classifier(task: Task, p: dict[str, Any]) -> KernelModel:
+    return _kernel(task, p, logistic_process(int(p.get("max_iter_predict", p.get("max_iter", 100)))))
+
+
+def _kernel_regressor(task: Task, p: dict[str, Any]) -> KernelModel:
+    return _kernel(task, p, support_regressor(float(p.get("C", 1.0)), float(p.get("epsilon", 1.35)), task.rows, int(p.get("max_iter", 100))))
+
+
+def _kernel(task: Task, p: dict[str, Any], estimator: Any, balanced: bool = False) -> KernelModel:
+    label = index_of(col(task.target), task.labels) if task.labels is not None else col(task.target)
+    whole = task.train.na.drop(subset=task.features)
+    return fit_kernel(whole, task.features, label, estimator, task.labels, p.get("gamma"), int(p.get("n_components", SIZE)), task.seed, balanced)
+
+
 def _naive_bayes(task: Task, p: dict[str, Any]) -> MlModel:
     return _fit_ml(task, mc.NaiveBayes(**_columns(modelType="gaussian")))
 
@@ -502,7 +524,8 @@ CLASSIFIERS: dict[str, Fitter] = {
     "LogReg": _logistic,
     "ridge": _ridge_classifier,
     "SGDC": _hinge,
-    "svc": _hinge,
+    "svc": _kernel_classifier,
+    "gaussian_process": _process_classifier,
     "gnb": _naive_bayes,
     "quadratic_discriminant": _quadratic_discriminant,
     "linear_discriminant": _linear_discriminant,
@@ -526,6 +549,7 @@ REGRESSORS: dict[str, Fitter] = {
     "lassolars": _lasso_lars,
     "adaBoost": _adaboost,
     "ransac": _ransac,
+    "svr": _kernel_regressor,
     "extraTrees": _extra_trees,
 }
 

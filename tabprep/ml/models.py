@@ -281,10 +281,11 @@ def save_model(spark: SparkSession, model: Any, path: str) -> None:
 
 
 def load_model(spark: SparkSession, path: str) -> Any:
+    from .kernels import KernelModel
     from .trees import TreeModel
 
     saved = json.loads(spark.read.text(f"{path}/model").first()[0])
-    kind = {c.__name__: c for c in (LinearModel, ScoreModel, MlModel, NeighbourModel, BoostedModel, TreeModel)}[saved["kind"]]
+    kind = {c.__name__: c for c in (LinearModel, ScoreModel, MlModel, NeighbourModel, BoostedModel, TreeModel, KernelModel)}[saved["kind"]]
     parts = [getattr(import_module(m), n).load(f"{path}/part{i}") for i, (m, n) in enumerate(saved["parts"])]
     more: dict[str, Any] = {}
     if kind is MlModel:

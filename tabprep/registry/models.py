@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 from ..ml import metrics as mt
 from ..ml.candidates import classify_candidates, make_task, regress_candidates
+from ..ml.kernels import FourierMap
 from ..ml.models import load_model, save_model
 from ..ml.search import automl_search, batch_score, dependence_data, fit_model, global_importance
 from ..ml.split import train_test_split
@@ -371,4 +372,25 @@ BOOK.add(
         'l_quantity', round(x0, 3) from g""",
 )
 
+
+
+def _cosines(spark, folder):
+    """Six random Fourier features of two columns of every line item."""
+    df = table(spark, folder, "lineitem").select(*LINE, *TWO)
+    made = FourierMap.fit(df, TWO, gamma=0.5, size=6).column()
+    return rounded(df.select(*LINE, F.posexplode(made).alias("nr", "cosine")), 6)
+
+
+BOOK.add(
+    "fourier_features",
+    _cosines,
+    """with t as (select avg(l_quantity) as m0, stddev_pop(l_quantity) as s0, avg(l_discount) as m1, stddev_pop(l_discount) as s1 from lineitem),
+    u as (select nr, c, ('0x' || substr(md5('5|' || nr || '|' || c), 1, 8))::bigint / 4294967296.0::double as a,
+        ('0x' || substr(md5('5|' || nr || '|' || c), 9, 8))::bigint / 4294967296.0::double as b from range(6) as n(nr), (values ('0'), ('1'), ('shift')) as k(c)),
+    w as (select nr, max(sqrt(-2 * ln(a)) * cos(2 * pi() * b)) filter (c = '0') as w0, max(sqrt(-2 * ln(a)) * cos(2 * pi() * b)) filter (c = '1') as w1,
+        max(2 * pi() * a) filter (c = 'shift') as shift from u group by nr)
+    select l_orderkey, l_linenumber, l_suppkey, nr::integer as nr,
+        round(sqrt(2 / 6.0::double) * cos((l_quantity - m0) / s0 * w0 + (l_discount - m1) / s1 * w1 + shift), 6) + 0.0::double as cosine from lineitem, t, w""",
+)
+
 QUERIES, SQL = BOOK.queries, BOOK.sql
