@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.columns import col
+from ..functions.columns import col, hashable
+from ..functions.hashing import digest
 
 OUT_ROWS = 4096
 OUT_BYTES = 8 << 20
@@ -95,6 +96,11 @@ def scan_number(row: Column | None) -> Column:
     return F.monotonically_increasing_id() if row is None else row.cast("bigint")
 
 
-def content_row(*columns: str) -> Column:
-    """Row number made of what the row holds: rows with equal columns share it, in any scan."""
-    return F.xxhash64(*[col(c) for c in columns])
+def content_row(*columns: str | Column) -> Column:
+    """Row number made of what the row holds: rows with equal columns share it, in any scan; a null counts by its place."""
+    return digest(*[col(c) if isinstance(c, str) else c for c in columns])[0]
+
+
+def content_digest(df: DataFrame) -> list[Column]:
+    """128 hash bits of whole rows, maps by their JSON text: `__h1`, `__h2`."""
+    return digest(*[hashable(df, c) for c in df.columns])

@@ -1,7 +1,8 @@
 """Mixing sources to target weights: hash-random order within each source, cut at the source's exact budget.
 
-All of it is DataFrame work. A document's key is a hash of its id, so a source's rows split evenly into ranges of the key,
-however large the source is: a range is one window's partition, and prefix sums over the (source, range) totals place it.
+All of it is DataFrame work. Rows are sorted in ranges of (source, hash of the id, id, size, place in the scan), cut where a
+sample of them says, so neither a large source nor an id that many rows share fills one range: a range is one window's
+partition, and prefix sums over the (source, range) totals place it.
 """
 
 from __future__ import annotations
@@ -77,14 +78,17 @@ def mixed(
     rows = pick(docs, doc_id=long_id(doc_id), source=source, source_key=source_key(source), size=length, **{f"carry_{c}": c for c in carry})
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("key", F.conv(F.substring(key, 1, KEY_BITS // 4), 16, 10).cast("bigint"))
-    spread = (4 * shuffle_width(docs.sparkSession)).bit_length()  # 2^spread ranges of the key
-    rows = pinned(rows.withColumn("range", F.shiftright("key", KEY_BITS - spread).cast("int")))
+    order = ["key", "doc_id", "size", "tie"]
+    sorted_rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(
+        4 * shuffle_width(docs.sparkSession), "source_key", *order
+    )
+    rows = pinned(sorted_rows.withColumn("range", F.spark_partition_id()))
     cells = rows.groupBy("source_key", "range").agg(F.sum("size").alias("cell_size"))
     plan = targets(cells.groupBy("source_key").agg(F.sum("cell_size").alias("source_size")), weights, most)
     before_cell = W.partitionBy("source_key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     starts = cells.withColumn("cell_start", F.coalesce(F.sum("cell_size").over(before_cell), F.lit(0)))
     starts = starts.join(plan, "source_key").drop("cell_size")
-    within = W.partitionBy("source_key", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source_key", "range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("cell_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(starts, ["source_key", "range"])
     budget = F.least(F.floor(F.col("target") + F.lit(0.5)).cast("bigint"), F.col("cap"))

@@ -67,3 +67,24 @@ def test_empty_table(none):
 def test_carry(hard):
     found = mixed(hard.withColumn("at", F.lit(3)), carry=("at",))
     assert found.columns[-1] == "at" and {r.at for r in found.collect()} == {3}
+
+
+def test_rows_that_share_an_id_are_spread(spark, monkeypatch):
+    """20,000 rows without id and 10,000 of one id: no range holds more than a few hundredths of them."""
+    import tabprep.llm.mixing as module
+
+    kept = []
+    monkeypatch.setattr(module, "pinned", lambda df: kept.append(original(df)) or kept[-1])
+    given = spark.range(0, 30_000).select(
+        F.when(F.col("id") >= 20_000, F.lit(7)).cast("bigint").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source")
+    )
+    found = mixed(given.repartition(4))
+    assert found.agg(F.sum("taken"), F.count(F.lit(1))).first() == (60_000, 30_000)
+    most = kept[0].groupBy("range").count().agg(F.max("count")).first()[0]
+    assert most < 30_000 / 8
+
+
+def original(df):
+    from tabprep.session import pinned
+
+    return pinned(df)
