@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabprep.functions.columns import col
-from tabprep.llm.base import content_row, long_id
+from tabprep.llm.base import content_digest, content_row, long_id
 from tabprep.llm.minhash import near_duplicates
 from tabprep.llm.mixing import WORD, mixed
 from tabprep.llm.packing import packed
@@ -22,7 +22,7 @@ from tabprep.llm.quality import quality
 from tabprep.llm.secrets import EXAMPLE, secrets
 from tabprep.session import scratch_path
 
-ROW, ID = "__pipeline_row", "__pipeline_id"
+ROW, ID, TWIN = "__pipeline_row", "__pipeline_id", "__pipeline_twin"
 REDACTED = "[SECRET]"
 
 
@@ -43,10 +43,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id; rows repeated as a whole become one."""
-    row = content_row(*docs.columns)
+    """One document of each group stays, that with the smallest id; rows repeated as a whole become one, told by 128 bits."""
+    row, twin = content_digest(docs)
     kept = _verdicts(near_duplicates(docs, row=row).where("kept"))
-    return _numbered(docs, row).join(kept.hint("merge"), [ROW, ID], "left_semi").dropDuplicates([ROW, ID]).drop(ROW, ID)
+    numbered = _numbered(docs, row).withColumn(TWIN, twin)
+    return numbered.join(kept.hint("merge"), [ROW, ID], "left_semi").dropDuplicates([ROW, ID, TWIN]).drop(ROW, ID, TWIN)
 
 
 def redacted(text: str, spans: list) -> str:
