@@ -98,3 +98,13 @@ def test_first_words():
     text = " one\ttwo \x1c three "
     assert pipeline.first_words(text, 2) == " one\ttwo" and pipeline.first_words(text, 9) == text
     assert len(re.findall(pipeline.WORD, text)) == 4
+
+
+def test_rows_that_differ_in_where_a_null_stands(spark):
+    """Equal texts without id are told apart by their other columns, maps among them; whole repeats become one."""
+    text = prose(3, 80)
+    given = [(None, text, "x", None, {"a": 1}), (None, text, None, "x", {"a": 1}), (None, text, None, "x", {"a": 2}), (None, text, None, "x", {"a": 2}), (5, text, None, None, None)]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string, lang string, source string, extra map<string,int>")
+    kept = pipeline.minhash_dedup(spark, docs, "")
+    found = sorted(((r.doc_id, r.lang, r.source, (r.extra or {}).get("a")) for r in kept.collect()), key=str)
+    assert found == sorted([(None, "x", None, 1), (None, None, "x", 1), (None, None, "x", 2), (5, None, None, None)], key=str)
