@@ -79,9 +79,8 @@ def mixed(
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("key", F.conv(F.substring(key, 1, KEY_BITS // 4), 16, 10).cast("bigint"))
     order = ["key", "doc_id", "size", "tie"]
-    sorted_rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(
-        4 * shuffle_width(docs.sparkSession), "source_key", *order
-    )
+    width = shuffle_width(docs.sparkSession)
+    sorted_rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(width, "source_key", *order)
     rows = pinned(sorted_rows.withColumn("range", F.spark_partition_id()))
     cells = rows.groupBy("source_key", "range").agg(F.sum("size").alias("cell_size"))
     plan = targets(cells.groupBy("source_key").agg(F.sum("cell_size").alias("source_size")), weights, most)

@@ -78,7 +78,11 @@ def test_rows_that_share_an_id_are_spread(spark, monkeypatch):
     given = spark.range(0, 30_000).select(
         F.when(F.col("id") >= 20_000, F.lit(7)).cast("bigint").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source")
     )
-    found = mixed(given.repartition(4))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = mixed(given.repartition(4))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert found.agg(F.sum("taken"), F.count(F.lit(1))).first() == (60_000, 30_000)
     most = kept[0].groupBy("range").count().agg(F.max("count")).first()[0]
     assert most < 30_000 / 8
