@@ -280,7 +280,7 @@ def _process_classifier(task: Task, p: dict[str, Any]) -> KernelModel:
 
 
 def _kernel_regressor(task: Task, p: dict[str, Any]) -> KernelModel:
-    return _kernel(task, p, support_regressor(float(p.get("C", 1.0)), float(p.get("epsilon", 1.35)), task.rows, int(p.get("max_iter", 100))))
+    return _kernel(task, p, support_regressor(float(p.get("C", 1.0)), float(p.get("epsilon", 1.35)), task.rows))
 
 
 def _kernel(task: Task, p: dict[str, Any], estimator: Any, balanced: bool = False) -> KernelModel:
