@@ -333,6 +333,7 @@ def _neighbours(task: Task, p: dict[str, Any]) -> NeighbourModel:
         int(p.get("n_neighbors", 5)),
         p.get("weights", "uniform") == "distance",
         task.labels is not None,
+        layered=p.get("layered"),
     )
 
 

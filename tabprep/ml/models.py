@@ -137,7 +137,10 @@ class MlModel:
 
 @dataclass
 class NeighbourModel:
-    """Vote or mean of the k nearest training rows, found by the exact neighbour join."""
+    """Vote or mean of the k nearest training rows, found by the exact neighbour join, or in `layered` cells of a layered index.
+
+    A row with a gap in a feature has no neighbours: its prediction is null; training rows with a gap have no vote.
+    """
 
     train: DataFrame
     features: list[str]
@@ -146,13 +149,14 @@ class NeighbourModel:
     by_distance: bool
     classify: bool
     streams: bool = False
+    layered: int | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         key, keyed = "__row", df.withColumn("__row", _row_key(df))
         # rows alike in every column share their key and their answer
         asked = keyed.select(key, *[col(f) for f in self.features]).dropDuplicates([key])
         offered = self._votes(key)
-        near = knn_join(asked, offered, self.features, self.k, key, exclude_same=False, carry=self.target)
+        near = knn_join(asked, offered, self.features, self.k, key, exclude_same=False, carry=self.target, layered=self.layered)
         votes = near.withColumn("__y", F.col("carry").cast(data_type(self.train, self.target)))
         exact = F.max(F.col("distance") == 0).over(W.partitionBy(key)) if self.by_distance else None
         weight = F.lit(1.0)

@@ -33,7 +33,7 @@ def _refuse_gaps(rows: DataFrame, features: Sequence[str], numeric: Sequence[str
 
 
 def _synthesize(
-    df: DataFrame, target: str, categorical: Sequence[str], strategy, k: int, key: str, seed: int, method: str
+    df: DataFrame, target: str, categorical: Sequence[str], strategy, k: int, key: str, seed: int, method: str, layered: int | None
 ) -> DataFrame:
     numeric = [c for c in df.columns if c not in (target, key, *categorical)]
     require_numeric(df, numeric)
@@ -49,7 +49,7 @@ def _synthesize(
     base = pinned(drawn_rows(rows, target, need, counts, [key], seed))
     mismatch = _class_spread(rows, target, numeric) if categorical else None
     near = knn_join(
-        rows.join(base.select(key).distinct(), key, "left_semi"), rows, numeric, k, key, target, categorical, mismatch
+        rows.join(base.select(key).distinct(), key, "left_semi"), rows, numeric, k, key, target, categorical, mismatch, layered=layered
     )
     # a class smaller than k has fewer neighbours to choose from
     choices = mapped(col(target), {c: min(k, counts[c] - 1) for c in need})
@@ -81,13 +81,14 @@ def _synthesize(
 
 
 def smote(
-    df: DataFrame, target: str, strategy: str | float | dict = "auto", k_neighbors: int = 5, key: str = "id", seed: int = 5
+    df: DataFrame, target: str, strategy: str | float | dict = "auto", k_neighbors: int = 5, key: str = "id", seed: int = 5, layered: int | None = None
 ) -> DataFrame:
     """Add rows x + u·(neighbour - x) of each class up to the wanted number; their key is NULL.
 
-    Which row, which of its k nearest neighbours and u depend only on seed, class and draw number.
+    Which row, which of its k nearest neighbours and u depend only on seed, class and draw number. Neighbours are exact, or with
+    `layered` those found in that many cells of a layered index (see `knn_join`): for many dimensions and many rows.
     """
-    return _synthesize(df, target, (), strategy, k_neighbors, key, seed, "SMOTE")
+    return _synthesize(df, target, (), strategy, k_neighbors, key, seed, "SMOTE", layered)
 
 
 def smote_nc(
@@ -98,8 +99,9 @@ def smote_nc(
     k_neighbors: int = 5,
     key: str = "id",
     seed: int = 5,
+    layered: int | None = None,
 ) -> DataFrame:
     """As `smote` with categories: they add to the distance and take the neighbours' most frequent value."""
     if not categorical_features:
         raise ValueError("Categorical SMOTE needs a categorical column")
-    return _synthesize(df, target, tuple(categorical_features), strategy, k_neighbors, key, seed, "Categorical SMOTE")
+    return _synthesize(df, target, tuple(categorical_features), strategy, k_neighbors, key, seed, "Categorical SMOTE", layered)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import balance as bl, synth as sy
 from ..operators.encode import decode_categories, Encode
+from ..operators.layers import recall
 from ..operators.neighbors import knn_join
 from ..operators.smote import smote, smote_nc
 from ..plans.pipeline import Pipeline
@@ -174,6 +175,18 @@ BOOK.add(
     from d qualify place < 5""",
 )
 
+
+
+def _layered(spark, folder):
+    """How many of the five exact neighbours of every embedding a layered index finds, searching 24 cells of 64 points."""
+    df, names = _vectors(spark, folder), [f"e{i}" for i in range(64)]
+    exact, found = knn_join(df, df, names, 5, "vec_id"), knn_join(df, df, names, 5, "vec_id", layered=24, one_cell=64)
+    share = recall(found, exact, "vec_id")
+    return found.agg(F.count(F.lit(1)).alias("neighbours"), F.countDistinct("vec_id").alias("vectors")).withColumn("enough", F.lit(share >= 0.9))
+
+
+BOOK.add("layered_recall", _layered, "select count(*) * 5 as neighbours, count(*) as vectors, true as enough from embeddings")
+
 BOOK.add(
     "synthesize_class",
     lambda spark, folder: rounded(sy.synthesize_class(over(spark, folder, TOXIC), "y", skip=["doc_id"])),
