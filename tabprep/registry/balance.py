@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import normal
 from ..operators import balance as bl, synth as sy
+from ..operators.copula import copula_class, copula_correlations, copula_rows
 from ..operators.encode import decode_categories, Encode
 from ..operators.layers import recall
 from ..operators.neighbors import knn_join
@@ -208,6 +210,82 @@ def _normal(seed: str, *parts: str) -> str:
     )
 
 
+def _line(factors, x: str) -> str:
+    out = repr(factors[0])
+    for f in factors[1:]:
+        out = f"({out} * {x} + {f!r}::double)"
+    return out
+
+
+def _score(p: str) -> str:
+    """Normal quantile of p."""
+    q, t = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    centre = f"{q} * {_line(normal.CENTRE_TOP, f'{q} * {q}')} / {_line(normal.CENTRE_BOTTOM, f'{q} * {q}')}"
+    tail = f"{_line(normal.TAIL_TOP, t)} / {_line(normal.TAIL_BOTTOM, t)}"
+    return f"case when {p} < {normal.TAIL} then {tail} when {p} > 1 - {normal.TAIL} then -{tail} else {centre} end"
+
+
+def _share(x: str) -> str:
+    """Probability of a normal below x."""
+    above = f"exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {_line(normal.SHARE, f'(1 / (1 + {normal.SHARE_STEP} * abs({x})))')}"
+    return f"case when {x} < 0 then {above} else 1 - {above} end"
+
+
+def _copula_sql(source: str, keep: str, group: str, wanted: str) -> str:
+    """A number a and a text t of `source` (g, a, t): both ranked, scored, drawn again; `keep` are the old rows."""
+    return f"""with s as ({source}),
+    r as (select g, a, t, (rank() over (partition by g order by a) + (count(*) over (partition by g, a) - 1) / 2.0::double - 0.5) as ra,
+      (rank() over (partition by g order by t) + (count(*) over (partition by g, t) - 1) / 2.0::double - 0.5) as rt, count(*) over (partition by g) as n from s),
+    p as (select *, ra / n as pa, rt / n as pt from r),
+    z as (select *, {_score('pa')} as za, {_score('pt')} as zt from p),
+    c as (select g, corr(za, zt) as rho from z group by g),
+    k as (select g, n, list(a order by a) as line, list(t order by t) as levels from r group by g, n),
+    d as (select g, j, {_normal('5c0', 'g', 'j')} as e0, {_normal('5c1', 'g', 'j')} as e1 from ({wanted})),
+    m as (select d.g, d.j, e0 as x0, rho * e0 + sqrt(1 - rho * rho) * e1 as x1 from d join c on c.g = d.g),
+    u as (select m.g, j, n, line, levels, {_share('x0')} * 1000 as spot, least(floor({_share('x1')} * n), n - 1)::bigint as place from m join k on k.g = m.g),
+    w as (select *, least(floor(spot), 999)::bigint as step from u),
+    v as (select *, line[step * (n - 1) // 1000 + 1] as low, line[(step + 1) * (n - 1) // 1000 + 1] as high from w)
+    {keep} union all select {group} as g, round(low + (spot - step) * (high - low), 6) as a, levels[place + 1] as t from v"""
+
+
+BOOK.add(
+    "copula_rows",
+    lambda spark, folder: rounded(
+        copula_rows(table(spark, folder, "customer").selectExpr("c_custkey as g", "c_acctbal as a", "c_mktsegment as t"), 200, skip=["g"])
+    ),
+    _copula_sql(
+        "select '' as g, c_acctbal as a, c_mktsegment as t from customer",
+        "select c_custkey as g, round(c_acctbal, 6) as a, c_mktsegment as t from customer",
+        "null",
+        "select '' as g, unnest(range(1, 201)) as j",
+    ),
+)
+BOOK.add(
+    "copula_class",
+    lambda spark, folder: rounded(
+        copula_class(
+            table(spark, folder, "orders").selectExpr("o_orderstatus as g", "cast(o_totalprice as double) as a", "o_orderpriority as t"), "g"
+        )
+    ),
+    _copula_sql(
+        "select o_orderstatus as g, o_totalprice::double as a, o_orderpriority as t from orders",
+        "select g, round(a, 6) as a, t from s",
+        "g",
+        """select g, unnest(range(1, need + 1)) as j from
+          (select o_orderstatus as g, max(count(*)) over () - count(*) as need from orders group by 1) where need > 0""",
+    ),
+)
+BOOK.add(
+    "copula_correlations",
+    lambda spark, folder: rounded(copula_correlations(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])),
+    " union all ".join(
+        f"""select '{a}' as a, '{b}' as b, round(corr({_score('pa')}, {_score('pb')}), 6) as corr from (
+          select (rank() over (order by {a}) + (count(*) over (partition by {a}) - 1) / 2.0::double - 0.5) / count(*) over () as pa,
+            (rank() over (order by {b}) + (count(*) over (partition by {b}) - 1) / 2.0::double - 0.5) / count(*) over () as pb from lineitem)"""
+        for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"))
+    ),
+)
+
 BOOK.add(
     "multiplicative_noise",
     lambda spark, folder: rounded(
