@@ -31,7 +31,7 @@ MORE = {
     "forge": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
     "chat": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     "payment": re.compile(r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    "signed": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "signed": re.compile(r"[A-Za-z0-9_.-]+"),  # runs; their parts are judged by signed_parts
     "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"),
 }
 MORE_HINTS = {"forge": "gh", "chat": "xox", "payment": "k_live_", "signed": "eyJ", "pem": "-----BEGIN "}
@@ -64,11 +64,32 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+def signed_parts(run: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of signed tokens in a run of their characters: three parts joined by dots, the first two opened by `eyJ`
+    with 8 characters or more behind, the third of 8 or more. A run is cut by its dots once, so long ones cost no more."""
+    parts = run.split(".")
+    at = i = 0  # start of part i
+    while i + 2 < len(parts):
+        first, second, third = parts[i : i + 3]
+        begin = first.find("eyJ")
+        if 0 <= begin <= len(first) - 11 and second.startswith("eyJ") and len(second) >= 11 and len(third) >= 8:
+            end = at + len(first) + len(second) + len(third) + 2
+            yield at + begin, end
+            at, i = end + 1, i + 3
+        else:
+            at, i = at + len(first) + 1, i + 1
+
+
 def more_spans(text: str) -> list[tuple[int, int, int, str]]:
     out = []
     for place, (kind, pattern) in enumerate(MORE.items(), len(KINDS)):
-        if MORE_HINTS[kind] in text:
-            out += [(m.start(), place, m.end(), m[0]) for m in pattern.finditer(text)]
+        if MORE_HINTS[kind] not in text:
+            continue
+        for m in pattern.finditer(text):
+            if kind == "signed":
+                out += [(m.start() + a, place, m.start() + b, m[0][a:b]) for a, b in signed_parts(m[0])]
+            else:
+                out.append((m.start(), place, m.end(), m[0]))
     return out
 
 

@@ -1,9 +1,11 @@
 import hashlib
 import re
+import time
 
 import pytest
+from hypothesis import given as drawn, settings, strategies as st
 
-from tabprep.llm.secrets import base_spans, op9_secret_scan, secrets, span_text
+from tabprep.llm.secrets import base_spans, more_spans, op9_secret_scan, secrets, span_text
 
 from .conftest import clashing, hard_rows, rows
 
@@ -41,6 +43,22 @@ def test_base_patterns(text):
     assert [f"{names[k]}:{a}:{b}" for a, k, b, _ in base_spans(text)] == plain(text)
 
 
+@settings(deadline=None, max_examples=500)
+@drawn(st.lists(st.sampled_from(["eyJ", "eyJ" + "a" * 8, ".", ".eyJ" + "b-_9" * 2, ".cdefghij", "x", " ", "é", "eyJeyJeyJeyJ"]), max_size=20))
+def test_signed_tokens_by_pattern(parts):
+    text = "".join(parts)
+    pattern = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+    assert [(a, b, v) for a, _, b, v in more_spans(text)] == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, text)]
+
+
+def test_long_runs_take_linear_time():
+    for unit in ("eyJ", "eyJ.", "eyJabcdefgh.", "ghp_", "xoxb-", "-----BEGIN ", "token ", "api_", "AKIA"):
+        start = time.process_time()
+        text = unit * (1_000_000 // len(unit))
+        assert base_spans(text) is not None and more_spans(text) is not None
+        assert time.process_time() - start < 3, unit
+
+
 def test_ownership_and_more(spark):
     forge = "ghp_" + "a1B2" * 10
     given = [(i, f"token = {HEX} {KEY}", f"o{i}") for i in range(30)]  # a copied example
