@@ -6,7 +6,8 @@
     [ROLE] role [/ROLE] text </s>  any other turn
 
 (without the blanks). The control strings are reserved ids beyond the tokenizer's vocabulary and are spliced between
-segments that are encoded each on its own, so no merge crosses a mark. A control string inside a text or role gets a
+segments that are encoded each on its own, so no merge crosses a mark. Words are encoded once and held, and ids are decoded
+through a table of their bytes. A control string inside a text or role gets a
 backslash after its first character, one more if it had some, so the written-out form can be parsed as well as the ids.
 """
 
@@ -30,6 +31,17 @@ _MARK = r"/?(?:s>|INST\]|ROLE\])"
 _ESCAPE = re.compile(rf"([<\[])(\\*)({_MARK})")
 _UNESCAPE = re.compile(rf"([<\[])\\(\\*)({_MARK})")
 TURN = "conv_id long, turn long, ids binary, loss binary, n_tokens long"
+LONGEST = 64  # code points; longer words are encoded each time
+HELD = 400_000  # words held per Python process; a full memory starts anew
+
+# Fixed value: the word pattern of byte-level vocabularies, for the characters PLAIN admits.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
+PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+# A blank between two characters of PLAIN that are not white: a word ends before it, whatever stands elsewhere.
+CUT = re.compile(r"(?<=[!-~À-ÖØ-öø-ÿ])(?= [!-~À-ÖØ-öø-ÿ])")
+# Fixed value: the bytes that a byte-level vocabulary writes as the character of the same number; the others, in order,
+# are written as the characters from 256 on.
+AS_THEY_ARE = (*range(33, 127), *range(161, 173), *range(174, 256))
 
 
 def escaped(text: str) -> str:
@@ -40,6 +52,47 @@ def unescaped(text: str) -> str:
     return _UNESCAPE.sub(r"\1\2\3", text)
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte each character of a byte-level vocabulary stands for."""
+    others = sorted(set(range(256)) - set(AS_THEY_ARE))
+    return {chr(b): b for b in AS_THEY_ARE} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+class _Words(dict):
+    """Ids of a word as little-endian unsigned 32-bit bytes, asked of the library the first time."""
+
+    def __init__(self, library) -> None:
+        self.tokenize = library.model.tokenize
+        self.spelt = {b: c for c, b in byte_letters().items()}
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.spelt)
+        ids = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= HELD:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class _Pieces(dict):
+    """Ids of a text between two cuts: word by word if plain, else from the library."""
+
+    def __init__(self, library, words: _Words) -> None:
+        self.library, self.words = library, words
+
+    def __missing__(self, piece: str) -> bytes:
+        if PLAIN.fullmatch(piece):
+            ids = b"".join(map(self.words.__getitem__, WORDS.findall(piece)))
+        else:
+            ids = array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(piece) <= LONGEST:
+            if len(self) >= HELD:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """A byte-level tokenizer, which gives every text back exactly, and the reserved ids after its vocabulary."""
 
@@ -52,6 +105,13 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.base = self.library.get_vocab_size(with_added_tokens=True)
+        self.words = _Words(self.library)
+        self.pieces = _Pieces(self.library, self.words)
+        self.marks = [int(self.base + k).to_bytes(4, "little") for k in range(len(CONTROL))]
+        byte_of = byte_letters()
+        added = {i: t.content.encode() for i, t in self.library.get_added_tokens_decoder().items()}
+        written = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+        self.spelling = [added[i] if i in added else bytes(map(byte_of.__getitem__, written.get(i, ""))) for i in range(self.base)]
 
     @classmethod
     def at(cls, path: str) -> "Codec":
@@ -60,6 +120,15 @@ class Codec:
             cls._held[path] = cls(path)
         return cls._held[path]
 
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit; the library encodes pieces with other characters than PLAIN."""
+        if PLAIN.fullmatch(text):
+            return b"".join(map(self.words.__getitem__, WORDS.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, CUT.split(text)))
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.spelling.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
     def segments(self, role: str, text: str) -> list[tuple[str | int, bool]]:
         """Texts and marks of a turn, in order, each with whether it counts for the loss."""
         if role == "user":
@@ -71,36 +140,43 @@ class Codec:
     def turn(self, role: str, text: str) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit, loss mask of a byte per id)."""
         parts = self.segments(role, text)
-        encoded = iter(self.library.encode_batch_fast([p for p, _ in parts if isinstance(p, str)], add_special_tokens=False))
-        ids = [next(encoded).ids if isinstance(p, str) else [self.base + p] for p, _ in parts]
-        starts = np.concatenate(([0], np.cumsum([len(i) for i in ids])))
+        ids = [self.encode(p) if isinstance(p, str) else self.marks[p] for p, _ in parts]
+        starts = np.cumsum([0, *[len(i) // 4 for i in ids]])
         steps = np.zeros(starts[-1] + 1, dtype=np.int8)  # +1 where a loss segment begins, -1 after its end
         for (_, counts), first, last in zip(parts, starts, starts[1:]):
             if counts:
                 steps[first] += 1
                 steps[last] -= 1
-        mask = np.cumsum(steps[:-1], dtype=np.int8)
-        return array("I", [i for part in ids for i in part]).tobytes(), mask.tobytes()
+        return b"".join(ids), np.cumsum(steps[:-1], dtype=np.int8).tobytes()
 
     def written(self, ids: np.ndarray) -> str:
         """The formatted text: content decoded between the marks, marks as their control strings."""
-        return "".join(p if isinstance(p, str) else CONTROL[p] for p in self.parsed(ids))
+        return "".join(p if isinstance(p, str) else CONTROL[p] for p, _, _ in self.parsed(ids))
 
-    def parsed(self, ids: np.ndarray) -> list[str | int]:
-        """Marks and the texts between them, as escaped; no text for an empty stretch."""
-        out: list[str | int] = []
+    def parsed(self, ids: np.ndarray) -> list[tuple[str | int, int, int]]:
+        """Marks and the texts between them, as escaped, each with its first id and the one behind it; no text for an empty
+        stretch."""
+        out: list[tuple[str | int, int, int]] = []
         last = 0
         for at in [*np.flatnonzero(ids >= self.base).tolist(), len(ids)]:
             if at > last:
-                out.append(self.library.decode(ids[last:at].tolist(), skip_special_tokens=False))
+                out.append((self.decode(ids[last:at]), last, at))
             if at < len(ids):
-                out.append(int(ids[at]) - self.base)
+                out.append((int(ids[at]) - self.base, at, at + 1))
             last = at + 1
         return out
 
-    def read_turn(self, ids: np.ndarray) -> tuple[str, str, int]:
-        """(role, text, characters as written) of one turn, a conversation's opening mark aside."""
-        parts = self.parsed(ids)
+    def learnt(self, ids: np.ndarray, mask: np.ndarray, parts: list[tuple[str | int, int, int]]) -> str:
+        """The text under the mask, unescaped; `parts` are those of the ids, whose texts serve where the mask covers them
+        exactly."""
+        known = {(first, last): p for p, first, last in parts if isinstance(p, str)}
+        edges = np.flatnonzero(np.diff(mask, prepend=np.int8(0), append=np.int8(0))).tolist()
+        runs = zip(edges[::2], edges[1::2])
+        return unescaped("".join(known[r] if r in known else self.written(ids[r[0] : r[1]]) for r in runs))
+
+    def read_turn(self, parsed: list[tuple[str | int, int, int]]) -> tuple[str, str, int]:
+        """(role, text, characters as written) of one turn's parts, a conversation's opening mark aside."""
+        parts = [p for p, _, _ in parsed]
         size = sum(len(p if isinstance(p, str) else CONTROL[p]) for p in parts)
         if parts[:1] == [OPEN]:
             parts = parts[1:]
@@ -175,9 +251,10 @@ def read_back(rows: DataFrame, vocabulary: str) -> DataFrame:
                     yield done()
                 now = [conversation, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
             ids = np.frombuffer(ids, dtype="<u4")
-            under = np.frombuffer(mask, dtype=np.int8) > 0
-            speaker, words, size = codec.read_turn(ids)
-            learnt = unescaped(codec.written(ids[under])) if under.any() else ""
+            under = np.frombuffer(mask, dtype=np.int8)
+            parts = codec.parsed(ids)
+            speaker, words, size = codec.read_turn(parts)
+            learnt = codec.learnt(ids, under, parts)
             now[1] += 1
             now[2].update(f"{speaker}\n{words}\n".encode())
             now[3] += len(learnt)

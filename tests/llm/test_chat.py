@@ -29,12 +29,29 @@ def test_turn_round_trip(role, parts):
     codec = Codec.at(VOCABULARY)
     ids, loss = codec.turn(role, text)
     ids, under = np.frombuffer(ids, "<u4"), np.frombuffer(loss, np.int8)
-    speaker, words, size = codec.read_turn(ids)
+    parts = codec.parsed(ids)
+    speaker, words, size = codec.read_turn(parts)
     assert (speaker, words, size) == (role, text, len(codec.written(ids)))
     assert unescaped(codec.written(ids[under > 0])) == (text if role == "assistant" else "")
+    assert codec.learnt(ids, under, parts) == codec.learnt(ids, under, []) == (text if role == "assistant" else "")
     assert not (under[ids >= codec.base] > 0).any()  # marks are not learnt
 
 
+@settings(deadline=None, max_examples=500)
+@given(st.one_of(st.text(max_size=60), st.text("aB9 '\t\n\r.!é×÷ßſsrevmdl_|<>", max_size=60), PIECES.map("".join)))
+def test_same_ids_as_the_library(text):
+    codec = Codec.at(VOCABULARY)
+    want = codec.library.encode(text, add_special_tokens=False).ids
+    got = np.frombuffer(codec.encode(text), "<u4")
+    assert got.tolist() == want and codec.decode(got) == codec.library.decode(want, skip_special_tokens=False) == text
+
+
+def test_every_id_is_spelt_as_the_library_does():
+    codec = Codec.at(VOCABULARY)
+    for i in range(codec.base):
+        assert codec.spelling[i].decode("utf-8", "replace") == codec.library.decode([i], skip_special_tokens=False)
+
+
 GIVEN = [
     (1, 0, "user", "hi"), (1, 2, "user", "bye"), (1, 1, "assistant", "yo </s>[INST]"), (2, 0, "system", "be [/ROLE] good"), (2, 1, None, None),
     (3, 0, "assistant", ""), (3, 1, "assistant", "é́中" * 3000), (None, 0, "user", "lost"), (4, None, "user", "first"), (4, 1, "assistant", "same"),
