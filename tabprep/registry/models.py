@@ -15,6 +15,7 @@ from ..ml.trees import shapley
 from ..plans.pipeline import PipelineModel
 from ..plans.preprocess import preprocess_pipeline
 from ..session import scratch_path
+from ..streaming.alerts import breach_events
 from ..streaming.score import monitor_metrics, stream_score, to_parquet
 from .tools import Book, rounded
 from .views import over, table
@@ -228,6 +229,31 @@ BOOK.add(
     from e where window_start + interval '6 hours' <= (select max(ts) from events) - interval '1 hour' group by all""",
 )
 
+
+def _monitor_alerts(spark, folder):
+    """Windows from one stream, their breaches from another that reads them."""
+    schema = table(spark, folder, "events").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    found = monitor_metrics(_tagged(arriving), None, "6 hours", "1 hour")
+    path = scratch_path(spark, "windows")
+    to_parquet(found, path, path + "-state").awaitTermination()
+    windows = spark.readStream.schema(found.schema).parquet(path)
+    limited = windows.withColumn("tag_value", F.round("tag_value", 6)).join(F.broadcast(_limits(spark, folder)), "tag")  # a row per tag
+    alerts = breach_events(limited, "6 hours", limit=F.round("tag_c_value", 6))
+    to_parquet(alerts, path + "-events", path + "-events-state").awaitTermination()
+    return rounded(spark.read.schema(alerts.schema).parquet(path + "-events"), 6)
+
+
+BOOK.add(
+    "monitor_alerts",
+    _monitor_alerts,
+    f"""with w as ({MONITOR}), closed as (select * from w where window_end <= (select max(ts) from events) - interval '1 hour'),
+    c as (select * from closed where window_start < (select max(window_start) from closed) - interval '6 hours'),
+    t as (select *, coalesce(lag(breached) over (partition by d_id, tag order by window_start), false) as before from c)
+    select d_id, tag, window_start, case when breached then 'raised' else 'cleared' end as event, window_start as since, tag_value,
+      tag_c_value as "limit" from t where breached <> before""",
+)
+
 TWO = ["l_quantity", "l_discount"]
 FIT2 = """with m as (select avg(l_quantity) as m1, avg(l_discount) as m2, var_pop(l_quantity) as s11, var_pop(l_discount) as s22,
     covar_pop(l_quantity, l_discount) as s12, covar_pop(l_quantity, l_extendedprice) as t1, covar_pop(l_discount, l_extendedprice) as t2
