@@ -203,7 +203,8 @@ def copula_rows(df: DataFrame, no_of_samples: int = 200, seed: int = 5, skip: Se
     if no_of_samples < 1:
         return df
     fitted = fit_copula(df, [c for c in df.columns if c not in skip])
-    picks = df.sparkSession.range(1, int(no_of_samples) + 1).select(F.lit(ONE).alias("__g"), F.col("id").alias("j"))
+    # ids are above 0; a bare literal would be folded into the join of the class's numbers and leave it without a key
+    picks = df.sparkSession.range(1, int(no_of_samples) + 1).select(F.when(F.col("id") > 0, F.lit(ONE)).alias("__g"), F.col("id").alias("j"))
     return df.unionByName(_drawn(df, fitted, picks, None, seed))
 
 

@@ -260,6 +260,18 @@ BOOK.add(
         "select '' as g, unnest(range(1, 201)) as j",
     ),
 )
+BOOK.add(
+    "copula_documents",
+    lambda spark, folder: rounded(
+        copula_rows(table(spark, folder, "documents").selectExpr("doc_id as g", "cast(n_chars as double) as a", "lang as t"), 500, skip=["g"])
+    ),
+    _copula_sql(
+        "select '' as g, n_chars::double as a, lang as t from documents",
+        "select doc_id as g, n_chars::double as a, lang as t from documents",
+        "null",
+        "select '' as g, unnest(range(1, 501)) as j",
+    ),
+)
 BOOK.add(
     "copula_class",
     lambda spark, folder: rounded(
