@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.gram import covariance
 from ..operators import correlate as cr, profile as pf
+from ..operators.profile_state import merged, profile_of, profile_state
 from .tools import Book, rounded
 from .views import VIEWS, over, table
 
@@ -33,6 +34,29 @@ BOOK.add(
         (count(*) - (select count(*) from (select distinct * from t)))::bigint as duplicate_rows, 8::integer as numeric_columns,
         2::integer as text_columns, 0::integer as boolean_columns, 1::integer as date_columns, 0::integer as other_columns from t""",
 )
+
+def _merged(spark, folder):
+    """Two versions' states as one: exact measures, the commonest languages, and whether the sketched median is close."""
+    df = table(spark, folder, "documents").select("n_chars", "lang")
+    parts = [df.where("lang <=> 'en'"), df.where("not lang <=> 'en'")]
+    found = profile_of(merged(*[profile_state(p) for p in parts]))
+    half = F.lit({r["column"]: r["p50"] for r in found.select("column", "p50").collect()}["n_chars"])  # a row per column
+    below, upto = df.agg(*[F.avg(c.cast("double")) for c in (F.col("n_chars") < half, F.col("n_chars") <= half)]).first()
+    near = bool(below <= 0.503 and upto >= 0.497)
+    langs = F.array_join(F.array_sort(F.transform("frequent", lambda t: F.concat_ws(":", t["item"], t["count"].cast("string")))), ",")
+    common = F.when(F.col("column") == "lang", langs)
+    return rounded(found.select("column", "rows", "missing", "mean", "std", "min", "max", "zeros", common.alias("common"), F.lit(near).alias("median_close")), 4)
+
+
+BOOK.add(
+    "profile_merged",
+    _merged,
+    """select 'n_chars' as "column", count(*) as rows, count(*) - count(n_chars) as missing, round(avg(n_chars), 4) as mean,
+        round(stddev_samp(n_chars), 4) as std, min(n_chars)::double as min, max(n_chars)::double as max,
+        count(*) filter (n_chars = 0) as zeros, null as common, true as median_close from documents
+    union all select 'lang', count(*), count(*) - count(lang), null, null, null, null, null,
+        (select string_agg(lang || ':' || n, ',' order by lang || ':' || n) from (select lang, count(*) as n from documents where lang is not null group by 1)), true from documents""",
+)
 NUM = ["c_acctbal", "c_nationkey"]
 BOOK.add(
     "profile_numeric",
