@@ -120,3 +120,19 @@ def test_preview_follows_the_files(spark, tmp_path):
     (tmp_path / "2.csv").write_text("n\n" + "".join(f"{i}\n" for i in range(3, 400)))
     assert [r["n"] for r in st.preview(spark, str(tmp_path), 5).collect()] == [1, 2, 3, 4, 5]
     assert [r["n"] for r in st.preview(spark, str(tmp_path), 1).collect()] == [1]
+
+
+def test_visible_datasets_meet_one_row_per_project(spark):
+    """Members of a project are not multiplied with its datasets; nulls and deleted members give no access."""
+    sets = spark.range(1, 9).selectExpr("id as dataset_id", "concat('d', id) as name", "1L as user_id", "id as creation_time", "id = 8 as is_deleted", "true as completed")
+    versions = spark.range(0, 16).selectExpr("id % 8 + 1 as dataset_id", "id as creation_time")
+    mapped = spark.createDataFrame(
+        [(1, 1, False), (2, 1, None), (3, 2, True), (4, 2, False), (5, 3, True), (6, None, True), (7, 4, True), (8, 1, True)], "dataset_id long, project_id long, public boolean"
+    )
+    users = spark.createDataFrame(
+        [(1, 7, False), (1, 7, False), (1, 9, False), (2, None, None), (2, 8, False), (3, 7, True), (4, None, False), (None, 7, False)],
+        "project_id long, user_id long, is_deleted boolean",
+    )
+    found = ct.visible_datasets(sets, versions, mapped, users, 7)
+    assert sorted((r.dataset_id, r.last_modified) for r in found.collect()) == [(1, 8), (2, 9), (3, 10), (7, 14)]
+    assert "Aggregate [project_id" in found._jdf.queryExecution().optimizedPlan().toString()
