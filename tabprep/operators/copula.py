@@ -23,7 +23,7 @@ from ..functions.hashing import gauss
 from ..functions.normal import normal_score, normal_share
 from ..session import pinned
 from .balance import draws, held_counts
-from .correlate import average_ranks
+from .correlate import average_ranks, melted_parts, with_ranks
 
 KNOTS = 1_000  # a generated number's distribution is within 1/KNOTS of the table's
 ONE = ""  # the class of a table without classes
@@ -107,14 +107,15 @@ def fit_copula(df: DataFrame, columns: Sequence[str], group: Column | None = Non
     rows = {r[0]: r[1] for r in wide.groupBy("__g").count().collect()}
     melted = wide.select("__g", "__row", F.posexplode("v").alias("i", "value")).withColumn("column", F.struct("__g", "i"))
     counts = melted.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = pinned(average_ranks(counts))  # scores, knots and levels all come from it
+    many = sum(rows.values()) * p
+    ranks = pinned(average_ranks(counts, melted_parts(df, many)))  # scores, knots and levels all come from it
     sizes = F.create_map(*[F.lit(x) for g, n in rows.items() for x in (g, n)]) if rows else F.create_map().cast("map<string,bigint>")
     total = sizes[F.col("column.__g")]
     # mean ranks lie evenly around the middle, so the scores' mean is taken off by class and column
     scored = ranks.select("column", "value", "n", normal_score((F.col("rank") - 0.5) / total).alias("z"))
     middle = scored.groupBy("column").agg((F.sum(F.col("n") * F.col("z")) / F.sum("n")).alias("mean"))
-    scored = scored.join(middle, "column").select("column", "value", (F.col("z") - F.col("mean")).alias("z"))
-    scores = melted.join(scored, (melted["column"] == scored["column"]) & melted["value"].eqNullSafe(scored["value"])).select("__row", "__g", "i", "z")
+    scored = scored.join(F.broadcast(middle), "column").select("column", "value", "n", (F.col("z") - F.col("mean")).alias("z"))
+    scores = with_ranks(melted, scored, many, "z").repartition(melted_parts(df, many), "__row", "__g").select("__row", "__g", "i", "z")
     correlations = {g: _correlation(m) for g, m in _products(scores, p, list(rows)).items()}
 
     first = (F.col("rank") - (F.col("n") + 1) / 2).cast("bigint")  # rows below the value

@@ -101,3 +101,26 @@ def test_many_levels_and_edges(spark):
     assert {r[0] for r in cp.copula_rows(nan, 40).collect()[3:]} == {None, 0.0}
     with pytest.raises(TypeError):
         cp.copula_rows(spark.createDataFrame([([1],)], "a array<int>"), 3)
+
+
+def test_ranks_of_frequent_values_are_not_gathered(spark, monkeypatch):
+    """Rows of a frequent value stay where they are, tasks are as many as the rows need, gaps and rare values find their rank too."""
+    from tabprep.operators import correlate as cr
+
+    monkeypatch.setattr(cr, "TASK_ROWS", 100)
+    monkeypatch.setattr(cr, "HOT_VALUES", 20)
+    df = spark.range(900).selectExpr("case when id % 3 = 0 then null else id % 2 end as x", "id * 7 % 900 as y", "concat('t', id % 4) as t")
+    melted = df.select(F.monotonically_increasing_id().alias("__row"), F.posexplode(F.array(F.col("y") % 2, "y")).alias("column", "value"))
+    ranks = melted.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("off", F.col("value") * 2)
+    met = cr.with_ranks(melted, ranks, 1800, "off")
+    assert met.count() == 1800 and met.where("off <> value * 2").isEmpty()
+    assert cr.melted_parts(df, 1800) == 18 and cr.melted_parts(df, 0) == 4
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "REPARTITION_BY_NUM" in plan
+    pdf = df.toPandas()
+    got = cr.corr_spearman(df.selectExpr("y % 5 as a", "y as b"), ["a", "b"]).first()["corr"]
+    assert got == pytest.approx((pdf.y % 5).rank().corr(pdf.y.rank()), abs=1e-9)
+    shared = cp.fit_copula(df, ["x", "y", "t"])
+    monkeypatch.undo()
+    plain = cp.fit_copula(df, ["x", "y", "t"])
+    assert np.allclose(shared.correlations[""], plain.correlations[""], atol=1e-9) and shared.gaps == plain.gaps == {("", 0): 1 / 3}
