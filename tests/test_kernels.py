@@ -64,3 +64,15 @@ def test_gaps_and_single_classes(spark, rings):
     assert model.transform(gap).where("prediction is not null").count() == 400
     one = classify_candidates()["svc"].fit(make_task(rings.where("k = 'in'"), "k", ["a", "b"], True), {"n_components": 8})
     assert {r["prediction"] for r in one.transform(rings).collect()} == {"in"}
+
+
+def test_cosines_are_spread_over_partitions(spark, monkeypatch):
+    """Rows of one partition, as a large row group gives them, are dealt out before they become cosines; few rows stay."""
+    from tabprep.ml import kernels as module
+
+    rows = spark.range(0, 1000, 1, 1)
+    assert module.spread(rows, 256).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(module, "PART_BYTES", 200_000)
+    out = module.spread(rows, 256)
+    assert out.rdd.getNumPartitions() == 11 and max(out.rdd.glom().map(len).collect()) < 200 and out.count() == 1000
+    assert module.spread(rows.limit(0), 256).count() == 0
