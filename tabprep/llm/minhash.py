@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import pinned, scratch_path
+from ..session import pinned, scratch_path, stored
 from .base import filled, long_id, pick, scan_number, stream, table
 from .graph import components
 from .shingles import band_keys, set_digest, shingle_set, similar, super_minhash
@@ -47,7 +47,7 @@ def signed(picked: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             yield row, name, len(elements), set_digest(elements), keys.tolist()
 
     path = scratch_path(picked.sparkSession, "signatures")
-    stream(picked.select("row", "doc_id", "text"), sign, SIGNED, as_bytes=("text",)).write.parquet(path)
+    stored(stream(picked.select("row", "doc_id", "text"), sign, SIGNED, as_bytes=("text",)), path)
     return picked.sparkSession.read.schema(SIGNED).parquet(path)
 
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import col
-from ..session import pinned, scratch_path
+from ..session import pinned, scratch_path, stored
 from .base import ascii_lower, filled, long_id, pick, stream, table
 from .minhash import near_duplicates
 
@@ -131,7 +131,7 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[
     known = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     joined = docs.where(~held_out("doc_id")).join(known.hint("merge"), "doc_id")
     path = scratch_path(spark, "texts")
-    joined.select("doc_id", "toxic", F.xxhash64("text").alias("row"), "text").write.parquet(path)
+    stored(joined.select("doc_id", "toxic", F.xxhash64("text").alias("row"), "text"), path)
     texts = spark.read.schema("doc_id long, toxic int, row long, text string").parquet(path)
     found = near_duplicates(texts, row=F.col("row")).where(F.col("n_shingles") > 0).select("doc_id", "row", "component_id").distinct()
     marks = texts.select("doc_id", "toxic").distinct()
