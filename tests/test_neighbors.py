@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -43,3 +45,35 @@ def test_many_dimensions_are_not_routed(spark, monkeypatch):
 def test_blocks_grow_with_rows():
     sizes = module._blocks(pd.Series([0, 1, 4096, 4097, 131_072, 600_000, 6_000_000]))
     assert sizes.tolist() == [1, 1, 1, 2, 32, 37, 367]
+
+
+def test_a_batch_meets_all_pivots_within_bounds(spark):
+    """10,000 rows times 2,000 pivots would be 160 MB an array; a worker holds steps of a million distances."""
+
+    class Batches:
+        """A frame of which the work of a task is taken."""
+
+        sparkSession = spark
+        schema = spark.createDataFrame([], "key long, g string, x array<double>, s array<string>").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, work, _):
+            return work
+
+    rng = np.random.default_rng(3)
+
+    def points(n, p):
+        return pd.DataFrame({"key": range(n), "g": "", "x": list(rng.random((n, p))), "s": [np.array([])] * n})
+
+    for p in (1, 10):
+        pivots, rows = points(2000, p), points(10_000, p)
+        work = module._assign(Batches(), pivots, {}, ["key", "g", "x", "s"])
+        tracemalloc.start()
+        found = pd.concat(work(iter([rows])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 80 << 20
+        near = np.stack(rows["x"][:50])[:, None] - np.stack(pivots["x"])[None]
+        assert (found["cell"][:50] == np.square(near).sum(axis=2).argmin(axis=1)).all() and len(found) == 10_000
