@@ -9,6 +9,7 @@ wastes at most part of its last few windows.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,41 +27,51 @@ PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, int]:
     """(window of each size, largest sum) of the k-way largest-differencing method.
 
-    A partial partition is a list of k sums in descending order. The two with the widest spread are merged so that the
-    largest sum of one meets the smallest of the other, until one is left. Ties go to the earlier partition.
+    A partial partition is a list of at most k sums in descending order. The two with the widest spread are merged so that
+    the largest sum of one meets the smallest of the other, until one is left. Ties go to the earlier partition. Sizes are
+    above zero. Sums are held negative, for bisection, and those that are still zero not at all: most merges bring a single
+    piece, which goes to its place without a sort.
     """
     n = len(sizes)
-    parent = np.arange(n)
-    heap = []
-    for i, size in enumerate(sizes.tolist()):
-        sums = np.zeros(k, dtype=np.int64)
-        sums[0] = size
-        owner = np.full(k, -1)
-        owner[0] = i
-        heap.append((-size if k > 1 else 0, i, sums, owner))
+    parent = list(range(n))
+    heap = [(-size if k > 1 else 0, i, [-size], [i]) for i, size in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     count = n
     while len(heap) > 1:
         _, _, sums, owner = heapq.heappop(heap)
-        _, _, others, owners = heapq.heappop(heap)
-        sums = sums + others[::-1]
-        owners = owners[::-1]
-        both = (owner >= 0) & (owners >= 0)
-        parent[owners[both]] = owner[both]
-        owner = np.where(owner >= 0, owner, owners)
-        order = np.argsort(-sums, kind="stable")
-        sums, owner = sums[order], owner[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), count, sums, owner))
+        _, _, others, owners = heap[0]
+        if len(others) == 1:
+            size, piece = others[0], owners[0]
+            if len(sums) == k:
+                size += sums.pop()
+                parent[piece] = owner[-1]
+                piece = owner.pop()
+            at = bisect_right(sums, size)
+            sums.insert(at, size)
+            owner.insert(at, piece)
+        else:
+            others, owners = others[::-1], owners[::-1]
+            both = max(0, len(sums) + len(others) - k)
+            alone = len(sums) - both
+            for i, piece in enumerate(owners[:both], alone):
+                sums[i] += others[i - alone]
+                parent[piece] = owner[i]
+            sums, owner = sums + others[both:], owner + owners[both:]
+            order = sorted(range(len(sums)), key=sums.__getitem__)
+            sums, owner = [sums[i] for i in order], [owner[i] for i in order]
+        spread = sums[0] - sums[-1] if len(sums) == k else sums[0]
+        heapq.heapreplace(heap, (spread, count, sums, owner))
         count += 1
+    root = np.array(parent)
     while True:
-        up = parent[parent]
-        if (up == parent).all():
+        up = root[root]
+        if (up == root).all():
             break
-        parent = up
+        root = up
     _, _, sums, owner = heap[0]
     window = np.zeros(n, dtype=np.int64)
-    window[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
-    return window[parent], int(sums[0])
+    window[owner] = np.arange(len(owner))
+    return window[root], -sums[0]
 
 
 def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -106,8 +117,8 @@ def packed(
                 yield name, start, length, total, number[w], used.get(w, 0), ids
                 used[w] = used.get(w, 0) + length
 
-        for name, words in rows:
-            ids = encoder.encode(words) + end
+        for name, ids in encoder.encode_rows(rows):
+            ids += end
             total = len(ids) // 4
             start = 0
             while total - start >= capacity:

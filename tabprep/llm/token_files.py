@@ -62,8 +62,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, doc_
         names: list = []
         ends: list[int] = []
         held = bytearray()
-        for name, words in rows:
-            held += encoder.encode(words)
+        for name, ids in encoder.encode_rows(rows):
+            held += ids
             held += end
             names.append(name)
             ends.append(len(held) // 4)

@@ -6,6 +6,7 @@ import public_tokenizers
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from tabprep.llm import packing
 from tabprep.llm.packing import differencing, packed, windows
 
 from .conftest import clashing, hard_rows, rows
@@ -68,3 +69,33 @@ def test_little_padding(spark, folder):
 
 def test_empty_table(none):
     assert rows(packed(none, VOCABULARY)) == []
+
+
+def dense_differencing(sizes, k):
+    """The method as it is written down: k sums for every partial partition, zeros too, sorted after every merge."""
+    parts = [([size] + [0] * (k - 1), [[i]] + [[] for _ in range(k - 1)], i) for i, size in enumerate(sizes)]
+    for count in range(len(sizes), 2 * len(sizes) - 1):
+        parts.sort(key=lambda p: (p[0][-1] - p[0][0], p[2]))
+        (sums, held, _), (others, more, _), *parts = parts
+        merged = [(a + b, x + y) for a, b, x, y in zip(sums, reversed(others), held, reversed(more))]
+        merged.sort(key=lambda p: -p[0])
+        parts.append(([s for s, _ in merged], [h for _, h in merged], count))
+    window = {i: w for w, members in enumerate(parts[0][1]) for i in members}
+    return [window[i] for i in range(len(sizes))], parts[0][0][0]
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=30), st.integers(1, 35))
+def test_differencing_ties(sizes, k):
+    window, most = differencing(np.array(sizes), k)
+    assert (window.tolist(), most) == dense_differencing(sizes, k)
+
+
+def test_differencing_sorts_few(monkeypatch):
+    """A single piece goes to its place without a sort of all sums; the batch here has 400 pieces for 100 windows."""
+    sorts = []
+    monkeypatch.setattr(packing, "sorted", lambda *a, **k: sorts.append(1) or sorted(*a, **k), raising=False)
+    argsort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(1) or argsort(*a, **k))
+    differencing(np.arange(400) % 97 + 1, 100)
+    assert 0 < len(sorts) < 200

@@ -53,6 +53,40 @@ def test_encoder_forgets(monkeypatch):
     assert len(encoder.words) <= 3
 
 
+LETTERS = st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(list(" \n\t\r'sStlLdDmMreVE.,\"|<>!0À-éß")))
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.one_of(st.text(alphabet=LETTERS, max_size=40), st.text(alphabet=" \n'strlvdm.!?7Àßÿ", max_size=40)), max_size=8))
+def test_groups_equal_library(texts):
+    expected = [(i, array("I", LIBRARY.encode(t, add_special_tokens=False).ids).tobytes()) for i, t in enumerate(texts)]
+    assert list(tokens.word_encoder(VOCABULARY).encode_rows(enumerate(texts))) == expected
+
+
+def test_groups_end(monkeypatch):
+    """Groups closed by characters or by texts, and texts longer than a group, keep the order."""
+    monkeypatch.setattr(tokens, "GROUP_CHARS", 30)
+    monkeypatch.setattr(tokens, "GROUP_TEXTS", 3)
+    texts = ["a", "", "b c", "d", "long " * 20, "中 e", "x" * 29, "f", "g"]
+    expected = [(i, array("I", LIBRARY.encode(t, add_special_tokens=False).ids).tobytes()) for i, t in enumerate(texts)]
+    assert list(tokens.word_encoder(VOCABULARY).encode_rows(enumerate(texts))) == expected
+
+
+def test_groups_look_words_up_once():
+    asked = []
+
+    class Counted(tokens._Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    encoder = tokens.WordEncoder(VOCABULARY)
+    encoder.words = Counted(LIBRARY)
+    found = list(encoder.encode_rows((i, "The same words, the same words.") for i in range(50)))
+    assert found == [(i, array("I", plain_ids("the same words, the same words.")[:-1]).tobytes()) for i in range(50)]
+    assert sorted(asked) == [",", ".", "same", "the", "words"]
+
+
 def check(spark, df, given):
     path = token_files.write_ids(df, scratch_path(spark, "t"), VOCABULARY)
     found = token_files.read_ids(spark, path).collect()
